@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.llm import queries_groups
+from quarryspan.llm import queries_documents, queries_groups
 
-MODULES = [queries_groups]
+MODULES = [queries_groups, queries_documents]
 
 
 def queries() -> dict:
