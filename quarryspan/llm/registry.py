@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.llm import queries_documents, queries_groups
+from quarryspan.llm import queries_documents, queries_groups, queries_summaries
 
-MODULES = [queries_groups, queries_documents]
+MODULES = [queries_summaries, queries_groups, queries_documents]
 
 
 def queries() -> dict:
