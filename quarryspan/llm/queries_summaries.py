@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarryspan.llm.residue import find_residue, labelled_sample, validate
+from quarryspan.llm.residue import find_residue, labelled_sample, train, validate, without_residue
+from quarryspan.llm.truncation import cut_texts, source_of
 from quarryspan.tables import load
 
 
@@ -19,5 +21,28 @@ def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in got.items()], "measure string, value double")
 
 
-QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation}
+def _cut(spark: SparkSession, folder: str) -> DataFrame:
+    items = load(spark, folder, "raw_evidence_items", "id", "summary", "title", "url", "provider")
+    cut = cut_texts(items).where("cut").select("id", "source", F.col("text").alias("summary"))
+    sample = labelled_sample(items)
+    model = train(sample.texts, sample.titled, sample.labels)
+    # residue is no case; only the texts found here are classified for that
+    return without_residue(cut, model)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items whose summary lost its end."""
+    return _cut(spark, folder).select("id")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """For each provider, how many summaries it has, how many are cut, and their share."""
+    items = load(spark, folder, "raw_evidence_items", "id", "summary", "provider").where(F.trim("summary") != "")
+    counts = items.select("id", source_of(F.col("provider")).alias("source")).distinct().groupBy("source").agg(F.count("*").alias("summaries"))
+    cut = _cut(spark, folder).groupBy("source").agg(F.count("*").alias("cut"))
+    found = F.coalesce("cut", F.lit(0))
+    return counts.join(cut, "source", "left").select("source", "summaries", found.alias("cut"), (found / F.col("summaries")).alias("share"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p7_found": p7_found, "p7_shares": p7_shares}
 ORACLE: dict[str, str] = {}

@@ -252,6 +252,16 @@ def find_residue(items: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(flags, "id long").distinct()
 
 
+def without_residue(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows (id, source, summary) whose summary is no residue, in one pass."""
+
+    def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield part.filter(pa.array(~residue_flags(model, part.column(2), np.ones(part.num_rows, dtype=int))))
+
+    return rows.select("id", "source", "summary").mapInArrow(kept, "id long, source string, summary string")
+
+
 def _training(items: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     sample = labelled_sample(items)
     return sample.texts, sample.titled, sample.labels
