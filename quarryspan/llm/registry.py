@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.llm import queries_documents, queries_groups, queries_summaries
+from quarryspan.llm import queries_documents, queries_groups, queries_languages, queries_summaries
 
-MODULES = [queries_summaries, queries_groups, queries_documents]
+MODULES = [queries_summaries, queries_groups, queries_languages, queries_documents]
 
 
 def queries() -> dict:
