@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.plans import references
+from quarryspan.plans import ranking, references, scoring, text
 
-MODULES = [references]
+MODULES = [references, text, scoring, ranking]
 FLAGSHIP = references.p6_found
 
 
