@@ -5,15 +5,23 @@ punctuation show a limit as a spike at the maximum: far more texts than at the l
 hardly any beyond. Texts of such a length are cut. So are texts with a mark of cutting or a broken character at
 their end. A text without all this is cut if it doesn't end as sentences of the corpus do: the
 last two words of every sentence are counted, and an ending that never closes a sentence is none.
+
+One pass over the texts gives both the texts without a proper end and, summed by batch, the endings.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryspan.llm.sentences import ANY, NUMBER
+from quarryspan.session import cut
 
 #: A spike has at least so many texts, and so many times the mean of the lengths around it; within REACH.
 LEAST, TIMES, REACH, NEAR = 6, 5.0, 12, 4
@@ -21,15 +29,13 @@ LEAST, TIMES, REACH, NEAR = 6, 5.0, 12, 4
 SHARE = 0.1
 #: An ending has to close so many sentences elsewhere to count as one.
 SUPPORT = 2
-_CLOSERS = r"[\"”“»’)\]）」』\s]+$"
-_TERMINAL = r"[.!?。！？।॥؟｡]$"
-_MARK = r"(\.{2,}|…|\[\.\.\.\]|\[…\])[\"”“»’)\]\s]*$"
-_BROKEN = r"(\x{FFFD}|&[A-Za-z#0-9]{0,8}|[-–—,:;(\[{«„/])\s*$"
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]"
-_SILENT = r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-_TWO_WORDS = r"(\S+\s+\S+?)[.!?]+[\"”“»)\]]*(?=\s+[\p{Lu}\p{N}¿¡«„“\"(\[])"
-_WIDE_END = rf"({_UNSPACED}{{3}})[。！？]"
-_ABBREVIATED = "(^|[\\s(\\[\"„«“])(" + "|".join(sorted((w.replace(".", "\\.") for w in ANY | NUMBER), key=len, reverse=True)) + r"|\p{L})\.$"
+CLOSERS = "\"”“»’)]）」』"
+TERMINAL = frozenset(".!?。！？।॥؟｡")
+_BROKEN_END = re.compile(r"(?:�|&[A-Za-z#0-9]{0,8}|[-–—,:;(\[{«„/])$")
+_INNER = re.compile(r"[.!?]+[\"”“»)\]]*\s+(?=[^\W_]|[¿¡«„“\"(\[])|[。！？]")
+_QUOTES = str.maketrans("", "", "\"”“„»«’()[]")
+_DIGIT = re.compile(r"\d")
+_ABBREVIATIONS = ANY | NUMBER
 
 
 def source_of(provider: Column) -> Column:
@@ -37,67 +43,112 @@ def source_of(provider: Column) -> Column:
     return F.coalesce(F.lower(F.trim(provider)), F.lit(""))
 
 
-def _folded(words: Column) -> Column:
-    """An ending with every word that has a digit as '#'."""
-    return F.regexp_replace(F.lower(F.regexp_replace(words, r"[\"”“„»«’()\[\]]", "")), r"\S*\p{N}\S*", "#")
-
-
-def _profile(items: DataFrame, text: str) -> DataFrame:
-    whole = F.col(text)
-    end = F.regexp_replace(whole, r"\s+$", "")
-    bare = F.regexp_replace(end, _CLOSERS, "")
-    df = items.withColumn("marked", end.rlike(_MARK)).withColumn("broken", end.rlike(_BROKEN)).withColumn("tail", F.substring(bare, -120, 120))
-    df = df.withColumn("stop", F.col("tail").rlike(_TERMINAL) & ~F.col("marked") & ~F.col("tail").rlike("(?i)" + _ABBREVIATED))
-    last = F.regexp_replace(F.regexp_replace(end, r"\s+$", ""), r"[.!?。！？]+$", "")
-    ending = F.when(F.substring(last, -1, 1).rlike(_UNSPACED), F.substring(last, -3, 3)).otherwise(_folded(F.regexp_extract(last, r"((?:\S+\s+)?\S+)$", 1)))
-    listed = F.contains(whole, F.lit(";")) & ~whole.rlike(r"[.!?。！？](\s|$)")
-    silent = F.substring(last, -1, 1).rlike(_SILENT)
-    return df.select("*", ending.alias("ending"), (listed | silent).alias("open"), F.char_length(whole).alias("chars"), F.octet_length(whole).alias("bytes"))
-
-
-def length_spikes(profile: DataFrame, least: int = LEAST, times: float = TIMES) -> DataFrame:
+def _unspaced(c: str) -> bool:
+    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿"
+
+
+def _silent(c: str) -> bool:
+    """A letter of a script whose sentences have no end marks."""
+    return "฀" <= c <= "໿" or "က" <= c <= "႟" or "ក" <= c <= "៿"
+
+
+def ending_of(text: str) -> str:
+    """The last two words, folded (in scripts without blanks the last three characters)."""
+    if text and _unspaced(text[-1]):
+        return text[-3:]
+    words = text[-90:].translate(_QUOTES).lower().split()[-2:]
+    return " ".join("#" if _DIGIT.search(w) else w for w in words)
+
+
+def profile(text: str) -> tuple[bool, bool, bool, bool, str]:
+    """(stop, marked, broken, open, ending) of a text that is not blank."""
+    end = text.rstrip()
+    bare = end.rstrip(CLOSERS + " ")
+    last = bare[-1] if bare else end[-1]
+    marked = bare.endswith(("..", "…", "[…"))
+    broken = _BROKEN_END.search(end[-10:]) is not None
+    stop = last in TERMINAL and not marked
+    if stop and last == ".":
+        word = bare[bare.rfind(" ") + 1:-1].lstrip("(\"[„«“").lower()
+        stop = not (word in _ABBREVIATIONS or len(word) == 1 and word.isalpha())
+    core = bare.rstrip("".join(TERMINAL)) if last in TERMINAL else bare
+    listed = ";" in text and not any(c in TERMINAL and (i + 1 == len(text) or text[i + 1].isspace()) for i, c in enumerate(text) if c in TERMINAL)
+    return stop, marked, broken, listed or bool(core) and _silent(core[-1]), ending_of(core)
+
+
+def inner_endings(text: str) -> list[str]:
+    """The endings of sentences that another sentence follows."""
+    out = []
+    for m in _INNER.finditer(text):
+        mark = m[0][0]
+        if mark in "。！？":
+            if m.start() >= 3:
+                out.append(text[m.start() - 3:m.start()])
+            continue
+        c = text[m.end()] if m.end() < len(text) else ""
+        if c.isupper() or c.isdigit() or c in "¿¡«„“\"([":
+            out.append(ending_of(text[max(0, m.start() - 90):m.start()]))
+    return out
+
+
+def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts without a proper end (kind 0), and counts of endings (kind 1)."""
+    for part in parts:
+        rows: list[tuple] = []
+        closes: Counter[str] = Counter()
+        for i, s, t in zip(*(c.to_pylist() for c in part.columns)):
+            if not t or t.isspace():
+                continue
+            stop, marked, broken, is_open, ending = profile(t)
+            closes.update(inner_endings(t))
+            if stop:
+                if not is_open:
+                    closes[ending] += 1
+            else:
+                rows.append((0, i, s, t, marked or broken, is_open, ending, len(t), len(t.encode("utf-8", "replace")), 0))
+        rows += [(1, None, None, None, None, None, e, None, None, n) for e, n in closes.items()]
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCAN_COLUMNS)
+
+
+SCAN_COLUMNS = ["kind", "id", "source", "text", "marked", "open", "ending", "chars", "bytes", "closes"]
+
+
+def length_spikes(rows: DataFrame, least: int = LEAST, times: float = TIMES) -> DataFrame:
     """Rows (source, unit, size, texts): lengths where a source cuts, from texts without terminal punctuation."""
-    sizes = profile.where("NOT stop AND source <> ''").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("u"))
+    sizes = rows.where("source <> ''").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("u"))
     counts = sizes.groupBy("source", "u.unit", "u.size").agg(F.count("*").alias("texts"))
     by = Window.partitionBy("source", "unit").orderBy("size")
     around = F.coalesce(F.sum("texts").over(by.rangeBetween(-REACH, -2)), F.lit(0)) + F.coalesce(F.sum("texts").over(by.rangeBetween(2, REACH)), F.lit(0))
     near, beyond = F.sum("texts").over(by.rangeBetween(-NEAR, NEAR)), F.coalesce(F.sum("texts").over(by.rangeBetween(NEAR + 1, Window.unboundedFollowing)), F.lit(0))
-    found = counts.withColumn("around", around).withColumn("near", near).withColumn("beyond", beyond)
     peak = F.max("texts").over(by.rangeBetween(-NEAR, NEAR))
     # next to a spike lies a lesser one, of texts whose last blank was dropped: it needn't stand out from that
     usual = F.greatest(F.lit(1.0), (F.col("around") - F.when(F.col("peak") > F.col("texts"), F.col("peak")).otherwise(0)) / (2.0 * (REACH - 1)))
     highest = F.max("texts").over(Window.partitionBy("source"))
-    found = found.withColumn("peak", peak).withColumn("highest", highest).where(F.col("texts") >= SHARE * F.col("highest"))
-    return found.where((F.col("texts") >= least) & (F.col("texts") >= times * usual) & (F.col("beyond") <= 0.5 * F.col("near"))).select("source", "unit", "size", "texts")
-
-
-def sentence_endings(items: DataFrame, text: str) -> DataFrame:
-    """Rows (ending, closes): the last two words (in scripts without blanks three characters) of sentences that another follows."""
-    spaced = F.transform(F.regexp_extract_all(F.col(text), F.lit(_TWO_WORDS), F.lit(1)), _folded)
-    wide = F.regexp_extract_all(F.col(text), F.lit(_WIDE_END), F.lit(1))
-    # sentences end with the text, too
-    final = F.when(F.col("stop") & ~F.col("open"), F.array("ending")).otherwise(F.array().cast("array<string>"))
-    found = items.select(F.explode(F.concat(spaced, wide, final)).alias("ending"))
-    return found.groupBy("ending").agg(F.count("*").alias("closes"))
+    found = counts.withColumn("around", around).withColumn("near", near).withColumn("beyond", beyond).withColumn("peak", peak).withColumn("highest", highest)
+    return found.where((F.col("texts") >= least) & (F.col("texts") >= SHARE * F.col("highest")) & (F.col("texts") >= times * usual) & (F.col("beyond") <= 0.5 * F.col("near"))).select("source", "unit", "size", "texts")
 
 
 def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider", key: str = "id") -> DataFrame:
-    """Rows (id, source, text, cut) of all items with a text, each id once; cut is never null.
+    """Rows (id, source, text, cut) of the items whose text has no proper end, each id once; cut is never null.
 
     Null and blank texts are no rows. Lists of keywords, and scripts whose sentences have no end marks, are
     cut only by their length, a mark or a broken character. A source without a name has the spikes of all
     others. An empty table gives no rows.
     """
-    rows = items.select(F.col(key).alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.trim("text") != "")
-    rows = _profile(rows, "text")
+    schema = "kind int, id long, source string, text string, marked boolean, open boolean, ending string, chars int, bytes int, closes long"
+    scan = cut(items.select(F.col(key).cast("long").alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text")).mapInArrow(_scan, schema))
+    rows = scan.where("kind = 0")
+    endings = scan.where("kind = 1").groupBy("ending").agg(F.sum("closes").alias("closes"))
     spikes = length_spikes(rows)
+
     # a few lengths for each source: one row a source, and one for sources without a name
     def sizes(df: DataFrame, *by: str) -> DataFrame:
         return df.groupBy(*by).agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("byte_limits"))
 
     limits = sizes(spikes, "source").unionByName(sizes(spikes).withColumn("source", F.lit("")))
-    unsure = rows.where("NOT stop").select("id", "source", "text", "marked", "broken", "open", "ending", "chars", "bytes").dropDuplicates(["id"])
-    unsure = unsure.join(limits, "source", "left").join(sentence_endings(rows, "text"), "ending", "left")
+    unsure = rows.drop("kind", "closes").dropDuplicates(["id"]).join(limits, "source", "left").join(endings, "ending", "left")
     at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("byte_limits", F.col("bytes")), F.lit(False))
     ends = F.coalesce(F.col("closes"), F.lit(0)) >= SUPPORT
-    return unsure.select("id", "source", "text", (F.col("marked") | F.col("broken") | at_limit | (~F.col("open") & ~ends)).alias("cut"))
+    return unsure.select("id", "source", "text", (F.col("marked") | at_limit | (~F.col("open") & ~ends)).alias("cut"))
