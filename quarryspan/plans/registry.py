@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.plans import ranking, references, scoring, text
+from quarryspan.plans import identity, quality, ranking, references, scoring, sources, streams, text
 
-MODULES = [references, text, scoring, ranking]
+MODULES = [references, text, scoring, ranking, identity, quality, sources, streams]
 FLAGSHIP = references.p6_found
 
 
