@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quarryspan import dims
 
 
-def _words(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _among(t: Column, words: list[str]) -> Column:
+    """Whether a word is one of a fixed list, as one constant in the plan."""
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), t)
 
 
 def _first_suffix(x: Column, rules: list[tuple[str, str]]) -> Column:
@@ -47,13 +48,13 @@ def raw_tokens(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The distinct stems of a text's tokens, without stop words and single characters."""
-    kept = F.filter(raw_tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(*dims.STOPWORDS))
+    kept = F.filter(raw_tokens(text), lambda t: (F.length(t) >= 2) & ~_among(t, dims.STOPWORDS))
     return F.array_distinct(F.transform(F.transform(kept, singular), _derived))
 
 
 def discriminative(tokens_: Column) -> Column:
     """Tokens that tell a subject: at least three letters, none of the broad words."""
-    return F.filter(tokens_, lambda t: (F.length(t) >= 3) & ~t.isin(*dims.BROAD))
+    return F.filter(tokens_, lambda t: (F.length(t) >= 3) & ~_among(t, dims.BROAD))
 
 
 def subject_anchors(tokens_: Column) -> Column:
@@ -63,8 +64,8 @@ def subject_anchors(tokens_: Column) -> Column:
     def mechanism(t: Column) -> Column:
         parts = F.filter(F.split(t, "[-_/]+"), lambda p: p != "")
         all_forms = F.concat(parts, F.transform(parts, stem))
-        compound = (F.size(parts) > 1) & F.forall(all_forms, lambda p: p.isin(*generic) | (F.length(p) <= 2)) & F.exists(all_forms, lambda p: p.isin(*generic))
-        return t.isin(*generic) | compound
+        compound = (F.size(parts) > 1) & F.forall(all_forms, lambda p: _among(p, generic) | (F.length(p) <= 2)) & F.exists(all_forms, lambda p: _among(p, generic))
+        return _among(t, generic) | (t.rlike("[-_/]") & compound)
 
     return F.filter(tokens_, lambda t: ~mechanism(t))
 
@@ -185,7 +186,7 @@ def content_flags(text: Column) -> dict[str, Column]:
 def web_terms(query: Column) -> Column:
     """Words of a query of four letters or more (hyphens kept), without the web stop words."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit("[a-z0-9][a-z0-9-]{3,}"), F.lit(0)))
-    return F.filter(found, lambda t: ~t.isin(*dims.WEB_STOPWORDS))
+    return F.filter(found, lambda t: ~_among(t, dims.WEB_STOPWORDS))
 
 
 def substring_coverage(terms: Column, text: Column) -> Column:

@@ -14,30 +14,38 @@ from pyspark.sql.window import Window
 from quarryspan import dims
 from quarryspan.functions import text as T
 from quarryspan.functions.ids import level_weight
+from quarryspan.session import cut
 
 POOL_KEY = ["session_id", "source_type"]
 
 
 def tokenised(pool: DataFrame) -> DataFrame:
-    """The pool with the tokens of the candidate's text (t) and those shared with the query (shared).
+    """Candidates by their tokens only: pool key, id, evidence_level, q, d and a (tokens of the query, telling ones, anchors), nt, bonus, filled, shared.
 
-    The pool has the query's tokens (q): they are made once a session, before candidates are joined.
+    The query's tokens are made once a session, before candidates are joined. The result is narrow (no texts)
+    and is read several times, so it is written once.
     """
-    return pool.withColumn("t", T.tokens(F.col("text"))).withColumn("shared", F.array_intersect("q", "t"))
+    rows = pool.withColumn("t", T.tokens(F.col("text")))
+    bonus = F.lit(0.0)
+    for source, words in dims.STRUCTURAL.items():
+        has = F.arrays_overlap("t", F.split(F.lit(" ".join(words)), " "))
+        bonus = F.when((F.col("source_type") == source) & has, F.lit(0.3 if source == "web" else 0.5)).otherwise(bonus)
+    level = "evidence_level" if "evidence_level" in pool.columns else F.lit(None).cast("string").alias("evidence_level")
+    filled = F.regexp_replace("text", r"\s", "") != ""
+    return cut(rows.select(*POOL_KEY, "id", level, "q", "d", "a", F.size("t").alias("nt"), bonus.alias("bonus"), filled.alias("filled"), F.array_intersect("q", "t").alias("shared")))
 
 
 def pool_weights(rows: DataFrame) -> DataFrame:
     """(pool, token, weight, salient): weights of the query's tokens in each pool, and which are the most telling."""
     hits = rows.select(*POOL_KEY, F.explode("shared").alias("token")).groupBy(*POOL_KEY, "token").agg(F.count("*").alias("df"))
-    size = rows.groupBy(*POOL_KEY).agg(F.count_if(F.trim(F.regexp_replace("text", r"\s", "")) != "").alias("n"), F.first("q").alias("q"))
-    asked = size.select(*POOL_KEY, "n", F.size(T.discriminative(F.col("q"))).alias("nd"), F.explode("q").alias("token"))
+    size = rows.groupBy(*POOL_KEY).agg(F.count_if("filled").alias("n"), F.first("q").alias("q"), F.first("d").alias("d"))
+    asked = size.select(*POOL_KEY, "n", "d", F.explode("q").alias("token"))
     out = asked.join(hits, [*POOL_KEY, "token"], "left")
     weight = F.when(F.col("df").isNull(), F.lit(1.0)).otherwise(F.log(1.0 + F.col("n") / (1.0 + F.col("df"))))
-    telling = (F.length("token") >= 3) & ~F.col("token").isin(*dims.BROAD)
-    out = out.withColumn("weight", F.when(F.col("n") >= dims.MIN_POOL, weight).otherwise(1.0))
-    candidate = telling | (F.col("nd") == 0)
-    rank = F.row_number().over(Window.partitionBy(*POOL_KEY, candidate).orderBy(F.desc("weight"), "token"))
-    return out.select(*POOL_KEY, "token", "weight", "n", F.coalesce("df", F.lit(0)).alias("df"), telling.alias("telling"), (candidate & (rank <= dims.TOP_SALIENT) & (F.col("n") >= dims.MIN_POOL)).alias("salient"))
+    telling = F.array_contains("d", F.col("token"))
+    out = out.withColumn("weight", F.when(F.col("n") >= dims.MIN_POOL, weight).otherwise(1.0)).withColumn("telling", telling).withColumn("candidate", telling | (F.size("d") == 0))
+    rank = F.row_number().over(Window.partitionBy(*POOL_KEY, "candidate").orderBy(F.desc("weight"), "token"))
+    return out.select(*POOL_KEY, "token", "weight", "n", F.coalesce("df", F.lit(0)).alias("df"), "telling", (F.col("candidate") & (rank <= dims.TOP_SALIENT) & (F.col("n") >= dims.MIN_POOL)).alias("salient"))
 
 
 def scored(pool: DataFrame) -> DataFrame:
@@ -48,16 +56,10 @@ def scored(pool: DataFrame) -> DataFrame:
     """
     rows = tokenised(pool)
     weights = pool_weights(rows)
-    anchors = T.subject_anchors(T.discriminative(F.col("q")))
-    anchored = weights.groupBy(*POOL_KEY).agg(F.sum(F.col("weight")).alias("total"), F.count_if("salient").alias("n_salient"))
-    structural = F.lit(0.0)
-    for source, words in dims.STRUCTURAL.items():
-        bonus = 0.3 if source == "web" else 0.5
-        has = F.arrays_overlap("t", F.array(*map(F.lit, words)))
-        structural = F.when((F.col("source_type") == source) & has, F.lit(bonus)).otherwise(structural)
-    base = rows.select(*POOL_KEY, "id", "evidence_level", F.size("q").alias("nq"), F.size("t").alias("nt"), F.size(T.discriminative(F.col("q"))).alias("nd"), F.size(anchors).alias("na"), F.size("shared").alias("shared"), F.size(F.array_intersect("shared", T.discriminative(F.col("q")))).alias("disc"), F.size(F.array_intersect("shared", anchors)).alias("anchor"), F.size(F.filter("shared", lambda t: F.length(t) >= 6)).alias("long"), structural.alias("bonus"), F.col("shared").alias("tokens"))
-    got = base.select(*POOL_KEY, "id", F.explode("tokens").alias("token")).join(weights.select(*POOL_KEY, "token", "weight", "salient"), [*POOL_KEY, "token"]).groupBy(*POOL_KEY, "id").agg(F.sum("weight").alias("matched"), F.count_if("salient").alias("salient"))
-    out = base.drop("tokens").join(got, [*POOL_KEY, "id"], "left").join(anchored, POOL_KEY, "left")
+    totals = weights.groupBy(*POOL_KEY).agg(F.sum("weight").alias("total"), F.count_if("salient").alias("n_salient"))
+    base = rows.select(*POOL_KEY, "id", "evidence_level", F.size("q").alias("nq"), "nt", F.size("d").alias("nd"), F.size("a").alias("na"), F.size("shared").alias("shared"), F.size(F.array_intersect("shared", "d")).alias("disc"), F.size(F.array_intersect("shared", "a")).alias("anchor"), F.size(F.filter("shared", lambda t: F.length(t) >= 6)).alias("long"), "bonus")
+    got = rows.select(*POOL_KEY, "id", F.explode("shared").alias("token")).join(weights.select(*POOL_KEY, "token", "weight", "salient"), [*POOL_KEY, "token"]).groupBy(*POOL_KEY, "id").agg(F.sum("weight").alias("matched"), F.count_if("salient").alias("salient"))
+    out = base.join(got, [*POOL_KEY, "id"], "left").join(totals, POOL_KEY, "left")
     ratio = F.coalesce(F.expr("try_divide(coalesce(matched, 0), total)"), F.lit(0.0))
     raw = ratio * 8.0 + F.col("bonus") + F.least(F.col("long") * 0.3, F.lit(1.0))
     empty = (F.col("nq") == 0) | (F.col("nt") == 0)
@@ -102,3 +104,21 @@ def phrase_score(query: Column, text: Column) -> Column:
         hit = (n >= size) & F.exists(grams, lambda g: F.contains(low, g))
         runs = F.when(hit, size / n) if runs is None else runs.when(hit, size / n)
     return T.rounded(F.least(F.lit(1.5), found + F.when(phrase, 1.0).otherwise(F.coalesce(runs, F.lit(0.0)))))
+
+
+def evaluate_gold(gold: DataFrame, sweep: list[float] | None = None) -> DataFrame:
+    """Metrics of a gold set (query_id, query, source_type, pos, label, text), by query and threshold.
+
+    Without thresholds, candidates are accepted by the gates; with thresholds, by gates with each as the least score.
+    """
+    from quarryspan.operators.ranking import average_precision
+
+    queries = gold.select("query_id", "query").distinct().withColumn("q", T.tokens(F.col("query")))
+    queries = queries.withColumn("d", T.discriminative(F.col("q"))).withColumn("a", T.subject_anchors(F.col("d"))).drop("query")
+    rows = gold.join(queries, "query_id").select(F.col("query_id").alias("session_id"), "source_type", F.col("pos").alias("id"), "text", "label", "q", "d", "a")
+    judged = gates(scored(rows)).select("session_id", "id", "score", "reason").join(rows.select("session_id", "id", "label"), ["session_id", "id"])
+    steps = F.array(*map(F.lit, sweep)) if sweep else F.array(F.lit(None).cast("double"))
+    judged = judged.withColumn("threshold", F.explode(steps))
+    passed = F.col("reason").isin("accepted", "below_threshold")
+    accepted = F.when(F.col("threshold").isNull(), F.col("reason") == "accepted").otherwise(passed & (F.col("score") >= F.col("threshold")))
+    return average_precision(judged, ["session_id", "threshold"], F.col("score"), F.col("label") == 1, accepted, "id")

@@ -52,8 +52,7 @@ def f02_web_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 def f03_shares_discriminative(spark: SparkSession, folder: str) -> DataFrame:
     rows = O.tokenised(pool(spark, folder))
-    telling = T.discriminative(F.col("q"))
-    return rows.select("id", ((F.size(telling) == 0) | F.arrays_overlap(telling, "t")).alias("shares"))
+    return rows.select("id", ((F.size("d") == 0) | F.arrays_overlap("d", "shared")).alias("shares"))
 
 
 def f04_tiers(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspan.functions.text import tokens
+from quarryspan.functions.text import discriminative, subject_anchors, tokens
 from quarryspan.tables import load
 
 
@@ -32,9 +32,13 @@ def sessions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Each item as a candidate for the query of its session: session_id, source_type, id, query and its tokens q, text and more columns."""
+    """Each item as a candidate for the query of its session: session_id, source_type, id, query, text and more columns.
+
+    The query has its tokens q, the telling ones d, and the anchors a.
+    """
     rows = items(spark, folder, "session_id", "source_type", "title", "summary", *columns)
     queries = sessions(spark, folder, "original_query").select("session_id", F.col("original_query").alias("query"), tokens(F.col("original_query")).alias("q"))
+    queries = queries.withColumn("d", discriminative(F.col("q"))).withColumn("a", subject_anchors(F.col("d")))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
     return rows.join(queries, "session_id").withColumn("text", text)
 
