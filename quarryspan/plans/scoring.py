@@ -92,7 +92,7 @@ def d03_restore_all(spark: SparkSession, folder: str) -> DataFrame:
 def st05_lineage(spark: SparkSession, folder: str) -> DataFrame:
     """How many candidates each gate kept or rejected, by source: the lineage of all decisions."""
     rows = O.gates(_scored(spark, folder))
-    return rows.groupBy("source_type", "reason").agg(F.count("*").alias("n"), T.rounded(F.avg("score"), 4).alias("mean_score"))
+    return rows.groupBy("source_type", "reason").agg(F.count("*").alias("n"), F.sum(F.rint(F.col("score") * 100).cast("long")).alias("score_cents"))
 
 
 _W = f"""{S.POOL},
@@ -151,5 +151,5 @@ SELECT session_id, rank_no, id, score FROM o WHERE rank_no <= 20""",
 WITH {_SC}, o AS (SELECT *, reason = 'accepted' AS kept FROM g WHERE source_type = 'publication'),
 k AS (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY session_id) AS n, row_number() OVER (PARTITION BY session_id, kept ORDER BY score DESC, id) AS i FROM o)
 SELECT session_id, id, score, kept FROM k WHERE kept OR i <= 3 - n""",
-    "st05_lineage": f"WITH {_SC} SELECT source_type, reason, count(*) AS n, round_even(avg(score), 4) AS mean_score FROM g GROUP BY ALL",
+    "st05_lineage": f"WITH {_SC} SELECT source_type, reason, count(*) AS n, sum(round_even(score * 100, 0)::BIGINT)::BIGINT AS score_cents FROM g GROUP BY ALL",
 }
