@@ -92,7 +92,7 @@ def phrase_score(query: Column, text: Column) -> Column:
     q = F.lower(F.coalesce(query, F.lit("")))
     words = F.filter(F.split(F.trim(F.regexp_replace(q, "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) >= 3)
     found = F.least(F.lit(1.2), 0.4 * F.size(F.filter(F.array_distinct(words), lambda w: F.contains(low, w))))
-    phrase = F.exists(F.filter(F.transform(F.split(q, "[,;|]"), F.trim), lambda p: F.length(p) >= 6), lambda p: F.contains(low, p))
+    phrase = F.exists(F.filter(F.transform(F.split(q, "[,;|]"), lambda p: F.trim(p)), lambda p: F.length(p) >= 6), lambda p: F.contains(low, p))
     n = F.size(words)
     runs = None
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.plans import identity, quality, ranking, references, scoring, sources, streams, text
+from quarryspan.plans import identity, quality, ranking, references, scoring, sources, streams, structured, text
 
-MODULES = [references, text, scoring, ranking, identity, quality, sources, streams]
+MODULES = [references, text, scoring, ranking, identity, quality, sources, streams, structured]
 FLAGSHIP = references.p6_found
 
 
