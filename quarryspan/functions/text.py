@@ -33,8 +33,8 @@ def singular(x: Column) -> Column:
 
 def stem(x: Column) -> Column:
     """A light English stem: plural first, then one derivational suffix of longer words."""
-    s = singular(x)
-    return F.when(F.length(s) <= 4, s).otherwise(_first_suffix(s, dims.DERIVATIONS))
+    # by way of an array, so that the first step is evaluated once and not at each use
+    return F.element_at(F.transform(F.transform(F.array(x), lambda t: singular(t)), lambda t: _derived(t)), 1)
 
 
 def _derived(s: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.plans import identity, more, quality, ranking, references, scoring, sources, streams, structured, text
+from quarryspan.plans import composed, identity, more, quality, ranking, references, scoring, sources, streams, structured, text
 
-MODULES = [references, text, scoring, ranking, identity, quality, sources, streams, structured, more]
+MODULES = [references, text, scoring, ranking, identity, quality, sources, streams, structured, more, composed]
 FLAGSHIP = references.p6_found
 
 

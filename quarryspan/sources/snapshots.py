@@ -37,9 +37,9 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("source_type").parquet(path)
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """A gold set (queries with labelled candidates, JSON) as rows query_id, query, source_type, pos, label, text."""
-    raw = spark.read.option("multiLine", True).json(path).select(F.explode("queries").alias("q"))
+def read_gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A gold set (queries with labelled candidates, JSON) as rows query_id, query, source_type, pos, label, text; lines: one object a line."""
+    raw = spark.read.option("multiLine", not lines).json(path).select(F.explode("queries").alias("q"))
     rows = raw.select(F.col("q.id").alias("query_id"), F.col("q.query").alias("query"), F.col("q.source_type").alias("source_type"), F.posexplode("q.candidates").alias("pos", "c"))
     return rows.select("query_id", "query", "source_type", "pos", F.col("c.label").cast("int").alias("label"), F.trim(F.concat_ws("\n", "c.title", "c.text")).alias("text"))
 
