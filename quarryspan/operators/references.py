@@ -108,7 +108,8 @@ def orphan_references(references: list[Reference], parents: dict[str, tuple[Data
     refs, known = (df.withColumn("h", hashed).withColumn("r", in_range) for df in (refs, known))
     counts = {x["r"]: x["count"] for x in refs.groupBy("r").count().collect()}
     parts = [-(-counts.get(r, 0) // part_rows) or 1 for r in range(1 << bits)]
-    split = F.element_at(F.array(*[F.lit(n) for n in parts]), F.col("r") + 1)
+    # one constant, however many ranges there are
+    split = F.element_at(F.split(F.lit(",".join(map(str, parts))), ","), F.col("r") + 1).cast("int")
     refs = refs.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int"))
     known = known.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1)))
     out = refs.groupBy("r", "part").cogroup(known.groupBy("r", "part")).applyInArrow(
