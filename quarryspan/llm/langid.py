@@ -23,11 +23,13 @@ from quarryspan.llm.lookalike import transducer
 #: The languages that are told apart; labels of others are never right.
 LANGUAGES = ("de", "en", "es", "fr", "hi", "ja", "ru", "sk", "th")
 #: Labelled rows that are read for training at most, and windows of each language that are trained on.
-SAMPLE_ROWS, WINDOWS = 6_000, 1_500
+SAMPLE_ROWS, WINDOWS = 6_000, 2_500
 LENGTH, WIDTHS, FILTERS, EMBEDDING = 48, (2, 3, 4, 5), 32, 12
 PAD = 256
 #: A segment has so many words at least; a change of language costs so much log probability.
 LEAST_WORDS, CHANGE = 4, 7.0
+#: A segment beside another has at least so much confidence.
+LEAST_CONFIDENCE = 0.8
 
 # Names and codes by which labels call the languages.
 NAMES = {
@@ -201,22 +203,30 @@ def segments(net: ByteNetwork, text: str | None) -> list[tuple[int, int, str, fl
     for i in range(n - 1, 0, -1):
         path[i - 1] = back[i][path[i]]
     runs = _runs(path)
-    while len(runs) > 1:  # too short for a segment: part of the neighbour that fits it better
+    while len(runs) > 1:  # too short or unsure for a segment: part of the neighbour that fits it better
         sizes = [b - a for a, b in runs]
+        sure = [_confidence(logs[a:b], path[a]) for a, b in runs]
         k = int(np.argmin(sizes))
         if sizes[k] >= LEAST_WORDS:
-            break
+            k = int(np.argmin(sure))
+            if sure[k] >= LEAST_CONFIDENCE:
+                break
         a, b = runs[k]
         sides = [path[runs[j][0]] for j in (k - 1, k + 1) if 0 <= j < len(runs)]
         path[a:b] = max(sides, key=lambda s: logs[a:b, s].sum())
         runs = _runs(path)
     out = []
     for a, b in runs:
-        mean = logs[a:b].mean(axis=0)
-        out.append((a, b, LANGUAGES[path[a]], float(np.exp(mean[path[a]]) / np.exp(mean).sum())))
+        out.append((a, b, LANGUAGES[path[a]], _confidence(logs[a:b], path[a])))
     return out
 
 
+def _confidence(logs: np.ndarray, language: int) -> float:
+    """The share of a language in the mean of the windows' log probabilities."""
+    mean = logs.mean(axis=0)
+    return float(np.exp(mean[language]) / np.exp(mean).sum())
+
+
 def _runs(path: np.ndarray) -> list[tuple[int, int]]:
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     return list(zip(cuts, cuts[1:]))
