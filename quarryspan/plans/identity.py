@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryspan import dims
 from quarryspan.functions import ids as U
+from quarryspan.functions import structured as X
 from quarryspan.functions import text as T
 from quarryspan.operators.ranking import case_rank
 from quarryspan.plans import sql as S
@@ -28,6 +29,17 @@ def q03_query_hash(spark: SparkSession, folder: str) -> DataFrame:
     return _queries(spark, folder).where(~F.col("query").rlike(r"[^\x00-\x7f]")).select("session_id", U.sha_prefix(form, 24).alias("query_hash"), U.sha_prefix(form, 32).alias("fingerprint"), F.sha2(form, 256).alias("input_hash"))
 
 
+def q02_normalized_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries of all sessions in one form: compatibility form, single blanks, lower case; without SQL, which lacks that form."""
+    return _queries(spark, folder).select("session_id", X.query_form(F.col("query")).alias("normalized"))
+
+
+def q03_query_hash_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The hashes of the queries of all sessions, over the same form."""
+    form = F.col("normalized")
+    return q02_normalized_all(spark, folder).select("session_id", U.sha_prefix(form, 24).alias("query_hash"), U.sha_prefix(form, 32).alias("fingerprint"), F.sha2(form, 256).alias("input_hash"))
+
+
 def q04_envelope_terms(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct words of a query of three characters or more, without stop words, in order."""
     found = F.regexp_extract_all(F.lower(F.col("query")), F.lit(r"[\p{L}\p{N}_-]{3,}"), F.lit(0))
@@ -206,7 +218,7 @@ _STRIP = "f0"
 for _ in range(3):
     _STRIP = f"trim(regexp_replace({_STRIP}, '{FRAMES.replace(chr(39), chr(39) * 2)}', '', 'i'))"
 
-QUERIES = {f.__name__: f for f in (q02_normalized, q03_query_hash, q04_envelope_terms, q05_ascii_language, q06_strip_framing, q09_consolidated_atoms, q13_synonyms, q14_synonym_variants, q16_search_plan, q17_patent_variants, q18_publication_query, q19_planned_query, q21_low_confidence, u01_canonical_url, u02_identity_url, u03_url_policy, u04_domain_rank, u05_patent_numbers, u06_dedupe_keys, u07_publication_identity, u11_promoted_level, u12_canonical_id, u13_example_id, u16_document_ids, u18_level_weight)}
+QUERIES = {f.__name__: f for f in (q02_normalized, q02_normalized_all, q03_query_hash, q03_query_hash_all, q04_envelope_terms, q05_ascii_language, q06_strip_framing, q09_consolidated_atoms, q13_synonyms, q14_synonym_variants, q16_search_plan, q17_patent_variants, q18_publication_query, q19_planned_query, q21_low_confidence, u01_canonical_url, u02_identity_url, u03_url_policy, u04_domain_rank, u05_patent_numbers, u06_dedupe_keys, u07_publication_identity, u11_promoted_level, u12_canonical_id, u13_example_id, u16_document_ids, u18_level_weight)}
 ORACLE = {
     "q02_normalized": f"SELECT session_id, lower({S.squeezed('original_query')}) AS normalized FROM research_sessions WHERE {_ASCII}",
     "q03_query_hash": f"WITH n AS (SELECT session_id, sha256(lower({S.squeezed('original_query')})) AS h FROM research_sessions WHERE {_ASCII}) SELECT session_id, left(h, 24) AS query_hash, left(h, 32) AS fingerprint, h AS input_hash FROM n",
