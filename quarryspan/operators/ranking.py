@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryspan import dims
+from quarryspan.session import cut
+
 
 def best_rows(df: DataFrame, group: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group in an order that ends in a unique column, with rank_no."""
@@ -16,6 +19,35 @@ def best_rows(df: DataFrame, group: list[str], order: list[Column], n: int = 1)
     return df.withColumn("rank_no", rank).where(F.col("rank_no") <= n)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Every row with rank_no, its place in its group, in an order that ends in a unique column.
+
+    No group has to fit into one task: rows are partitioned by ranges of group and order, numbered within
+    each range, and each range of a group begins where those before it end. A null group key is a group like any other.
+    """
+    rows = cut(df.repartitionByRange(*group, *order)).withColumn("_part", F.spark_partition_id())
+    counts = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = {c: f"_k{i}" for i, c in enumerate([*group, "_part"])}
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*[F.col(c).alias(k) for c, k in keys.items()], "_before")
+    on = F.lit(True)
+    for c, k in keys.items():
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    place = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    out = rows.withColumn("_place", place).join(counts, on)
+    return out.select(*df.columns, (F.col("_place") + F.col("_before")).alias("rank_no"))
+
+
+def hit_order(df: DataFrame, group: list[str], label: Column, score: Column, arrival: str) -> DataFrame:
+    """All hits of each group by the rank of their relevance label, then by score, ties in the order of arrival.
+
+    An unknown or missing label ranks lowest; a missing score is 0, and so is NaN, which has no order.
+    """
+    clean = F.when(~F.isnan(score), score)
+    rows = df.select(*group, arrival, case_rank(label, dims.RELEVANCE_RANK, 0).alias("_rank"), F.coalesce(clean, F.lit(0.0)).alias("_score"))
+    return numbered(rows, group, [F.desc("_rank"), F.desc("_score"), F.asc(arrival)]).select(*group, "rank_no", arrival)
+
+
 def case_rank(column: Column, ranks: dict[str, int], unknown: int = -1) -> Column:
     """A rank by value; unknown values have the rank given for them."""
     out = None

@@ -10,6 +10,7 @@ from quarryspan import dims
 from quarryspan.functions import ids as U
 from quarryspan.functions import text as T
 from quarryspan.operators import ranking as R
+from quarryspan.operators.quality import relevance_label
 from quarryspan.plans import sql as S
 from quarryspan.plans.views import attempts, decisions, items, sessions
 
@@ -46,6 +47,15 @@ def w05_hit_order(spark: SparkSession, folder: str) -> DataFrame:
     return R.best_rows(rows, KEY, order, 20).select(*KEY, "rank_no", "id")
 
 
+def w05_hit_order_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All items of each session and source by relevance label and score, ties in the order of arrival.
+
+    The tables have no label, so it comes from the score. Without SQL: that of w05_hit_order ends after twenty.
+    """
+    rows = items(spark, folder, *KEY, "relevance_score")
+    return R.hit_order(rows, KEY, relevance_label(F.col("relevance_score")), F.col("relevance_score"), "id")
+
+
 def w06_web_order(spark: SparkSession, folder: str) -> DataFrame:
     """Web items by score, kind of host, host and address; ten a session."""
     rows = items(spark, folder, *KEY, "url", "relevance_score").where("source_type = 'web' AND url <> ''")
@@ -195,7 +205,7 @@ def _rank(x: str, ranks: dict[str, int]) -> str:
 _BEST = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type ORDER BY {_rank('quality_grade', dims.GRADE_RANK)} DESC, {_rank('status', dims.STATUS_RANK)} DESC, hit_count DESC NULLS LAST, attempt DESC, id) AS r FROM a) WHERE r = 1)"
 _HOST_RANK = f"CASE WHEN h IN ({S.quoted(dims.PATENT_HOSTS)}) OR ends_with(h, '.patents.google.com') THEN 3 WHEN ends_with(h, '.gov') OR ends_with(h, '.edu') THEN 0 WHEN contains(h, 'docs.') OR contains(h, 'developer.') OR contains(h, 'support.') OR contains(h, 'github.io') THEN 1 ELSE 2 END"
 
-QUERIES = {f.__name__: f for f in (w01_latest_attempt, w02_best_attempt, w03_best_evidence, w05_hit_order, w06_web_order, w07_provider_weighted, w08_stratified_sample, w10_snapshot_numbers, a15_attempt_stats, d01_greedy_dedupe, d02_publication_dedupe, d03_first_per_url, d05_merged_pack, d06_insert_stats, d07_providers_in_order, a23_metrics, a24_threshold_sweep, a25_provider_shares, st01_ttl_cache, st03_sessions_upsert, st06_decision_counts)}
+QUERIES = {f.__name__: f for f in (w01_latest_attempt, w02_best_attempt, w03_best_evidence, w05_hit_order, w05_hit_order_all, w06_web_order, w07_provider_weighted, w08_stratified_sample, w10_snapshot_numbers, a15_attempt_stats, d01_greedy_dedupe, d02_publication_dedupe, d03_first_per_url, d05_merged_pack, d06_insert_stats, d07_providers_in_order, a23_metrics, a24_threshold_sweep, a25_provider_shares, st01_ttl_cache, st03_sessions_upsert, st06_decision_counts)}
 ORACLE = {
     "w01_latest_attempt": f"WITH {_A} SELECT session_id, source_type, id, attempt, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type ORDER BY attempt DESC, id DESC) AS r FROM a) WHERE r = 1",
     "w02_best_attempt": f"WITH {_A}, {_BEST} SELECT session_id, source_type, id, quality_grade, status FROM best",

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from quarryspan.functions import structured as X
-from quarryspan.plans import identity
+from quarryspan.operators.ranking import hit_order
+from quarryspan.plans import identity, ranking
 from quarryspan.tables import load
 
 
@@ -31,3 +33,26 @@ def test_every_session_has_a_form_and_hashes(spark, folder):
         digest = hashlib.sha256(form(queries.pop(r["session_id"])).encode()).hexdigest()
         assert (r["query_hash"], r["fingerprint"], r["input_hash"]) == (digest[:24], digest[:32], digest)
     assert not queries
+
+
+def test_hit_order_numbers_every_row(spark):
+    rng = random.Random(3)
+    ranks = {"focused": 3, "direct": 3, "exact": 3, "adjacent": 2, "loose": 2, "generic": 1}
+    labels = [*ranks, " Focused ", "", None, "unheard"]
+    hits = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.choice(labels), rng.choice([None, 0.0, 1.0, 2.5, -1.0, float("nan")])) for i in range(3000)]
+    want = set()
+    for g in {h[0] for h in hits}:
+        own = sorted((h for h in hits if h[0] == g), key=lambda h: h[1])
+        own.sort(key=lambda h: (ranks.get((h[2] or "").strip().lower(), 0), 0.0 if h[3] is None or h[3] != h[3] else h[3]), reverse=True)
+        want |= {(g, k, h[1]) for k, h in enumerate(own, 1)}
+    df = spark.createDataFrame(hits, "g string, id long, label string, score double").repartition(7)
+    got = [tuple(r) for r in hit_order(df, ["g"], F.col("label"), F.col("score"), "id").collect()]
+    assert len(got) == len(hits) and set(got) == want
+    assert hit_order(df.limit(0), ["g"], F.col("label"), F.col("score"), "id").count() == 0
+
+
+def test_no_item_is_left_out_of_the_order(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id", "'s' AS session_id", "'web' AS source_type", "cast(id % 9 AS double) AS relevance_score")
+    rows.unionByName(rows.limit(5)).write.parquet(str(tmp_path / "raw_evidence_items.parquet"))
+    got = {r["rank_no"]: r["id"] for r in ranking.w05_hit_order_all(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(1, 61)] == sorted(range(60), key=lambda i: (-(i % 9), i))
