@@ -67,6 +67,23 @@ def scored(pool: DataFrame) -> DataFrame:
     return out.select(*POOL_KEY, "id", "evidence_level", "nq", "nd", "na", "shared", "disc", "anchor", "long", F.coalesce("salient", F.lit(0)).alias("salient"), F.coalesce("n_salient", F.lit(0)).alias("n_salient"), F.when(empty, 0.0).otherwise(clamp(raw)).alias("score"), F.when(empty, 0.0).otherwise(clamp(raw * level_weight(F.col("evidence_level")))).alias("level_score"))
 
 
+def on_topic() -> Column:
+    """Whether a scored candidate shares a telling word with its query, if that has any."""
+    return (F.col("nd") == 0) | (F.col("disc") > 0)
+
+
+def tiered(scores: DataFrame, group: list[str], floor: bool) -> DataFrame:
+    """Rows at or above the threshold of their group, with it: the second tier where the first leaves fewer than three
+    and it keeps more; with floor, the third one where no row passes the others."""
+    first, second, third = dims.PATENT_TIERS
+    by = Window.partitionBy(*group)
+    rows = scores.withColumn("_n1", F.count_if(F.col("score") >= first).over(by)).withColumn("_n2", F.count_if(F.col("score") >= second).over(by))
+    tier = F.when((F.col("_n1") < 3) & (F.col("_n2") > F.col("_n1")), second).otherwise(first)
+    if floor:
+        tier = F.when(F.col("_n2") == 0, third).otherwise(tier)
+    return rows.withColumn("threshold", tier.cast("double")).where(F.col("score") >= F.col("threshold")).drop("_n1", "_n2")
+
+
 def gates(scores: DataFrame) -> DataFrame:
     """The first gate that each candidate fails, or accepted; every candidate keeps its row (its lineage)."""
     need_shared = F.when(F.col("nq") >= 6, 3).otherwise(2)

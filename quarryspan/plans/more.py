@@ -100,12 +100,12 @@ def a17_relevance_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def d08_patent_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole search over patents: all providers' rows in order, duplicates out, scored, tiers, ten best."""
+    """The whole search over patents: all providers' rows in order, duplicates out, scored, off topic out, tiers, ten best."""
     rows = pool(spark, folder, "evidence_level", "canonical_id").where("source_type = 'patent'")
     title = U.title_key(F.col("title"))
     keys = rows.select("session_id", "id", U.family_number(F.regexp_replace("canonical_id", "^patent:", "")).alias("number_key"), F.when(F.length(title) >= 12, title).otherwise("").alias("title_key"))
-    kept = R.greedy_first(keys, ["session_id"], "id", ["number_key", "title_key"], 80).select("session_id", "id")
-    scores = O.scored(rows.join(kept, ["session_id", "id"], "left_semi")).where(F.col("score") >= dims.PATENT_TIERS[1])
+    kept = R.greedy_first(keys, ["session_id"], "id", ["number_key", "title_key"]).select("session_id", "id")
+    scores = O.tiered(O.scored(rows.join(kept, ["session_id", "id"], "left_semi")).where(O.on_topic()), ["session_id"], floor=True)
     return R.best_rows(scores, ["session_id"], [F.desc("score"), F.asc("id")], 10).select("session_id", "rank_no", "id", "score")
 
 

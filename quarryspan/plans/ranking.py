@@ -97,11 +97,15 @@ def a15_attempt_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def d01_greedy_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    """Patents of each session, first wins on number or title, at most eighty; sequential, so without SQL."""
+    """Patents of each session, first wins on number or title; sequential, so without SQL.
+
+    The reference caps single calls of providers, and the union of these not at all. The tables hold what the calls gave,
+    and not which call gave a row, so there is nothing left to cap.
+    """
     rows = items(spark, folder, *KEY, "canonical_id", "title").where("source_type = 'patent'")
     title = U.title_key(F.col("title"))
     rows = rows.select("session_id", "id", U.family_number(F.regexp_replace("canonical_id", "^patent:", "")).alias("number_key"), F.when(F.length(title) >= 12, title).otherwise("").alias("title_key"))
-    return R.greedy_first(rows, ["session_id"], "id", ["number_key", "title_key"], 80).select("session_id", "id")
+    return R.greedy_first(rows, ["session_id"], "id", ["number_key", "title_key"]).select("session_id", "id")
 
 
 def d02_publication_dedupe(spark: SparkSession, folder: str) -> DataFrame:

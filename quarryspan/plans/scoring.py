@@ -57,16 +57,18 @@ def f03_shares_discriminative(spark: SparkSession, folder: str) -> DataFrame:
 
 def f04_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """Patents under a threshold by tiers: the second one where the first leaves fewer than three and it keeps more."""
-    first, second, _ = dims.PATENT_TIERS
     by = Window.partitionBy("session_id")
-    rows = _scored(spark, folder).where("source_type = 'patent'").select("session_id", "id", "score")
-    rows = rows.withColumn("n1", F.count_if(F.col("score") >= first).over(by)).withColumn("n2", F.count_if(F.col("score") >= second).over(by))
-    tier = F.when((F.col("n1") < 3) & (F.col("n2") > F.col("n1")), second).otherwise(first)
-    kept = rows.withColumn("threshold", tier.cast("double")).where(F.col("score") >= F.col("threshold"))
+    kept = O.tiered(_scored(spark, folder).where("source_type = 'patent'").select("session_id", "id", "score"), ["session_id"], floor=False)
     rank = F.row_number().over(by.orderBy(F.desc("score"), "id"))
     return kept.withColumn("rank_no", rank).where("rank_no <= 10").select("session_id", "rank_no", "id", "score", "threshold")
 
 
+def f04_tiers_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All patents on the topic under the threshold of their session, by three tiers; without SQL: that of f04_tiers has two, and ten rows."""
+    rows = _scored(spark, folder).where("source_type = 'patent'").where(O.on_topic()).select("session_id", "id", "score")
+    return O.tiered(rows, ["session_id"], floor=True).select("session_id", "id", "score", "threshold")
+
+
 def f05_publication_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Publications above their gate, best first, at most twenty a session."""
     rows = O.gates(_scored(spark, folder)).where(f"source_type = 'publication' AND reason = 'accepted' AND score >= {dims.PUBLICATION_GATE}")
@@ -124,7 +126,7 @@ g AS (SELECT *, CASE
 
 _GRAMS = " ".join(f"WHEN len(w) >= {k} AND len(list_filter(list_transform(range(1, greatest(len(w) - {k} + 1, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + {k} - 1), ' ')), lambda x: contains(low, x))) > 0 THEN {k} / len(w)" for k in (5, 4, 3, 2))
 
-QUERIES = {f.__name__: f for f in (a01_idf, a02_scores, a03_level_scores, a04_phrase_score, w04_salient, f01_relevant, f02_web_gate, f03_shares_discriminative, f04_tiers, f05_publication_filter, d03_restore_all, d04_fill_back, st05_lineage)}
+QUERIES = {f.__name__: f for f in (a01_idf, a02_scores, a03_level_scores, a04_phrase_score, w04_salient, f01_relevant, f02_web_gate, f03_shares_discriminative, f04_tiers, f04_tiers_all, f05_publication_filter, d03_restore_all, d04_fill_back, st05_lineage)}
 ORACLE = {
     "a01_idf": f"WITH {_W} SELECT session_id, source_type, token, n, df, round_even(weight, 6) AS weight FROM w",
     "a02_scores": f"WITH {_SC} SELECT id, nq, shared, long, score FROM s",

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quarryspan.functions import structured as X
 from quarryspan.operators.ranking import hit_order
-from quarryspan.plans import identity, ranking
+from quarryspan.operators.scoring import tiered
+from quarryspan.plans import identity, more, ranking
 from quarryspan.tables import load
 
 
@@ -56,3 +57,23 @@ def test_no_item_is_left_out_of_the_order(spark, tmp_path):
     rows.unionByName(rows.limit(5)).write.parquet(str(tmp_path / "raw_evidence_items.parquet"))
     got = {r["rank_no"]: r["id"] for r in ranking.w05_hit_order_all(spark, str(tmp_path)).collect()}
     assert [got[k] for k in range(1, 61)] == sorted(range(60), key=lambda i: (-(i % 9), i))
+
+
+def test_tiers(spark):
+    pools = {"first": [2.8, 3.0, 4.0, 2.5], "second": [2.9, 2.3, 2.2, 2.1], "same": [2.9, 2.0], "third": [1.5, 2.1, 1.4], "none": [1.0]}
+    df = spark.createDataFrame([(g, x) for g, v in pools.items() for x in v], "g string, score double")
+    got = {(r["g"], r["score"], r["threshold"]) for r in tiered(df, ["g"], floor=True).collect()}
+    assert got == {("first", 2.8, 2.8), ("first", 3.0, 2.8), ("first", 4.0, 2.8), ("second", 2.9, 2.2), ("second", 2.3, 2.2), ("second", 2.2, 2.2), ("same", 2.9, 2.8), ("third", 1.5, 1.5), ("third", 2.1, 1.5)}
+    assert {r["g"] for r in tiered(df, ["g"], floor=False).collect()} == {"first", "second", "same"}
+
+
+def test_patents_past_the_eightieth_are_kept(spark, tmp_path):
+    letters = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = [(i, "s", "patent", f"US{5000000 + i}B1", f"Garden {letters(i)} soil {letters(i)} study", "On paint.", "p", "claim_verified", f"https://p.example/{i}") for i in range(120)]
+    rows.append((200, "s", "patent", "US9000000B1", "Biometric door lock with vibration sensor", "A biometric door lock with a vibration sensor and alarm.", "q", "claim_verified", "https://q.example/1"))
+    rows.append((201, "s", "patent", "US9000000B1", "Another", "Again.", "q", "claim_verified", "https://q.example/2"))
+    schema = "id long, session_id string, source_type string, canonical_id string, title string, summary string, provider string, evidence_level string, url string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "raw_evidence_items.parquet"))
+    spark.createDataFrame([("s", "biometric door lock vibration sensor alarm")], "session_id string, original_query string").write.parquet(str(tmp_path / "research_sessions.parquet"))
+    assert {r["id"] for r in ranking.d01_greedy_dedupe(spark, str(tmp_path)).collect()} == {*range(120), 200}
+    assert [(r["rank_no"], r["id"]) for r in more.d08_patent_search(spark, str(tmp_path)).collect()] == [(1, 200)]
