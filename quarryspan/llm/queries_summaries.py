@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspan.llm.residue import find_residue, labelled_sample, train, validate, without_residue
+from quarryspan.llm.residue import find_residue, labelled_sample, titled, train, validate, without_residue
 from quarryspan.llm.truncation import cut_texts, source_of
 from quarryspan.tables import load
 
@@ -23,7 +23,7 @@ def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 def _cut(spark: SparkSession, folder: str) -> DataFrame:
     items = load(spark, folder, "raw_evidence_items", "id", "summary", "title", "url", "provider")
-    cut = cut_texts(items).where("cut").select("id", "source", F.col("text").alias("summary"))
+    cut = cut_texts(items, titled=titled(F.col("title"))).where("cut").select("id", "source", F.col("text").alias("summary"), "titled")
     sample = labelled_sample(items)
     model = train(sample.texts, sample.titled, sample.labels)
     # residue is no case; only the texts found here are classified for that

@@ -253,13 +253,13 @@ def find_residue(items: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def without_residue(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows (id, source, summary) whose summary is no residue, in one pass."""
+    """The rows (id, source, summary, titled) whose summary is no residue, in one pass."""
 
     def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield part.filter(pa.array(~residue_flags(model, part.column(2), np.ones(part.num_rows, dtype=int))))
+            yield part.filter(pa.array(~residue_flags(model, part.column(2), part.column(3).to_numpy())))
 
-    return rows.select("id", "source", "summary").mapInArrow(kept, "id long, source string, summary string")
+    return rows.select("id", "source", "summary", "titled").mapInArrow(kept, "id long, source string, summary string, titled int")
 
 
 def _training(items: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -3,10 +3,11 @@
 For each source, histograms of the lengths (in characters and in bytes) of texts without terminal
 punctuation show a limit as a spike at the maximum: far more texts than at the lengths around it, and
 hardly any beyond. Texts of such a length are cut. So are texts with a mark of cutting or a broken character at
-their end. A text without all this is cut if it doesn't end as sentences of the corpus do: the
-last two words of every sentence are counted, and an ending that never closes a sentence is none.
+their end. A text without all this is cut if it doesn't end as sentences of the corpus do: every two
+neighbouring words are counted where they close a sentence and where they stand inside one, and an ending
+that closes too small a share of its occurrences is none.
 
-One pass over the texts gives both the texts without a proper end and, summed by batch, the endings.
+One pass over the texts, each once, gives both the texts without a proper end and, summed by part, the endings.
 """
 
 from __future__ import annotations
@@ -29,12 +30,17 @@ LEAST, TIMES, REACH, NEAR = 6, 5.0, 12, 4
 SHARE = 0.1
 #: An ending has to close so many sentences elsewhere to count as one.
 SUPPORT = 2
+#: ... and so large a share of all its occurrences, which doesn't change with the size of the corpus.
+CLOSING = 0.15
+#: Counts held by a task before they are passed on.
+HELD = 200_000
 CLOSERS = "\"”“»’)]）」』"
 TERMINAL = frozenset(".!?。！？।॥؟｡")
 _BROKEN_END = re.compile(r"(?:�|&[A-Za-z#0-9]{0,8}|[-–—,:;(\[{«„/])$")
 _INNER = re.compile(r"[.!?]+[\"”“»)\]]*\s+(?=[^\W_]|[¿¡«„“\"(\[])|[。！？]")
 _QUOTES = str.maketrans("", "", "\"”“„»«’()[]")
 _DIGIT = re.compile(r"\d")
+_NUMBERED = re.compile(r"\S*\d\S*")
 _ABBREVIATIONS = ANY | NUMBER
 
 
@@ -91,28 +97,53 @@ def inner_endings(text: str) -> list[str]:
     return out
 
 
+def inside_endings(text: str) -> list[str]:
+    """What would be the ending of the text were it cut behind any of its words but the last, as far as no sentence ends there."""
+    words = _NUMBERED.sub("#", text.translate(_QUOTES).lower()).split()
+    out = [f"{a} {b}" for a, b in zip(words, [w.rstrip(",;:") for w in words[1:-1]]) if b and b[-1] not in TERMINAL and not _unspaced(b[-1])]
+    if any(map(_unspaced, text)):
+        out += [text[i - 3:i] for i in range(3, len(text)) if _unspaced(text[i - 1]) and text[i] not in TERMINAL]
+    return out
+
+
 def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts without a proper end (kind 0), and counts of endings (kind 1)."""
+    """Rows of texts without a proper end (kind 0), and counts of endings (kind 1); rows of one id come to one task, and count once."""
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    seen: set[int | None] = set()
+    closes: Counter[str] = Counter()
+    inside: Counter[str] = Counter()
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCAN_COLUMNS)
+
+    def counts() -> pa.RecordBatch:
+        rows = [(1, None, None, None, None, None, None, e, None, None, closes[e], inside[e]) for e in closes.keys() | inside.keys()]
+        closes.clear()
+        inside.clear()
+        return batch(rows)
+
     for part in parts:
         rows: list[tuple] = []
-        closes: Counter[str] = Counter()
-        for i, s, t in zip(*(c.to_pylist() for c in part.columns)):
-            if not t or t.isspace():
+        for i, s, t, h in zip(*(c.to_pylist() for c in part.columns)):
+            if not t or t.isspace() or i in seen:
                 continue
+            seen.add(i)
             stop, marked, broken, is_open, ending = profile(t)
             closes.update(inner_endings(t))
+            inside.update(inside_endings(t))
             if stop:
                 if not is_open:
                     closes[ending] += 1
             else:
-                rows.append((0, i, s, t, marked or broken, is_open, ending, len(t), len(t.encode("utf-8", "replace")), 0))
-        rows += [(1, None, None, None, None, None, e, None, None, n) for e, n in closes.items()]
-        kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
-        columns = list(zip(*rows)) if rows else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCAN_COLUMNS)
+                rows.append((0, i, s, t, h, marked or broken, is_open, ending, len(t), len(t.encode("utf-8", "replace")), 0, 0))
+        yield batch(rows)
+        if len(inside) > HELD:
+            yield counts()
+    yield counts()
 
 
-SCAN_COLUMNS = ["kind", "id", "source", "text", "marked", "open", "ending", "chars", "bytes", "closes"]
+SCAN_COLUMNS = ["kind", "id", "source", "text", "titled", "marked", "open", "ending", "chars", "bytes", "closes", "inside"]
 
 
 def length_spikes(rows: DataFrame, least: int = LEAST, times: float = TIMES) -> DataFrame:
@@ -130,17 +161,17 @@ def length_spikes(rows: DataFrame, least: int = LEAST, times: float = TIMES) ->
     return found.where((F.col("texts") >= least) & (F.col("texts") >= SHARE * F.col("highest")) & (F.col("texts") >= times * usual) & (F.col("beyond") <= 0.5 * F.col("near"))).select("source", "unit", "size", "texts")
 
 
-def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider", key: str = "id") -> DataFrame:
-    """Rows (id, source, text, cut) of the items whose text has no proper end, each id once; cut is never null.
+def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider", key: str = "id", titled: Column | None = None) -> DataFrame:
+    """Rows (id, source, text, titled, cut) of the items whose text has no proper end, each id once; cut is never null.
 
     Null and blank texts are no rows. Lists of keywords, and scripts whose sentences have no end marks, are
     cut only by their length, a mark or a broken character. A source without a name has the spikes of all
-    others. An empty table gives no rows.
+    others. titled is passed on (1 without it). An empty table gives no rows.
     """
-    schema = "kind int, id long, source string, text string, marked boolean, open boolean, ending string, chars int, bytes int, closes long"
-    scan = cut(items.select(F.col(key).cast("long").alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text")).mapInArrow(_scan, schema))
+    schema = "kind int, id long, source string, text string, titled int, marked boolean, open boolean, ending string, chars int, bytes int, closes long, inside long"
+    scan = cut(items.select(F.col(key).cast("long").alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text"), (F.lit(1) if titled is None else titled).cast("int").alias("titled")).repartition("id").mapInArrow(_scan, schema))
     rows = scan.where("kind = 0")
-    endings = scan.where("kind = 1").groupBy("ending").agg(F.sum("closes").alias("closes"))
+    endings = scan.where("kind = 1").groupBy("ending").agg(F.sum("closes").alias("closes"), F.sum("inside").alias("inside")).where(F.col("closes") >= SUPPORT)
     spikes = length_spikes(rows)
 
     # a few lengths for each source: one row a source, and one for sources without a name
@@ -148,7 +179,7 @@ def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider",
         return df.groupBy(*by).agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("byte_limits"))
 
     limits = sizes(spikes, "source").unionByName(sizes(spikes).withColumn("source", F.lit("")))
-    unsure = rows.drop("kind", "closes").dropDuplicates(["id"]).join(limits, "source", "left").join(endings, "ending", "left")
+    unsure = rows.drop("kind", "closes", "inside").join(limits, "source", "left").join(endings, "ending", "left")
     at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("byte_limits", F.col("bytes")), F.lit(False))
-    ends = F.coalesce(F.col("closes"), F.lit(0)) >= SUPPORT
-    return unsure.select("id", "source", "text", (F.col("marked") | at_limit | (~F.col("open") & ~ends)).alias("cut"))
+    ends = F.coalesce(F.col("closes") >= CLOSING * (F.col("closes") + F.col("inside")), F.lit(False))
+    return unsure.select("id", "source", "text", "titled", (F.col("marked") | at_limit | (~F.col("open") & ~ends)).alias("cut"))

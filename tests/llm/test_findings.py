@@ -1,0 +1,29 @@
+"""Rows that were judged by too little: endings by their share, fields by the latent model."""
+
+from __future__ import annotations
+
+import pytest
+
+pytest.importorskip("quarryspan.llm")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from quarryspan.llm import truncation  # noqa: E402
+
+
+def test_an_ending_needs_a_share_of_its_occurrences(spark):
+    rows = [(i, "a", f"The valve {i} holds the drive shaft in place at night.") for i in range(40)]
+    rows += [(100 + i, "a", f"The sensor {i} is near the drive shaft.") for i in range(3)]
+    rows += [(200 + i, "a", f"The pump {i} runs under full load.") for i in range(3)]
+    # one real occurrence, delivered twice
+    rows += [(300, "a", "The frame is of cold steel."), (300, "a", "The frame is of cold steel.")]
+    rows += [(401, "a", "The lock sits at the drive shaft"), (402, "a", "The lock works under full load"), (403, "a", "The lock is made of cold steel")]
+    df = spark.createDataFrame(rows, "id long, provider string, summary string")
+    titled = F.when(F.col("id") == 401, 0).otherwise(1)
+    got = truncation.cut_texts(df, titled=titled).where("cut").collect()
+    assert {(r["id"], r["titled"]) for r in got} == {(401, 0), (403, 1)}
+
+
+def test_endings_inside():
+    assert truncation.inside_endings("The pump, at 20 bar, stops. It (then) rests.") == ["the pump", "pump, at", "at #", "# bar", "stops. it", "it then"]
+    assert truncation.inside_endings("one") == truncation.inside_endings("") == []
