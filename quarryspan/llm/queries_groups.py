@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_fused(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving record of each group with the field values judged true."""
-    fields = ("provider", "title", "url", "evidence_level")
+    fields = ("provider", "canonical_id", "verified_url", "evidence_quality_score", "title", "url", "evidence_level")
     fused = best_representative(load(spark, folder, "raw_evidence_items"), fields)
     return fused.select(*GROUP, "id", *[F.col("fused")[f].alias(f"{f}_values") for f in fields])
 
