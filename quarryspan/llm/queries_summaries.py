@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspan.llm.residue import find_residue, labelled_sample, titled, train, validate, without_residue
+from quarryspan.llm.residue import find_residue, fitted, labelled_sample, residue_of, title_class, validate
 from quarryspan.llm.truncation import cut_texts, source_of
 from quarryspan.tables import load
 
@@ -23,11 +23,9 @@ def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 def _cut(spark: SparkSession, folder: str) -> DataFrame:
     items = load(spark, folder, "raw_evidence_items", "id", "summary", "title", "url", "provider")
-    cut = cut_texts(items, titled=titled(F.col("title"))).where("cut").select("id", "source", F.col("text").alias("summary"), "titled")
-    sample = labelled_sample(items)
-    model = train(sample.texts, sample.titled, sample.labels)
-    # residue is no case; only the texts found here are classified for that
-    return without_residue(cut, model)
+    # what p1_found finds is no case: the same model, the same decision
+    model = fitted(labelled_sample(items))
+    return cut_texts(items, title=title_class(F.col("title"), F.col("summary")), left_out=residue_of(model))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,12 +34,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """For each provider, how many summaries it has, how many are cut, and their share."""
+    """For each provider, how many summaries it has, how many are cut, their share, and how many each rule tells."""
     items = load(spark, folder, "raw_evidence_items", "id", "summary", "provider").where(F.trim("summary") != "")
     counts = items.select("id", source_of(F.col("provider")).alias("source")).distinct().groupBy("source").agg(F.count("*").alias("summaries"))
-    cut = _cut(spark, folder).groupBy("source").agg(F.count("*").alias("cut"))
-    found = F.coalesce("cut", F.lit(0))
-    return counts.join(cut, "source", "left").select("source", "summaries", found.alias("cut"), (found / F.col("summaries")).alias("share"))
+    cut = _cut(spark, folder).groupBy("source").agg(F.count("*").alias("cut"), *[F.count_if(F.col("rule") == r).alias(f"by_{r}") for r in ("limit", "mark", "ending")])
+    some = [F.coalesce(c, F.lit(0)).alias(c) for c in ("cut", "by_limit", "by_mark", "by_ending")]
+    return counts.join(cut, "source", "left").select("source", "summaries", *some, (F.coalesce("cut", F.lit(0)) / F.col("summaries")).alias("share"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p7_found": p7_found, "p7_shares": p7_shares}

@@ -7,7 +7,8 @@ text. They learn from weak labels on a bounded sample of rows, and decide on eve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,15 +17,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspan.llm.weak_labels import label, placeholder_spans
+from quarryspan.llm.weak_labels import LABELLER, Labeller
 
 #: The sample: rows that are labelled at most, and unremarkable ones of them that are kept for training.
 SAMPLE_ROWS, PLAIN_ROWS = 40_000, 6_000
 BITS, ORDERS, WINDOW, STRIDE = 17, (3, 5), 24, 24
-#: Log-odds above which the classifier alone decides; between 0 and this a pattern or phrase must confirm it.
-SURE = 3.0
+#: Texts without a label join the labelled ones above the first of these log-odds, and content below the second, so many times.
+JOIN, CONTENT, REFITS = 1.5, -0.5, 2
+#: The least threshold that is taken from the hosts that were kept from training.
+LEAST = 1.0
+
 LENGTHS = np.array([8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024], dtype=np.int64)
-TITLES = 2  # without a title, with one
+TITLES = 3  # no title; one that shares no word with the text; one that does
 _PRIME, _PRIME2, _MIX = np.uint32(0x01000193), np.uint32(0x01000193**2 & 0xFFFFFFFF), np.uint32(0x9E3779B1)
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -77,13 +81,18 @@ class Model:
     titles: np.ndarray
     windows: np.ndarray
     bias: float
+    #: The log-odds from which a text is residue, chosen on hosts that the model has not seen.
+    threshold: float = 0.0
+
+    def whole_scores(self, b: Batch, titles: np.ndarray) -> np.ndarray:
+        return b.spans(b.first, b.size, b.sums(self.whole)) / np.sqrt(b.size) + self.lengths[_length_class(b.size)] + self.titles[titles.astype(int)]
 
-    def scores(self, texts: list[str], titled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str], titles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of each text as a whole, and of its most suspicious window."""
         if not texts:
             return np.zeros(0), np.zeros(0)
         b = Batch(texts)
-        whole = b.spans(b.first, b.size, b.sums(self.whole)) / np.sqrt(b.size) + self.lengths[_length_class(b.size)] + self.titles[titled.astype(int)]
+        whole = self.whole_scores(b, titles)
         sums = b.sums(self.windows)
         last = np.maximum(b.first, b.first + b.size - WINDOW)  # windows begin from the first byte to here
         every = np.zeros(b.bytes + 1)
@@ -134,105 +143,141 @@ def _grams(b: Batch, first: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarr
     return out
 
 
-def train(texts: list[str], titled: np.ndarray, labels: np.ndarray, rounds: int = 45) -> Model:
-    """A model from texts labelled 0 (content), 1 (no content as a whole) and 2 (with a placeholder)."""
-    dim = (len(ORDERS), 1 << BITS)
-    use = np.flatnonzero(labels != 2)
-    model = Model(np.zeros(dim, np.float32), np.full(len(LENGTHS) + 1, -1.0), np.zeros(TITLES), np.zeros(dim, np.float32), -1.0)
-    if (labels[use] == 1).any() and (labels[use] == 0).any():
-        b = Batch([texts[i] for i in use])
-        model.whole, (model.lengths, model.titles) = _fit(_grams(b, b.first, b.size), 1 / np.sqrt(b.size), [_length_class(b.size), titled[use].astype(int)], [len(LENGTHS) + 1, TITLES], (labels[use] == 1).astype(float), rounds)
-    b = Batch(texts)
-    first, y = [], []
+def _gram_windows(b: Batch, texts: list[str], labels: np.ndarray, labeller: Labeller) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of content (0) and of placeholders (1) begin."""
+    first: list[int] = []
+    held: list[int] = []
     for i, text in enumerate(texts):
         at, size = int(b.first[i]), int(b.size[i])
         if labels[i] == 0:
             first += range(at, max(at + 1, at + size - WINDOW + 1), STRIDE)
         elif labels[i] == 2:
-            for s, e in placeholder_spans(text):
+            for s, e in labeller.spans(text):
                 s, e = (at + 1 + len(text[:x].encode("utf-8", "replace")) for x in (s, e))
                 # windows that hold the placeholder, or lie within a long one
                 lo, hi = sorted((e - WINDOW, s))
                 lo, hi = max(at, lo), min(max(at, at + size - WINDOW), hi)
-                y += [(x, 1.0) for x in range(lo, hi + 1, 3)]
-    windows = np.array([*first, *(x for x, _ in y)], dtype=np.int64)
-    truth = np.concatenate([np.zeros(len(first)), np.ones(len(y))])
-    if len(first) and len(y):
+                held += range(lo, hi + 1, 3)
+    return np.array([*first, *held], dtype=np.int64), np.concatenate([np.zeros(len(first)), np.ones(len(held))])
+
+
+def train(texts: list[str], titles: np.ndarray, labels: np.ndarray, rounds: int = 45, labeller: Labeller = LABELLER) -> Model:
+    """A model from texts labelled 0 (no label: mostly content), 1 (no content as a whole) and 2 (with a placeholder).
+
+    Few wordings of a message have a label. So the first fit tells the labelled texts from those only that are content for
+    sure, as they share a word with their title; the next ones take in the texts that the fit before was sure of.
+    """
+    dim = (len(ORDERS), 1 << BITS)
+    model = Model(np.zeros(dim, np.float32), np.full(len(LENGTHS) + 1, -1.0), np.zeros(TITLES), np.zeros(dim, np.float32), -1.0)
+    b = Batch(texts)
+    case, none = labels == 1, labels == 0
+    content = none & (titles == 2) if (none & (titles == 2)).any() else none
+    kinds = np.zeros_like(titles)  # the title is no feature of the first fit, as it chose the texts
+    for _ in range(REFITS + 1):
+        use = np.flatnonzero(case | content)
+        if not case.any() or not content.any():
+            break
+        model.whole, (model.lengths, model.titles) = _fit(_grams(b, b.first[use], b.size[use]), 1 / np.sqrt(b.size[use]), [_length_class(b.size[use]), kinds[use].astype(int)], [len(LENGTHS) + 1, TITLES], case[use].astype(float), rounds)
+        z = model.whole_scores(b, kinds)
+        case, content = (labels == 1) | (none & (z > JOIN)), none & (z < CONTENT)
+        kinds = titles
+    labels = np.where(case, 1, np.where(content | (labels == 2), labels, 3))
+    windows, truth = _gram_windows(b, texts, labels, labeller)
+    if 0 < truth.sum() < len(truth):
         for _ in range(2):  # the second time with the windows of content that the first took for placeholders
             (model.windows, (bias,)) = _fit(_grams(b, windows, np.full(len(windows), WINDOW)), np.full(len(windows), 1 / np.sqrt(WINDOW)), [np.zeros(len(windows), dtype=int)], [1], truth, rounds)
             model.bias = float(bias[0])
-            sums = b.sums(model.windows)
             at = np.concatenate([np.arange(b.first[i], max(b.first[i] + 1, b.first[i] + b.size[i] - WINDOW + 1)) for i in np.flatnonzero(labels == 0)])
-            z = b.spans(at, np.full(len(at), WINDOW), sums) / np.sqrt(WINDOW) + model.bias
-            hard = at[z > -1.0][:50_000]
+            hard = at[b.spans(at, np.full(len(at), WINDOW), b.sums(model.windows)) / np.sqrt(WINDOW) + model.bias > -1.0]
             if not len(hard):
                 break
             windows, truth = np.concatenate([windows, hard]), np.concatenate([truth, np.zeros(len(hard))])
     return model
 
 
-def titled(title: Column) -> Column:
-    """1 if there is a title, else 0."""
-    return F.when(F.trim(title) != "", 1).otherwise(0)
+def title_class(title: Column, text: Column) -> Column:
+    """0 without a title, 1 if it shares no longer word with the text, 2 if it shares one."""
+    def words(c: Column) -> Column:
+        # where there are no blanks, what lies between the syllables of inflection
+        return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+|\p{IsHiragana}+"), lambda w: (F.length(w) >= 5) | w.rlike(r"^[\p{IsHan}\p{IsKatakana}ー]{2,}"))
+
+    return F.when(F.trim(title) != "", F.when(F.coalesce(F.arrays_overlap(words(title), words(text)), F.lit(False)), 2).otherwise(1)).otherwise(0)
 
 
 @dataclass
 class Sample:
     texts: list[str]
-    titled: np.ndarray
+    titles: np.ndarray
     labels: np.ndarray
     hosts: np.ndarray
 
 
-def labelled_sample(items: DataFrame, rows: int = SAMPLE_ROWS, plain: int = PLAIN_ROWS, key: str = "id") -> Sample:
-    """At most `rows` items with a text, chosen by the hash of their key and weakly labelled; of the plain ones `plain`."""
+def labelled_sample(items: DataFrame, rows: int = SAMPLE_ROWS, plain: int = PLAIN_ROWS, key: str = "id", labeller: Labeller = LABELLER) -> Sample:
+    """At most `rows` items with a text, chosen by the hash of their key and weakly labelled; of the plain ones about `plain`."""
     total = max(1, items.count())
     pick = F.pmod(F.xxhash64(key), F.lit(1_000_000))
     some = items.where(pick < int(min(1.0, 0.95 * rows / total) * 1_000_000)).where(F.trim("summary") != "").dropDuplicates([key])
-    some = some.select(F.col(key).cast("long").alias("id"), "summary", titled(F.col("title")).alias("titled"), F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z]+://)?(?:www\.)?([^/?#]+)", 1)), F.lit("")).alias("host"))
+    host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z]+://)?(?:www\.)?([^/?#]+)", 1))
+    some = some.select(F.col(key).cast("long").alias("id"), "summary", title_class(F.col("title"), F.col("summary")).alias("title"), F.coalesce(F.nullif(host, F.lit("")), F.col(key).cast("string")).alias("host"))
     keep = int(1_000_000 * min(1.0, plain / min(total, rows)))
 
     def labels(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column(1).to_pylist()
-            y = np.fromiter(map(label, texts), dtype=np.int64, count=len(texts))
+            y = np.fromiter(map(labeller, texts), dtype=np.int64, count=len(texts))
             # plain rows are thinned, but not those with words of the messages
             thin = (part.column(0).to_numpy() * 2654435761 >> 7) % 1_000_000 < keep
             hard = pc.match_substring_regex(part.column(1), r"(?i)script|cookie|browser|error|denied|placeholder|lorem|template|session|null|40\d|[{}<>$@#_\[\]]").to_numpy(zero_copy_only=False)
             brief = pc.utf8_length(part.column(1)).to_numpy(zero_copy_only=False) < 64
             at = pa.array(np.flatnonzero((y > 0) | thin | hard | brief))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), part.column(3).take(at), pa.array(y).take(at)], ["id", "summary", "titled", "host", "label"])
-
-    got = some.mapInArrow(labels, "id long, summary string, titled int, host string, label long").toArrow().sort_by("id")
-    return Sample(got["summary"].to_pylist(), got["titled"].to_numpy(), got["label"].to_numpy(), np.array(got["host"].to_pylist(), dtype=object))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), part.column(3).take(at), pa.array(y).take(at)], ["id", "summary", "title", "host", "label"])
 
+    got = some.mapInArrow(labels, "id long, summary string, title int, host string, label long").toArrow().sort_by("id")
+    return Sample(got["summary"].to_pylist(), got["title"].to_numpy(), got["label"].to_numpy(), np.array(got["host"].to_pylist(), dtype=object))
 
-def _held_out(hosts: np.ndarray) -> np.ndarray:
-    import zlib
 
+def held_out(hosts: np.ndarray) -> np.ndarray:
+    """Whether each host is kept from training: a fifth of them."""
     return np.array([zlib.crc32(h.encode()) % 5 == 0 for h in hosts], dtype=bool)
 
 
-def validate(sample: Sample) -> dict[str, float]:
-    """Precision and recall, against the weak labels, on hosts that the model has not seen."""
-    out = _held_out(sample.hosts)
-    model = train([t for t, o in zip(sample.texts, out) if not o], sample.titled[~out], sample.labels[~out])
-    texts = [t for t, o in zip(sample.texts, out) if o]
-    whole, window = model.scores(texts, sample.titled[out])
-    said, true = (whole > 0) | (window > 0), sample.labels[out] > 0
+def _best_threshold(score: np.ndarray, case: np.ndarray) -> float:
+    """The middle of the gap between two scores at which precision and recall together are highest."""
+    if not case.any():
+        return 0.0
+    order = np.argsort(-score, kind="stable")
+    hits = np.cumsum(case[order])
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + case.sum())
+    k = int(np.flatnonzero(f1 == f1.max())[-1])
+    low = score[order[k + 1]] if k + 1 < len(order) else score[order[k]] - 1.0
+    return float((score[order[k]] + low) / 2)
+
+
+def fitted(sample: Sample, labeller: Labeller = LABELLER) -> Model:
+    """A model trained on most hosts, with its threshold from the others: it best divides the labelled texts there from
+    those that are content for sure. These count without their title, which would make them too easy."""
+    out = held_out(sample.hosts)
+    model = train([t for t, o in zip(sample.texts, out) if not o], sample.titles[~out], sample.labels[~out], labeller=labeller)
+    known = out & ((sample.labels > 0) | (sample.titles == 2))
+    whole, window = model.scores([t for t, o in zip(sample.texts, known) if o], np.minimum(sample.titles[known], 1))
+    model.threshold = max(LEAST, _best_threshold(np.maximum(whole, window), sample.labels[known] > 0))
+    return model
+
+
+def validate(sample: Sample, labeller: Labeller = LABELLER, model: Model | None = None) -> dict[str, float]:
+    """Precision and recall, against the weak labels, on hosts that the model has not seen; and the texts found there without a label."""
+    out = held_out(sample.hosts)
+    model = model or fitted(sample, labeller)
+    whole, window = model.scores([t for t, o in zip(sample.texts, out) if o], sample.titles[out])
+    said, true = np.maximum(whole, window) > model.threshold, sample.labels[out] > 0
     hit = float((said & true).sum())
-    return {"rows": float(len(texts)), "cases": float(true.sum()), "precision": hit / max(1.0, float(said.sum())), "recall": hit / max(1.0, float(true.sum()))}
+    return {"rows": float(out.sum()), "labelled": float(true.sum()), "found": float(said.sum()), "found_without_label": float((said & ~true).sum()), "precision_by_labels": hit / max(1.0, float(said.sum())), "recall_by_labels": hit / max(1.0, float(true.sum())), "threshold": model.threshold}
 
 
-def residue_flags(model: Model, summary: pa.Array, has_title: np.ndarray) -> np.ndarray:
-    """Whether each text, none of them null or blank, is residue or no content."""
-    texts = summary.to_pylist()
-    whole, window = model.scores(texts, has_title)
-    most = np.maximum(whole, window)
-    out = most > SURE
-    for i in np.flatnonzero((most > 0) & ~out):
-        out[i] = label(texts[i]) > 0
-    return out
+def residue_flags(model: Model, texts: list[str], titles: np.ndarray) -> np.ndarray:
+    """Whether each text, none of them null or blank, is residue or no content: the classifier alone decides."""
+    whole, window = model.scores(texts, titles)
+    return np.maximum(whole, window) > model.threshold
 
 
 def find_residue(items: DataFrame, model: Model | None = None) -> DataFrame:
@@ -241,27 +286,17 @@ def find_residue(items: DataFrame, model: Model | None = None) -> DataFrame:
     Without a model, one is trained on a sample of the items. Empty tables and tables without any case
     in the sample give no rows. Other columns than id, summary, title and url are not read.
     """
-    model = model or train(*_training(items))
+    model = model or fitted(labelled_sample(items))
 
     def flags(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            at = np.flatnonzero(residue_flags(model, part.column(1), part.column(2).to_numpy()))
+            at = np.flatnonzero(residue_flags(model, part.column(1).to_pylist(), part.column(2).to_numpy()))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at))], ["id"])
 
-    rows = items.where(F.trim("summary") != "").select(F.col("id").cast("long").alias("id"), "summary", titled(F.col("title")).alias("titled"))
+    rows = items.where(F.trim("summary") != "").select(F.col("id").cast("long").alias("id"), "summary", title_class(F.col("title"), F.col("summary")).alias("title"))
     return rows.mapInArrow(flags, "id long").distinct()
 
 
-def without_residue(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows (id, source, summary, titled) whose summary is no residue, in one pass."""
-
-    def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield part.filter(pa.array(~residue_flags(model, part.column(2), part.column(3).to_numpy())))
-
-    return rows.select("id", "source", "summary", "titled").mapInArrow(kept, "id long, source string, summary string, titled int")
-
-
-def _training(items: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    sample = labelled_sample(items)
-    return sample.texts, sample.titled, sample.labels
+def residue_of(model: Model) -> Callable[[list[str], np.ndarray], np.ndarray]:
+    """The model's decision on texts with their classes of title, for use within another pass."""
+    return lambda texts, titles: residue_flags(model, texts, titles)

@@ -7,15 +7,17 @@ their end. A text without all this is cut if it doesn't end as sentences of the
 neighbouring words are counted where they close a sentence and where they stand inside one, and an ending
 that closes too small a share of its occurrences is none.
 
-One pass over the texts, each once, gives both the texts without a proper end and, summed by part, the endings.
+One pass over the texts, without a shuffle, gives both the texts without a proper end, as narrow rows without the text,
+and the endings, summed by part.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +30,10 @@ from quarryspan.session import cut
 LEAST, TIMES, REACH, NEAR = 6, 5.0, 12, 4
 #: ... and so large a share of the source's highest one.
 SHARE = 0.1
-#: An ending has to close so many sentences elsewhere to count as one.
-SUPPORT = 2
-#: ... and so large a share of all its occurrences, which doesn't change with the size of the corpus.
+#: An ending has to close so large a share of all its occurrences, which doesn't change with the size of the corpus.
 CLOSING = 0.15
+#: So many repeated keys at most are sent to every executor (16 bytes each).
+SENT = 1_000_000
 #: Counts held by a task before they are passed on.
 HELD = 200_000
 CLOSERS = "\"”“»’)]）」』"
@@ -106,44 +108,61 @@ def inside_endings(text: str) -> list[str]:
     return out
 
 
-def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts without a proper end (kind 0), and counts of endings (kind 1); rows of one id come to one task, and count once."""
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    seen: set[int | None] = set()
-    closes: Counter[str] = Counter()
-    inside: Counter[str] = Counter()
+SCAN = "kind int, id long, source string, marked boolean, open boolean, ending string, chars int, bytes int, closes double, inside double"
+_KINDS = [pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+_NAMES = [c.split()[0] for c in SCAN.split(", ")]
+
+
+def _scan(parts: Iterator[pa.RecordBatch], left_out: Callable[[list[str], np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Narrow rows of texts without a proper end (kind 0), and counts of endings summed by part (kind 1).
+
+    Columns: id, source, text, kind of title, and how often the id occurs: each occurrence has that share of the counts.
+    """
+    closes: defaultdict[str, float] = defaultdict(float)
+    inside: defaultdict[str, float] = defaultdict(float)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCAN_COLUMNS)
+        columns = list(zip(*rows)) if rows else [()] * len(_KINDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
 
     def counts() -> pa.RecordBatch:
-        rows = [(1, None, None, None, None, None, None, e, None, None, closes[e], inside[e]) for e in closes.keys() | inside.keys()]
+        rows = [(1, None, None, None, None, e, None, None, closes.get(e, 0.0), inside.get(e, 0.0)) for e in closes.keys() | inside.keys()]
         closes.clear()
         inside.clear()
         return batch(rows)
 
     for part in parts:
         rows: list[tuple] = []
-        for i, s, t, h in zip(*(c.to_pylist() for c in part.columns)):
-            if not t or t.isspace() or i in seen:
+        texts: list[str] = []
+        titles: list[int] = []
+        for i, s, t, h, n in zip(*(c.to_pylist() for c in part.columns)):
+            if not t or t.isspace():
                 continue
-            seen.add(i)
             stop, marked, broken, is_open, ending = profile(t)
-            closes.update(inner_endings(t))
-            inside.update(inside_endings(t))
+            share = 1.0 / n
+            for e in inner_endings(t):
+                closes[e] += share
+            for e in inside_endings(t):
+                inside[e] += share
             if stop:
                 if not is_open:
-                    closes[ending] += 1
+                    closes[ending] += share
             else:
-                rows.append((0, i, s, t, h, marked or broken, is_open, ending, len(t), len(t.encode("utf-8", "replace")), 0, 0))
+                rows.append((0, i, s, marked or broken, is_open, ending, len(t), len(t.encode("utf-8", "replace")), 0.0, 0.0))
+                texts.append(t)
+                titles.append(h)
+        if rows and left_out is not None:
+            out = left_out(texts, np.array(titles))
+            rows = [r for r, o in zip(rows, out) if not o]
         yield batch(rows)
         if len(inside) > HELD:
             yield counts()
     yield counts()
 
 
-SCAN_COLUMNS = ["kind", "id", "source", "text", "titled", "marked", "open", "ending", "chars", "bytes", "closes", "inside"]
+def repeated(items: DataFrame, key: str = "id") -> DataFrame:
+    """(id, times) of the keys that occur more than once: from the key alone, so no text is shuffled for it."""
+    return cut(items.groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("times")).where("times > 1"))
 
 
 def length_spikes(rows: DataFrame, least: int = LEAST, times: float = TIMES) -> DataFrame:
@@ -161,17 +180,22 @@ def length_spikes(rows: DataFrame, least: int = LEAST, times: float = TIMES) ->
     return found.where((F.col("texts") >= least) & (F.col("texts") >= SHARE * F.col("highest")) & (F.col("texts") >= times * usual) & (F.col("beyond") <= 0.5 * F.col("near"))).select("source", "unit", "size", "texts")
 
 
-def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider", key: str = "id", titled: Column | None = None) -> DataFrame:
-    """Rows (id, source, text, titled, cut) of the items whose text has no proper end, each id once; cut is never null.
+def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider", key: str = "id", title: Column | None = None, left_out: Callable[[list[str], np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows (id, source, rule) of the items whose text was cut, each id once; rule: limit, mark or ending, the first that tells it.
 
-    Null and blank texts are no rows. Lists of keywords, and scripts whose sentences have no end marks, are
+    Null and blank texts are never cut. Lists of keywords, and scripts whose sentences have no end marks, are
     cut only by their length, a mark or a broken character. A source without a name has the spikes of all
-    others. titled is passed on (1 without it). An empty table gives no rows.
+    others. left_out tells of texts, with their kind of title, which are no cases; they are asked for in the same pass. Repeated rows count
+    once everywhere. An empty table gives no rows.
     """
-    schema = "kind int, id long, source string, text string, titled int, marked boolean, open boolean, ending string, chars int, bytes int, closes long, inside long"
-    scan = cut(items.select(F.col(key).cast("long").alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text"), (F.lit(1) if titled is None else titled).cast("int").alias("titled")).repartition("id").mapInArrow(_scan, schema))
-    rows = scan.where("kind = 0")
-    endings = scan.where("kind = 1").groupBy("ending").agg(F.sum("closes").alias("closes"), F.sum("inside").alias("inside")).where(F.col("closes") >= SUPPORT)
+    rows = items.select(F.col(key).cast("long").alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text"), (F.lit(0) if title is None else title).cast("int").alias("title"))
+    again = repeated(items, key)
+    # the texts stay where they are unless more keys are repeated than can be sent to every executor
+    again = F.broadcast(again) if again.count() <= SENT else again
+    rows = rows.join(again, "id", "left").select("id", "source", "text", "title", F.coalesce("times", F.lit(1)).alias("times"))
+    scan = cut(rows.mapInArrow(lambda parts: _scan(parts, left_out), SCAN))
+    ends = scan.where("kind = 1").groupBy("ending").agg(F.round(F.sum("closes"), 6).alias("closes"), F.round(F.sum("inside"), 6).alias("inside")).where((F.col("closes") > 0) & (F.col("closes") >= CLOSING * (F.col("closes") + F.col("inside")))).select("ending", F.lit(True).alias("ends"))
+    rows = scan.where("kind = 0").dropDuplicates(["id"]).drop("kind", "closes", "inside")
     spikes = length_spikes(rows)
 
     # a few lengths for each source: one row a source, and one for sources without a name
@@ -179,7 +203,9 @@ def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider",
         return df.groupBy(*by).agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("byte_limits"))
 
     limits = sizes(spikes, "source").unionByName(sizes(spikes).withColumn("source", F.lit("")))
-    unsure = rows.drop("kind", "closes", "inside").join(limits, "source", "left").join(endings, "ending", "left")
     at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("byte_limits", F.col("bytes")), F.lit(False))
-    ends = F.coalesce(F.col("closes") >= CLOSING * (F.col("closes") + F.col("inside")), F.lit(False))
-    return unsure.select("id", "source", "text", "titled", (F.col("marked") | at_limit | (~F.col("open") & ~ends)).alias("cut"))
+    rows = rows.join(limits, "source", "left").withColumn("rule", F.when(at_limit, "limit").when(F.col("marked"), "mark"))
+    told = rows.where("rule IS NOT NULL").select("id", "source", "rule")
+    # what neither a limit nor a mark tells is asked for its ending
+    rest = rows.where("rule IS NULL AND NOT open").join(ends, "ending", "left_anti").select("id", "source", F.lit("ending").alias("rule"))
+    return told.unionByName(rest)

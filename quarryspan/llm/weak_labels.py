@@ -1,62 +1,65 @@
-"""Weak labels for residue of templates and for pages that are no content: patterns and phrases.
+"""Weak labels for residue of templates and for pages that are no content: response status, and phrases by family.
 
-They only label a bounded sample from which the classifier learns; it decides on all rows.
+They only label a bounded sample from which the classifier learns. They are few and general: most wordings of
+a message are not among them, and no row is found or let go by a phrase.
 """
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 import regex
 
-# Marks of placeholders that were never filled in.
+#: Reasons of failed requests, as the status codes define them.
+_REASONS = "|".join(sorted({regex.escape(s.phrase.lower()) for s in HTTPStatus if s >= 400}))
+_CODE = r"[45]\d\d"
+# Elements of a page's text, which are markup and no placeholder.
+ELEMENTS = "a abbr article aside audio b body br button cite code data div dl dt em figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input label li link main mark menu meta nav ol option p pre s samp script section select small span strong style sub summary sup table tbody td template th thead time title tr u ul var video wbr"
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*"
-PLACEHOLDER_MARKS = [
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}", rf"\{{%\s*{_NAME}\s*%\}}", rf"<%=?\s*{_NAME}\s*%>", rf"[$#]\{{{_NAME}\}}", rf"%\({_NAME}\)s", rf"@@{_NAME}@@",
-    rf"\[\[{_NAME}\]\]", rf"__{_NAME}__", rf"\${_NAME}\$", rf"&lt;{_NAME}&gt;", rf"\{{{_NAME}\}}", r"<(?!/?(?:html|head|body|title|h\d|p|b|i|a|br|div|span|sub|sup|em|strong)\b)[A-Za-z_][A-Za-z0-9_.]{2,}>", rf"%%{_NAME}%%", rf"\{{\{{#?\w+ {_NAME}\}}\}}",
-]
-PLACEHOLDER_PHRASES = [
-    r"[\[<(](?:your|insert|add|enter|type|put|place|fill in)\b[^\[\]<>()]{2,60}[\])>]", r"\b(?:TODO|FIXME)\b\s*:", r"\bTBD\b", r"(?:abstract|summary|text|description) (?:text )?(?:goes )?here\b", r"\btype the \w+ of \w+ \d+ here\b",
-    r"\(to be (?:completed|added|filled)[^()]{0,40}\)", r"[\[<(][^\[\]<>()]{2,40}(?:einfügen|ergänzen|doplniť|vložiť|compléter|insérer|completar|insertar|добавить|вставить)[\])>]", r"\bX{3,}(?: X{3,})+\b", r"\[?placeholder (?:paragraph|text) \d+\]?", r"\[(?:ここに[^\]]{1,20}|[^\]]{1,20}を入力)\]",
-]
-# Words of filler text.
-FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua veniam quis nostrud enim ad minim exercitation ullamco laboris".split())
-# Messages of error pages and notices, each the beginning of a sentence of its own.
-MESSAGES = [
-    r"(?:error )?[45]\d\d\b.{0,12}(?:not found|page not found|forbidden|gone|unavailable|server error|bad gateway)", r"http error [45]\d\d", r"error [45]\d\d", r"oops\b", r"(?:internal server error|bad gateway|service unavailable|gateway time-?out)\b", r"too many requests", r"(?:the )?connection (?:has )?timed out", r"access (?:is |was )?denied[.:!]", r"document unavailable",
-    r"we(?:'|’)re sorry, but something went wrong", r"we can(?:'|’)t seem to find", r"(?:this|the) (?:content|page|document) is no longer available", r"your session has expired", r"(?:unable to|could not|cannot|can't) (?:load|open|display|find|retrieve|show)\b", r"something prevented us", r"an unexpected problem occurred", r"the server refused",
-    r"page not found", r"seite nicht gefunden", r"zugriff verweigert", r"der server konnte", r"stránka sa nenašla", r"nepodarilo sa", r"server odmietol", r"prístup (?:bol )?zamietnutý", r"página no encontrada", r"no se pudo", r"acceso denegado", r"la page demandée", r"page introuvable", r"accès refusé", r"impossible de charger", r"страница не найдена", r"доступ (?:запрещ|закрыт)", r"не удалось", r"ページが見つかりません", r"アクセスが拒否",
-    r"(?:please |you need to )?(?:enable|activate|turn on) (?:javascript|cookies|scripts)", r"javascript is (?:disabled|required|turned off)", r"this (?:site|page|app) requires", r"noscript\b", r"checking your browser", r"verify (?:that )?you are", r"(?:please )?(?:sign|log) in to", r"you must (?:sign|log) in", r"are you a (?:human|robot)",
-    r"bitte aktivieren sie", r"pre zobrazenie obsahu", r"zapnite javascript", r"necesita activar", r"veuillez activer", r"javascriptを有効", r"включите javascript", r"для просмотра",
-]
-_PLACEHOLDER = regex.compile("|".join(PLACEHOLDER_MARKS) + "|(?i:" + "|".join(PLACEHOLDER_PHRASES) + ")")
-_MESSAGE = regex.compile(r"^(?:menu search login )?(?:" + "|".join(MESSAGES) + ")", regex.I)
-_MARKUP = regex.compile(r"^\s*(?:\{\s*\"(?:status|error|code|message)\"\s*:.*\}?|<(?:!doctype|html)\b.*)\s*$", regex.I | regex.S)
-_WORDS = regex.compile(r"\p{L}+")
-#: A text without any of these has no placeholder.
-_TRIGGER = regex.compile(r"[{<%@_$&#\[(]|(?i:todo|fixme|tbd|here|xxx|placeholder)")
-_REPEAT = regex.compile(r"^(\p{L}+(?: \p{L}+)?)(?: \1)+\W*$", regex.I)
-#: A text of more characters is more than a message.
-LONGEST_MESSAGE = 190
-
-
-def placeholder_spans(text: str) -> list[tuple[int, int]]:
-    """Where placeholders lie in a text."""
-    return [m.span() for m in _PLACEHOLDER.finditer(text)]
-
-
-def no_content(text: str) -> bool:
-    """Whether a text as a whole is filler, an error page or a notice."""
-    low = text.lower()
-    if any(w in low for w in ("ipsum", "dolor", "amet", "elit", "magna", "tempor", "veniam", "labore")):
-        words = _WORDS.findall(low)
-        if len(words) >= 3 and sum(w in FILLER for w in words) >= 0.7 * len(words):
-            return True
-    if _REPEAT.match(text) or _MARKUP.match(text):
-        return True
-    return len(text) <= LONGEST_MESSAGE and _MESSAGE.match(text) is not None
-
-
-def label(text: str | None) -> int:
-    """2: placeholder; 1: no content; 0: content; a null or blank text is content."""
-    if not text or not text.strip():
-        return 0
-    return 1 if no_content(text.strip()) else 2 if _TRIGGER.search(text) and _PLACEHOLDER.search(text) else 0
+_TAG = rf"(?!/?(?:{'|'.join(ELEMENTS.split())})\b){_NAME}"
+
+# Phrases by family. A family can be left out of the labels, to see whether the classifier finds it all the same.
+STATUS = {
+    "status": [rf"^(?:(?:http|error|status|code)\b\W*)*(?:{_CODE}\W*)?(?:{_REASONS})\b", rf"[(\-–:]\s*(?:\w+\s)?{_CODE}\)?\W*$", rf"^\{{\s*\"(?:status|code|error)\"\s*:\s*\"?{_CODE}", rf"<title>\s*{_CODE}"],
+}
+WHOLE = {
+    "missing": [r"^(?:the |this )?(?:page|document|content)\b[^.!?]{0,30}\b(?:not found|no longer available)", r"^[^.!?]{0,40}(?:nicht gefunden|no encontrad[ao]|introuvable|nenašl[ao]|не найдена?)", "見つかりません"],
+    "refused": [r"^(?:access|permission) (?:is |was )?(?:denied|refused)[.:!]", r"^(?:zugriff verweigert|acceso denegado|accès refusé)"],
+    "failed": [r"^(?:unable to|could not|cannot) (?:load|display)\b", r"\btimed out\b"],
+    "scripts": [r"^[^.!?\"“„«]{0,60}\b(?:enable|activate|turn on|activer|aktivieren sie|activar|zapnite|включите) (?:javascript|cookies|scripts)", r"^javascript is (?:disabled|required)", "javascriptを有効"],
+    "visitor": [r"\byou are (?:a )?(?:human|robot)\b", r"^(?:please )?(?:sign|log) in to\b", r"^your session (?:has )?expired", r"^checking your browser"],
+    "filler": [r"^lorem ipsum\b"],
+    "repeated": [r"^(\w+(?: \w+)?)(?: \1)+\W*$"],
+}
+MARKS = {
+    "braces": [rf"\{{\{{[#/]?\s*{_NAME}\s*\}}\}}", rf"\{{%\s*{_NAME}\s*%\}}", rf"[$#]\{{{_NAME}\}}", rf"(?<![{{$#]){{{_NAME}\}}(?!\}})"],
+    "signs": [rf"@@{_NAME}@@", rf"__{_NAME}__", rf"\${_NAME}\$", rf"%%{_NAME}%%", rf"%\({_NAME}\)s"],
+    "brackets": [rf"\[\[{_NAME}\]\]", rf"<%=?\s*{_NAME}\s*%>", rf"&lt;{_NAME}&gt;", rf"<{_TAG}>"],
+    "prompts": [r"[\[<(](?:your|insert|add|enter|type|put|to be)\b[^\[\]<>()]{2,60}[\])>]", r"\b(?:TODO|FIXME|TBD)\b", r"\b(?:abstract|summary|text|description)[a-z ]{0,15} here\b", r"\b(?:type|enter|insert|paste) (?:the|your|an?) [^.!?]{2,40} here\b", r"\bX{3,}(?: X{3,})+\b", r"[\[<(][^\[\]<>()]{2,40}(?:einfügen|doplniť|compléter|completar|добавить)[\])>]", r"\[placeholder\b[^\]]*\]"],
+}
+FAMILIES = {**STATUS, **WHOLE, **MARKS}
+
+
+class Labeller:
+    """Weak labels by all families but some."""
+
+    def __init__(self, without: frozenset[str] = frozenset()) -> None:
+        def compiled(families: dict[str, list[str]]) -> regex.Pattern:
+            # a group's number is that of its own pattern, so each pattern stands alone
+            return [regex.compile(p, regex.I) for name, patterns in families.items() if name not in without for p in patterns]
+
+        self.whole, self.marks = compiled({**STATUS, **WHOLE}), compiled(MARKS)
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where placeholders lie in a text."""
+        return sorted(m.span() for p in self.marks for m in p.finditer(text))
+
+    def __call__(self, text: str | None) -> int:
+        """2: placeholder; 1: no content as a whole; 0: no label; a null or blank text has none."""
+        if not text or not text.strip():
+            return 0
+        text = text.strip()
+        return 1 if any(p.search(text) for p in self.whole) else 2 if any(p.search(text) for p in self.marks) else 0
+
+
+LABELLER = Labeller()

@@ -21,13 +21,24 @@ def test_an_ending_needs_a_share_of_its_occurrences(spark):
     rows = [(i, "a", f"The valve {i} holds the drive shaft in place at night.") for i in range(40)]
     rows += [(100 + i, "a", f"The sensor {i} is near the drive shaft.") for i in range(3)]
     rows += [(200 + i, "a", f"The pump {i} runs under full load.") for i in range(3)]
-    # one real occurrence, delivered twice
-    rows += [(300, "a", "The frame is of cold steel."), (300, "a", "The frame is of cold steel.")]
+    # an ending inside only, delivered twice
+    rows += [(300, "a", "The frame is of cold steel and iron."), (300, "a", "The frame is of cold steel and iron.")]
     rows += [(401, "a", "The lock sits at the drive shaft"), (402, "a", "The lock works under full load"), (403, "a", "The lock is made of cold steel")]
-    df = spark.createDataFrame(rows, "id long, provider string, summary string")
-    titled = F.when(F.col("id") == 401, 0).otherwise(1)
-    got = truncation.cut_texts(df, titled=titled).where("cut").collect()
-    assert {(r["id"], r["titled"]) for r in got} == {(401, 0), (403, 1)}
+    schema = "id long, provider string, summary string"
+    got = {tuple(r) for r in truncation.cut_texts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(401, "a", "ending"), (403, "a", "ending")}
+    # the same corpus ten times: no verdict changes with its size
+    many = [(k * 1000 + i, f"a{k}", t) for k in range(10) for i, s, t in rows]
+    again = truncation.cut_texts(spark.createDataFrame(many, schema)).collect()
+    assert {(r["id"] % 1000, r["rule"]) for r in again} == {(401, "ending"), (403, "ending")} and len(again) == 20
+
+
+def test_left_out_texts_and_repeated_rows(spark):
+    rows = [(1, "a", "It stops in the mid", None), (1, "a", "It stops in the mid", None), (2, "a", "It ends he…", "t"), (3, None, None, "t"), (4, "a", "Done.", "t")]
+    df = spark.createDataFrame(rows, "id long, provider string, summary string, title string")
+    assert sorted(tuple(r) for r in truncation.cut_texts(df).collect()) == [(1, "a", "ending"), (2, "a", "mark")]
+    out = truncation.cut_texts(df, title=F.when(F.col("title").isNull(), 0).otherwise(1), left_out=lambda texts, titles: titles == 1)
+    assert [tuple(r) for r in out.collect()] == [(1, "a", "ending")]
 
 
 def test_endings_inside():
