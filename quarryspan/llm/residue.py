@@ -24,9 +24,8 @@ SAMPLE_ROWS, PLAIN_ROWS = 40_000, 6_000
 BITS, ORDERS, WINDOW, STRIDE = 17, (3, 5), 24, 24
 #: Texts without a label join the labelled ones above the first of these log-odds, and content below the second, so many times.
 JOIN, CONTENT, REFITS = 1.5, -0.5, 2
-#: The least threshold that is taken from the hosts that were kept from training.
-LEAST = 1.0
-
+#: The least and the highest threshold that is taken from the hosts that were kept from training.
+LEAST, HIGHEST = 1.0, 3.0
 LENGTHS = np.array([8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024], dtype=np.int64)
 TITLES = 3  # no title; one that shares no word with the text; one that does
 _PRIME, _PRIME2, _MIX = np.uint32(0x01000193), np.uint32(0x01000193**2 & 0xFFFFFFFF), np.uint32(0x9E3779B1)
@@ -258,9 +257,10 @@ def fitted(sample: Sample, labeller: Labeller = LABELLER) -> Model:
     those that are content for sure. These count without their title, which would make them too easy."""
     out = held_out(sample.hosts)
     model = train([t for t, o in zip(sample.texts, out) if not o], sample.titles[~out], sample.labels[~out], labeller=labeller)
-    known = out & ((sample.labels > 0) | (sample.titles == 2))
+    content = (sample.labels == 0) & (sample.titles == 2)
+    known = out & ((sample.labels > 0) | (content if (content & out).any() else sample.labels == 0))
     whole, window = model.scores([t for t, o in zip(sample.texts, known) if o], np.minimum(sample.titles[known], 1))
-    model.threshold = max(LEAST, _best_threshold(np.maximum(whole, window), sample.labels[known] > 0))
+    model.threshold = min(HIGHEST, max(LEAST, _best_threshold(np.maximum(whole, window), sample.labels[known] > 0)))
     return model
 
 
