@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryspan.llm.lookalike import same_looking_pairs
-from quarryspan.llm.representative import GROUP, best_representative
+from quarryspan.llm.representative import FIELDS, GROUP, best_representative
 from quarryspan.llm.topn import top_n
 from quarryspan.tables import load
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving item of each group of duplicates, and the item its provider comes from."""
-    return best_representative(load(spark, folder, "raw_evidence_items")).select("id", "provider_from_id")
+    """The surviving item of each group of duplicates, and the item its provider comes from; both by the stated order, not by the model."""
+    return best_representative(load(spark, folder, "raw_evidence_items"), fields=()).select("id", "provider_from_id")
 
 
 def p2_fused(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving record of each group with the field values judged true."""
-    fields = ("provider", "canonical_id", "verified_url", "evidence_quality_score", "title", "url", "evidence_level")
-    fused = best_representative(load(spark, folder, "raw_evidence_items"), fields)
-    return fused.select(*GROUP, "id", *[F.col("fused")[f].alias(f"{f}_values") for f in fields])
+    """The surviving record of each group with the field values judged true by the latent model."""
+    fused = best_representative(load(spark, folder, "raw_evidence_items"))
+    return fused.select(*GROUP, "id", *[F.col("fused")[f].alias(f"{f}_values") for f in FIELDS])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

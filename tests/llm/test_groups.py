@@ -12,7 +12,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from oracle import compare  # noqa: E402
 from quarryspan.llm import registry  # noqa: E402
 from quarryspan.llm.lookalike import rules, same_looking_pairs, transducer  # noqa: E402
-from quarryspan.llm.representative import best_representative, document_key, latent_truth  # noqa: E402
+from quarryspan.llm.representative import best_representative, document_key  # noqa: E402
 from quarryspan.llm.topn import top_n  # noqa: E402
 
 
@@ -61,18 +61,6 @@ def test_representative_with_nulls_ties_and_repeats(spark):
     assert best_representative(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_latent_truth_learns_who_is_right(spark):
-    rng = random.Random(5)
-    rows = []
-    for i in range(400):
-        true = rng.random() < 0.5
-        say = lambda sens, fpr: rng.random() < (sens if true else fpr)
-        rows.append((i, true, sorted([("a", say(0.95, 0.05)), ("b", say(0.9, 0.1)), ("liar", say(0.5, 0.5))])))
-    facts = spark.createDataFrame(rows, "i int, true boolean, claims array<struct<witness:string,says:boolean>>")
-    out = latent_truth(facts).collect()
-    assert sum((r["truth"] > 0.5) == r["true"] for r in out) > 360
-
-
 def test_forms_are_final_and_idempotent():
     table = rules()
     assert all(c not in table for to in table.values() for c in to)
