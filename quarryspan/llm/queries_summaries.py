@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspan.llm.residue import find_residue, fitted, labelled_sample, residue_of, title_class, validate
+from quarryspan.llm.residue import find_residue, fitted, labelled_sample, residue_of, validate
 from quarryspan.llm.truncation import cut_texts, source_of
 from quarryspan.tables import load
 
@@ -25,7 +25,7 @@ def _cut(spark: SparkSession, folder: str) -> DataFrame:
     items = load(spark, folder, "raw_evidence_items", "id", "summary", "title", "url", "provider")
     # what p1_found finds is no case: the same model, the same decision
     model = fitted(labelled_sample(items))
-    return cut_texts(items, title=title_class(F.col("title"), F.col("summary")), left_out=residue_of(model))
+    return cut_texts(items, title="title", left_out=residue_of(model))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryspan.llm.weak_labels import LABELLER, Labeller
@@ -194,13 +195,15 @@ def train(texts: list[str], titles: np.ndarray, labels: np.ndarray, rounds: int
     return model
 
 
-def title_class(title: Column, text: Column) -> Column:
-    """0 without a title, 1 if it shares no longer word with the text, 2 if it shares one."""
-    def words(c: Column) -> Column:
-        # where there are no blanks, what lies between the syllables of inflection
-        return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+|\p{IsHiragana}+"), lambda w: (F.length(w) >= 5) | w.rlike(r"^[\p{IsHan}\p{IsKatakana}ー]{2,}"))
+#: Words of a text; where there are no blanks, what lies between the syllables of inflection.
+_WORD = regex.compile(r"(?:(?!\p{Hiragana})[\p{L}\p{N}]){5,}|[\p{Han}\p{Katakana}ー]{2,}")
+
 
-    return F.when(F.trim(title) != "", F.when(F.coalesce(F.arrays_overlap(words(title), words(text)), F.lit(False)), 2).otherwise(1)).otherwise(0)
+def title_class(title: str | None, text: str) -> int:
+    """0 without a title, 1 if it shares no longer word with the text, 2 if it shares one."""
+    if not title or title.isspace():
+        return 0
+    return 1 if set(_WORD.findall(title.lower())).isdisjoint(_WORD.findall(text.lower())) else 2
 
 
 @dataclass
@@ -217,7 +220,7 @@ def labelled_sample(items: DataFrame, rows: int = SAMPLE_ROWS, plain: int = PLAI
     pick = F.pmod(F.xxhash64(key), F.lit(1_000_000))
     some = items.where(pick < int(min(1.0, 0.95 * rows / total) * 1_000_000)).where(F.trim("summary") != "").dropDuplicates([key])
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z]+://)?(?:www\.)?([^/?#]+)", 1))
-    some = some.select(F.col(key).cast("long").alias("id"), "summary", title_class(F.col("title"), F.col("summary")).alias("title"), F.coalesce(F.nullif(host, F.lit("")), F.col(key).cast("string")).alias("host"))
+    some = some.select(F.col(key).cast("long").alias("id"), "summary", "title", F.coalesce(F.nullif(host, F.lit("")), F.col(key).cast("string")).alias("host"))
     keep = int(1_000_000 * min(1.0, plain / min(total, rows)))
 
     def labels(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +232,8 @@ def labelled_sample(items: DataFrame, rows: int = SAMPLE_ROWS, plain: int = PLAI
             hard = pc.match_substring_regex(part.column(1), r"(?i)script|cookie|browser|error|denied|placeholder|lorem|template|session|null|40\d|[{}<>$@#_\[\]]").to_numpy(zero_copy_only=False)
             brief = pc.utf8_length(part.column(1)).to_numpy(zero_copy_only=False) < 64
             at = pa.array(np.flatnonzero((y > 0) | thin | hard | brief))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), part.column(3).take(at), pa.array(y).take(at)], ["id", "summary", "title", "host", "label"])
+            titles = pa.array([title_class(h, t) for h, t in zip(part.column(2).take(at).to_pylist(), part.column(1).take(at).to_pylist())], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), titles, part.column(3).take(at), pa.array(y).take(at)], ["id", "summary", "title", "host", "label"])
 
     got = some.mapInArrow(labels, "id long, summary string, title int, host string, label long").toArrow().sort_by("id")
     return Sample(got["summary"].to_pylist(), got["title"].to_numpy(), got["label"].to_numpy(), np.array(got["host"].to_pylist(), dtype=object))
@@ -274,10 +278,17 @@ def validate(sample: Sample, labeller: Labeller = LABELLER, model: Model | None
     return {"rows": float(out.sum()), "labelled": float(true.sum()), "found": float(said.sum()), "found_without_label": float((said & ~true).sum()), "precision_by_labels": hit / max(1.0, float(said.sum())), "recall_by_labels": hit / max(1.0, float(true.sum())), "threshold": model.threshold}
 
 
-def residue_flags(model: Model, texts: list[str], titles: np.ndarray) -> np.ndarray:
-    """Whether each text, none of them null or blank, is residue or no content: the classifier alone decides."""
-    whole, window = model.scores(texts, titles)
-    return np.maximum(whole, window) > model.threshold
+def residue_flags(model: Model, texts: list[str], titles: list[str | None]) -> np.ndarray:
+    """Whether each text, none of them null or blank, is residue or no content: the classifier alone decides.
+
+    A title counts for little, so only texts that some title could bring above the threshold are compared with theirs.
+    """
+    base = Model(model.whole, model.lengths, np.full(TITLES, model.titles.max()), model.windows, model.bias)
+    whole, window = base.scores(texts, np.zeros(len(texts), dtype=int))
+    out = np.maximum(whole, window) > model.threshold
+    for i in np.flatnonzero(out & (window <= model.threshold)):
+        out[i] = whole[i] - model.titles.max() + model.titles[title_class(titles[i], texts[i])] > model.threshold
+    return out
 
 
 def find_residue(items: DataFrame, model: Model | None = None) -> DataFrame:
@@ -290,13 +301,13 @@ def find_residue(items: DataFrame, model: Model | None = None) -> DataFrame:
 
     def flags(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            at = np.flatnonzero(residue_flags(model, part.column(1).to_pylist(), part.column(2).to_numpy()))
+            at = np.flatnonzero(residue_flags(model, part.column(1).to_pylist(), part.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at))], ["id"])
 
-    rows = items.where(F.trim("summary") != "").select(F.col("id").cast("long").alias("id"), "summary", title_class(F.col("title"), F.col("summary")).alias("title"))
+    rows = items.where(F.trim("summary") != "").select(F.col("id").cast("long").alias("id"), "summary", "title")
     return rows.mapInArrow(flags, "id long").distinct()
 
 
-def residue_of(model: Model) -> Callable[[list[str], np.ndarray], np.ndarray]:
-    """The model's decision on texts with their classes of title, for use within another pass."""
+def residue_of(model: Model) -> Callable[[list[str], list[str | None]], np.ndarray]:
+    """The model's decision on texts with their titles, for use within another pass."""
     return lambda texts, titles: residue_flags(model, texts, titles)

@@ -14,7 +14,7 @@ and the endings, summed by part.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -113,20 +113,20 @@ _KINDS = [pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string
 _NAMES = [c.split()[0] for c in SCAN.split(", ")]
 
 
-def _scan(parts: Iterator[pa.RecordBatch], left_out: Callable[[list[str], np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+def _scan(parts: Iterator[pa.RecordBatch], left_out: Callable[[list[str], list[str | None]], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     """Narrow rows of texts without a proper end (kind 0), and counts of endings summed by part (kind 1).
 
-    Columns: id, source, text, kind of title, and how often the id occurs: each occurrence has that share of the counts.
+    Columns: id, source, text, title, and how often the id occurs: each occurrence has that share of the counts.
     """
-    closes: defaultdict[str, float] = defaultdict(float)
-    inside: defaultdict[str, float] = defaultdict(float)
+    closes: Counter[str] = Counter()
+    inside: Counter[str] = Counter()
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [()] * len(_KINDS)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
 
     def counts() -> pa.RecordBatch:
-        rows = [(1, None, None, None, None, e, None, None, closes.get(e, 0.0), inside.get(e, 0.0)) for e in closes.keys() | inside.keys()]
+        rows = [(1, None, None, None, None, e, None, None, float(closes[e]), float(inside[e])) for e in closes.keys() | inside.keys()]
         closes.clear()
         inside.clear()
         return batch(rows)
@@ -134,25 +134,27 @@ def _scan(parts: Iterator[pa.RecordBatch], left_out: Callable[[list[str], np.nda
     for part in parts:
         rows: list[tuple] = []
         texts: list[str] = []
-        titles: list[int] = []
+        titles: list[str | None] = []
         for i, s, t, h, n in zip(*(c.to_pylist() for c in part.columns)):
             if not t or t.isspace():
                 continue
             stop, marked, broken, is_open, ending = profile(t)
-            share = 1.0 / n
-            for e in inner_endings(t):
-                closes[e] += share
-            for e in inside_endings(t):
-                inside[e] += share
-            if stop:
-                if not is_open:
-                    closes[ending] += share
+            ends = inner_endings(t)
+            if stop and not is_open:
+                ends.append(ending)
+            if n == 1:
+                closes.update(ends)
+                inside.update(inside_endings(t))
             else:
+                for total, found in ((closes, ends), (inside, inside_endings(t))):
+                    for e in found:
+                        total[e] += 1.0 / n
+            if not stop:
                 rows.append((0, i, s, marked or broken, is_open, ending, len(t), len(t.encode("utf-8", "replace")), 0.0, 0.0))
                 texts.append(t)
                 titles.append(h)
         if rows and left_out is not None:
-            out = left_out(texts, np.array(titles))
+            out = left_out(texts, titles)
             rows = [r for r, o in zip(rows, out) if not o]
         yield batch(rows)
         if len(inside) > HELD:
@@ -180,15 +182,15 @@ def length_spikes(rows: DataFrame, least: int = LEAST, times: float = TIMES) ->
     return found.where((F.col("texts") >= least) & (F.col("texts") >= SHARE * F.col("highest")) & (F.col("texts") >= times * usual) & (F.col("beyond") <= 0.5 * F.col("near"))).select("source", "unit", "size", "texts")
 
 
-def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider", key: str = "id", title: Column | None = None, left_out: Callable[[list[str], np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def cut_texts(items: DataFrame, text: str = "summary", source: str = "provider", key: str = "id", title: str | None = None, left_out: Callable[[list[str], list[str | None]], np.ndarray] | None = None) -> DataFrame:
     """Rows (id, source, rule) of the items whose text was cut, each id once; rule: limit, mark or ending, the first that tells it.
 
     Null and blank texts are never cut. Lists of keywords, and scripts whose sentences have no end marks, are
     cut only by their length, a mark or a broken character. A source without a name has the spikes of all
-    others. left_out tells of texts, with their kind of title, which are no cases; they are asked for in the same pass. Repeated rows count
+    others. left_out tells of texts, with their titles, which are no cases; they are asked for in the same pass. Repeated rows count
     once everywhere. An empty table gives no rows.
     """
-    rows = items.select(F.col(key).cast("long").alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text"), (F.lit(0) if title is None else title).cast("int").alias("title"))
+    rows = items.select(F.col(key).cast("long").alias("id"), source_of(F.col(source)).alias("source"), F.col(text).alias("text"), (F.lit(None) if title is None else F.col(title)).cast("string").alias("title"))
     again = repeated(items, key)
     # the texts stay where they are unless more keys are repeated than can be sent to every executor
     again = F.broadcast(again) if again.count() <= SENT else again

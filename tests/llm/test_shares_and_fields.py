@@ -6,15 +6,14 @@ import datetime
 import random
 import warnings
 
+import numpy as np
 import pytest
 
 pytest.importorskip("quarryspan.llm")
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from quarryspan.llm import truncation  # noqa: E402
 from quarryspan.llm.queries_groups import p2_fused  # noqa: E402
-from quarryspan.llm.representative import latent_truth  # noqa: E402
+from quarryspan.llm.representative import judged, latent_quality  # noqa: E402
 
 
 def test_an_ending_needs_a_share_of_its_occurrences(spark):
@@ -37,7 +36,7 @@ def test_left_out_texts_and_repeated_rows(spark):
     rows = [(1, "a", "It stops in the mid", None), (1, "a", "It stops in the mid", None), (2, "a", "It ends he…", "t"), (3, None, None, "t"), (4, "a", "Done.", "t")]
     df = spark.createDataFrame(rows, "id long, provider string, summary string, title string")
     assert sorted(tuple(r) for r in truncation.cut_texts(df).collect()) == [(1, "a", "ending"), (2, "a", "mark")]
-    out = truncation.cut_texts(df, title=F.when(F.col("title").isNull(), 0).otherwise(1), left_out=lambda texts, titles: titles == 1)
+    out = truncation.cut_texts(df, title="title", left_out=lambda texts, titles: np.array([t is not None for t in titles]))
     assert [tuple(r) for r in out.collect()] == [(1, "a", "ending")]
 
 
@@ -56,16 +55,39 @@ def test_every_dealt_field_is_fused(spark, tmp_path):
     assert r["title_values"] == ["T"] and r["evidence_level_values"] == ["unverified"]
 
 
+def _facts(spark, rows):
+    """rows: (i, true, [(witness, says)..]) as facts of one field."""
+    coded = [(i, true, "\x1f".join(["f", "\x1e".join(w for w, _ in c), "\x1e".join(w for w, says in c if says)])) for i, true, c in rows]
+    return spark.createDataFrame(coded, "i int, true boolean, pattern string")
+
+
 def test_latent_model_converges_on_a_rare_truth(spark):
     rng = random.Random(8)
     rows = []
     for i in range(2000):
         true = rng.random() < 0.1
         rows.append((i, true, sorted((w, rng.random() < (0.8 if true else 0.1)) for w in "abcde")))
-    facts = spark.createDataFrame(rows, "i int, true boolean, claims array<struct<witness:string,says:boolean>>")
+    facts = _facts(spark, rows)
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
-        out = latent_truth(facts).collect()
-    exact = {r["i"]: r["truth"] for r in latent_truth(facts, tolerance=1e-8).collect()}
+        out = judged(facts, latent_quality(facts)).collect()
+    exact = {r["i"]: r["truth"] for r in judged(facts, latent_quality(facts, tolerance=1e-8)).collect()}
     assert max(abs(r["truth"] - exact[r["i"]]) for r in out) < 0.02
     assert abs(sum(r["truth"] for r in out) / len(out) - 0.1) < 0.02
+
+
+def test_planted_rates_and_truth_are_found(spark):
+    """Sources of known sensitivity and specificity: the model finds their rates and, by them, the truth, better than votes."""
+    rng = random.Random(3)
+    planted = {"a": (0.95, 0.02), "b": (0.9, 0.05), "c": (0.6, 0.4), "d": (0.6, 0.4), "e": (0.6, 0.4)}
+    rows = []
+    for i in range(6000):
+        true = rng.random() < 0.4
+        rows.append((i, true, sorted((w, rng.random() < p[0 if true else 1]) for w, p in planted.items())))
+    facts = _facts(spark, rows)
+    quality = latent_quality(facts)
+    for w, (sens, fpr) in planted.items():
+        assert abs(quality.rates["f", w][0] - sens) < 0.05 and abs(quality.rates["f", w][1] - fpr) < 0.05
+    right = sum((r["truth"] > 0.5) == r["true"] for r in judged(facts, quality).collect())
+    votes = sum((sum(says for _, says in c) > 2) == true for _, true, c in rows)
+    assert right > 0.96 * len(rows) > votes
