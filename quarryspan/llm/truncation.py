@@ -42,7 +42,7 @@ _BROKEN_END = re.compile(r"(?:�|&[A-Za-z#0-9]{0,8}|[-–—,:;(\[{«„/])$")
 _INNER = re.compile(r"[.!?]+[\"”“»)\]]*\s+(?=[^\W_]|[¿¡«„“\"(\[])|[。！？]")
 _QUOTES = str.maketrans("", "", "\"”“„»«’()[]")
 _DIGIT = re.compile(r"\d")
-_NUMBERED = re.compile(r"\S*\d\S*")
+_UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _ABBREVIATIONS = ANY | NUMBER
 
 
@@ -99,11 +99,24 @@ def inner_endings(text: str) -> list[str]:
     return out
 
 
+def _folded(text: str) -> list[str]:
+    """The words of a text in lower case, without quotation marks and brackets; those with a digit are all the same."""
+    if text.isascii():
+        for c in "\"()[]":
+            if c in text:
+                text = text.replace(c, "")
+    else:
+        text = text.translate(_QUOTES)
+    return [w if w.isalpha() or not _DIGIT.search(w) else "#" for w in text.lower().split()]
+
+
 def inside_endings(text: str) -> list[str]:
     """What would be the ending of the text were it cut behind any of its words but the last, as far as no sentence ends there."""
-    words = _NUMBERED.sub("#", text.translate(_QUOTES).lower()).split()
+    words = _folded(text)
+    if text.isascii():
+        return [f"{a} {b}" if b[-1] not in ",;:" else f"{a} {c}" for a, b in zip(words, words[1:-1]) if b[-1] not in ".!?" and (c := b.rstrip(",;:"))]
     out = [f"{a} {b}" for a, b in zip(words, [w.rstrip(",;:") for w in words[1:-1]]) if b and b[-1] not in TERMINAL and not _unspaced(b[-1])]
-    if any(map(_unspaced, text)):
+    if _UNSPACED.search(text):
         out += [text[i - 3:i] for i in range(3, len(text)) if _unspaced(text[i - 1]) and text[i] not in TERMINAL]
     return out
 
