@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryspan.session import cut
+
 # Letters that look like Latin ones, by script.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc"))
@@ -122,21 +124,49 @@ def consistent(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20-\x7e]"), _consistent(text)).otherwise(F.trim(text))
 
 
+#: So many texts at most are sent to every executor by their hashes (8 bytes each); more take a shuffled join.
+SENT = 2_000_000
+
+
+def same_looking(df: DataFrame, scope: list[str], key: str, text: str) -> DataFrame:
+    """Rows (scope.., k, form, t), each once, of the texts whose form belongs to several different texts of one scope.
+
+    A narrow table of hashes tells which texts these are; only they are read as a whole again. Null and blank texts, and null scopes, are none.
+    """
+    rows = df.select(*scope, F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    for c in scope:
+        rows = rows.where(F.col(c).isNotNull())
+    own = F.xxhash64(*scope, "t")
+    hashes = cut(rows.select(*scope, "t", consistent(F.col("t")).alias("form")).where("form <> ''").select(F.xxhash64(*scope, "form").alias("form"), own.alias("own")))
+    several = hashes.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("form")
+    # forms of several texts are few among all
+    wanted = cut(hashes.join(several, "form", "left_semi").select("own").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    found = rows.withColumn("own", own).join(wanted, "own", "left_semi").select(*scope, "k", consistent(F.col("t")).alias("form"), "t")
+    return cut(found.where("form <> ''").distinct())
+
+
 def same_looking_pairs(df: DataFrame, scope: list[str], key: str, text: str) -> DataFrame:
     """Pairs (scope.., a, b; a < b) of rows of one scope whose texts look the same but differ.
 
-    Repeated rows of one key count once. Null and blank texts are in no pair. The pairs that TESTDATA
-    asks for are all pairs, so the result is as large as they are; only texts that aren't in the
-    consistent form themselves can differ from their like, so one side of the join is those alone.
+    Repeated rows of one key count once. Null and blank texts are in no pair. Different texts are paired first, each once, and
+    their rows are added to the pairs: the work grows with the rows and the result, however often one text recurs.
     """
-    rows = df.select(*scope, F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    rows = rows.withColumn("form", consistent(F.col("t"))).where("form <> ''").dropDuplicates([*scope, "k", "form", "t"])
-    # texts of a form, each once: the forms with several texts are few, whatever the number of rows
-    several = rows.groupBy(*scope, "form").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select(*scope, "form")
-    rows = rows.join(several, [*scope, "form"], "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "form"]]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return a.join(b, on & (F.col("a.k") < F.col("b.k")) & (F.col("a.t") != F.col("b.t"))).select(*[F.col(f"a.{c}") for c in scope], F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+    rows = same_looking(df, scope, key, text)
+    by = [*scope, "form"]
+    texts = rows.select(*by, "t").distinct()
+    pairs = texts.join(texts.withColumnRenamed("t", "u"), by).where("t < u")
+    left = pairs.join(rows.withColumnRenamed("k", "a"), [*by, "t"])
+    both = left.join(rows.select(*by, F.col("t").alias("u"), F.col("k").alias("b")), [*by, "u"]).where("a <> b")
+    return both.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def same_looking_classes(df: DataFrame, scope: list[str], key: str, text: str) -> DataFrame:
+    """Rows (scope.., key, form, first_key, texts): the members of each class of texts that look the same but differ, a row for each key and text.
+
+    first_key is the smallest key of the class, texts the number of its different texts: as large as the rows, where pairs can be many more.
+    """
+    rows = same_looking(df, scope, key, text)
+    by = [*scope, "form"]
+    classes = rows.groupBy(*by, "t").agg(F.min("k").alias("k")).groupBy(*by).agg(F.min("k").alias("first_key"), F.count("*").alias("texts")).where("texts > 1")
+    return rows.join(classes, by).select(*scope, F.col("k").alias(key), "form", "first_key", "texts").distinct()

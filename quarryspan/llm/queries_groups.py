@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspan.llm.lookalike import same_looking_pairs
+from quarryspan.llm.lookalike import same_looking_classes, same_looking_pairs
 from quarryspan.llm.representative import FIELDS, GROUP, best_representative
 from quarryspan.llm.topn import top_n
 from quarryspan.tables import load
@@ -36,13 +36,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
         items.select(F.lit("title").alias("field_name"), F.col("a").cast("string").alias("key_a"), F.col("b").cast("string").alias("key_b")))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of each class of look-alike titles of a session, and of queries of all sessions: membership instead of pairs."""
+    sessions = same_looking_classes(load(spark, folder, "research_sessions", "session_id", "original_query"), [], "session_id", "original_query")
+    items = same_looking_classes(load(spark, folder, "raw_evidence_items", "session_id", "id", "title"), ["session_id"], "id", "title")
+    return sessions.select(F.lit("original_query").alias("field_name"), F.col("session_id").alias("key"), "form", "first_key", "texts").unionByName(
+        items.select(F.lit("title").alias("field_name"), F.col("id").cast("string").alias("key"), "form", F.col("first_key").cast("string").alias("first_key"), "texts"))
+
+
 _KEY = r"""
 nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(canonical_id)),
  '#.*$', ''), '^\s*[a-z][a-z0-9+.\-]*://', ''), '^www[0-9]*\.', ''), '^(dx\.)?doi\.[a-z.]+/(10\.)', '\2'), '^(doi|patent|pn|urn|hdl|arxiv)\s*:\s*', ''),
  '([?&])(utm_[a-z_]*|gclid|fbclid|msclkid|dclid|yclid|gbraid|wbraid|mc_cid|mc_eid|igshid|_ga|_gl|vero_id|spm)=[^&]*', '\1', 'g'), '[^\p{L}\p{N}]+', '', 'g'), '')
 """
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes}
 ORACLE = {
     "p2_found": f"""
 WITH items AS (SELECT DISTINCT id, session_id, source_type, provider, coalesce(verified_url, 0) AS v, CASE WHEN NOT isnan(evidence_quality_score) THEN evidence_quality_score END AS q, created_at, {_KEY} AS k FROM raw_evidence_items),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from oracle import compare  # noqa: E402
 from quarryspan.llm import registry  # noqa: E402
-from quarryspan.llm.lookalike import rules, same_looking_pairs, transducer  # noqa: E402
+from quarryspan.llm.lookalike import rules, same_looking_classes, same_looking_pairs, transducer  # noqa: E402
 from quarryspan.llm.representative import best_representative, document_key  # noqa: E402
 from quarryspan.llm.topn import top_n  # noqa: E402
 
@@ -79,3 +79,11 @@ def test_pairs_against_brute_force(spark):
     got = [tuple(r) for r in same_looking_pairs(df, ["s"], "id", "t").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert same_looking_pairs(df.limit(0), ["s"], "id", "t").count() == 0
+
+
+def test_one_variant_among_many_equal_texts(spark):
+    many = spark.range(100_000).selectExpr("'s' AS s", "id AS i", "'a b' AS t").unionByName(spark.createDataFrame([("s", -1, "ａ b")], "s string, i long, t string"))
+    pairs = same_looking_pairs(many, ["s"], "i", "t")
+    assert pairs.count() == 100_000 and pairs.where("a <> -1 OR b < 0").count() == 0
+    got = same_looking_classes(many, ["s"], "i", "t").agg(F.count("*"), F.min("first_key"), F.max("texts")).first()
+    assert tuple(got) == (100_001, -1, 2)
