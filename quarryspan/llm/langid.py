@@ -9,6 +9,7 @@ the cheapest path through the languages of the words, with a price for each chan
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,19 +71,24 @@ def words_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PIECE.finditer(text) if any(c.isalpha() for c in m[0])]
 
 
-def windows(text: str, words: list[tuple[int, int]]) -> np.ndarray:
-    """A window of bytes around the middle of each word, padded at the text's ends."""
-    offsets = np.zeros(len(text) + 1, dtype=np.int64)
+def window_starts(text: str, words: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text, padded behind its end, and where the window around the middle of each word begins."""
     raw = text.encode("utf-8", "replace")
     if len(raw) == len(text):
-        offsets = np.arange(len(text) + 1)
+        middle = np.array([(a + b) // 2 for a, b in words], dtype=np.int64)
     else:
+        offsets = np.zeros(len(text) + 1, dtype=np.int64)
         np.cumsum([len(c.encode("utf-8", "replace")) for c in text], out=offsets[1:])
-    data = np.full(len(raw) + 2 * LENGTH, PAD, dtype=np.int16)
-    data[LENGTH:LENGTH + len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-    middle = np.array([(offsets[a] + offsets[b]) // 2 for a, b in words], dtype=np.int64)
+        middle = np.array([(offsets[a] + offsets[b]) // 2 for a, b in words], dtype=np.int64)
+    data = np.full(len(raw) + LENGTH, PAD, dtype=np.int16)
+    data[:len(raw)] = np.frombuffer(raw, dtype=np.uint8)
     # windows stay within the text as far as it goes
-    start = np.clip(middle - LENGTH // 2, 0, max(0, len(raw) - LENGTH)) + LENGTH
+    return data, np.clip(middle - LENGTH // 2, 0, max(0, len(raw) - LENGTH))
+
+
+def windows(text: str, words: list[tuple[int, int]]) -> np.ndarray:
+    """A window of bytes around the middle of each word, padded at the text's end."""
+    data, start = window_starts(text, words)
     return data[start[:, None] + np.arange(LENGTH)]
 
 
@@ -122,6 +128,39 @@ class ByteNetwork:
             out.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(self.bias)))
 
+    def tables(self) -> list[np.ndarray]:
+        """For each width, what each byte adds at each place of a filter."""
+        return [np.stack([(self.embedding @ f[j]).astype(np.float32) for j in range(w)]) for w, f in zip(WIDTHS, self.filters)]
+
+    def along(self, data: np.ndarray, starts: np.ndarray, tables: list[np.ndarray] | None = None, block: int = 1 << 14) -> np.ndarray:
+        """Log probabilities of the windows of a long line of bytes that begin at these rising places.
+
+        Windows overlap, so filters are applied once at each byte, in blocks of bounded size, and a running maximum over the
+        length of a window pools them.
+        """
+        tables = tables or self.tables()
+        pooled = np.zeros((len(starts), FILTERS * len(WIDTHS)), dtype=np.float32)
+        cuts = np.searchsorted(starts, np.arange(0, len(data) + block, block))
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            if lo == hi:
+                continue
+            x = data[k * block:(k + 1) * block + LENGTH]
+            at = starts[lo:hi] - k * block
+            for i, (w, table, b) in enumerate(zip(WIDTHS, tables, self.biases)):
+                n = len(x) - w + 1
+                most = table[0][x[:n]]
+                for j in range(1, w):
+                    most += table[j][x[j:n + j]]
+                span, need = 1, LENGTH - w + 1
+                while 2 * span <= need:  # the maximum over twice as many places, by two that adjoin
+                    most = np.maximum(most[:-span], most[span:])
+                    span *= 2
+                best = np.maximum(most[at], most[at + need - span]) + b.astype(np.float32)
+                pooled[lo:hi, i * FILTERS:(i + 1) * FILTERS] = np.maximum(best, 0)
+        z = pooled @ self.weights + self.bias
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
     def step(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Gradients of the cross entropy on a batch."""
         hidden, places = self._pooled(x)
@@ -178,30 +217,57 @@ def train(x: np.ndarray, y: np.ndarray, classes: int = len(LANGUAGES), epochs: i
 
 
 def segments(net: ByteNetwork, text: str | None) -> list[tuple[int, int, str, float]]:
-    """(first, last + 1, language, confidence) of each segment of a text; none of a null or blank one.
+    """The segments of one text; see `segments_of`."""
+    return segments_of(net, [text])[0]
+
 
-    Positions are those of words. Without any letter, the text is one segment of the likeliest language.
+def segments_of(net: ByteNetwork, texts: list[str | None], tables: list[np.ndarray] | None = None) -> list[list[tuple[int, int, str, float]]]:
+    """For each text (first, last + 1, language, confidence) of its segments; none of a null or blank one.
+
+    Positions are those of words. Without any letter, a text is one segment of the likeliest language. All texts go through the network at once.
     """
-    if text is None or not text.strip():
-        return []
-    low = plain(text)
-    words = words_of(low)
-    if not words:
-        low, words = low or " ", [(0, max(1, len(low)))]
-    logs = net.log_probabilities(windows(low, words))
+    datas, starts, sizes, at = [], [], [], 0
+    for text in texts:
+        if text is None or not text.strip():
+            sizes.append(0)
+            continue
+        low = plain(text)
+        words = words_of(low)
+        if not words:
+            low, words = low or " ", [(0, max(1, len(low)))]
+        data, start = window_starts(low, words)
+        datas.append(data)
+        starts.append(start + at)
+        sizes.append(len(words))
+        at += len(data)
+    logs = net.along(np.concatenate(datas), np.concatenate(starts), tables) if datas else np.zeros((0, len(LANGUAGES)))
+    ends = np.cumsum(sizes)
+    return [_segments(logs[e - n:e]) if n else [] for n, e in zip(sizes, ends.tolist())]
+
+
+def _path(logs: np.ndarray) -> np.ndarray:
+    """The cheapest path through the languages of the words, with a price for each change."""
+    path = logs.argmax(axis=1)
+    if (path == path[0]).all():  # no path can be cheaper
+        return path
     n, c = logs.shape
     best = logs[0].copy()
     back = np.zeros((n, c), dtype=np.int64)
+    every = np.arange(c)
     for i in range(1, n):
         other = int(best.argmax())
         change = best[other] - CHANGE
         stay = best >= change
-        back[i] = np.where(stay, np.arange(c), other)
+        back[i] = np.where(stay, every, other)
         best = np.where(stay, best, change) + logs[i]
-    path = np.zeros(n, dtype=np.int64)
     path[-1] = int(best.argmax())
     for i in range(n - 1, 0, -1):
         path[i - 1] = back[i][path[i]]
+    return path
+
+
+def _segments(logs: np.ndarray) -> list[tuple[int, int, str, float]]:
+    path = _path(logs)
     runs = _runs(path)
     while len(runs) > 1:  # too short or unsure for a segment: part of the neighbour that fits it better
         sizes = [b - a for a, b in runs]
@@ -215,10 +281,7 @@ def segments(net: ByteNetwork, text: str | None) -> list[tuple[int, int, str, fl
         sides = [path[runs[j][0]] for j in (k - 1, k + 1) if 0 <= j < len(runs)]
         path[a:b] = max(sides, key=lambda s: logs[a:b, s].sum())
         runs = _runs(path)
-    out = []
-    for a, b in runs:
-        out.append((a, b, LANGUAGES[path[a]], _confidence(logs[a:b], path[a])))
-    return out
+    return [(a, b, LANGUAGES[path[a]], _confidence(logs[a:b], path[a])) for a, b in runs]
 
 
 def _confidence(logs: np.ndarray, language: int) -> float:
@@ -261,12 +324,40 @@ def labelled_windows(texts: list[str], labels: list[str], per_language: int = WI
 
 
 def labelled_sample(df: DataFrame, key: str, text: str, label: Column, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most so many texts with a label that names a known language, by the hash of their key."""
-    named = df.select(F.col(key).alias("k"), F.col(text).alias("t"), label.alias("l")).where("l IS NOT NULL AND trim(t) <> ''")
+    """At most so many texts with a label that names a known language: those whose keys have the lowest hashes."""
+    named = df.select(F.col(key).alias("k"), F.col(text).alias("t"), label.alias("l")).where("l IS NOT NULL AND trim(t) <> ''").withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1_000_000)))
     total = max(1, named.count())
-    pick = F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(min(1.0, rows / total) * 1_000_000)
-    got = named.where(pick).toArrow().sort_by("k")
-    return got["t"].to_pylist()[:rows], [language_of(x) or "" for x in got["l"].to_pylist()[:rows]]
+    # somewhat more by a threshold, so that only few rows are ordered
+    got = named.where(F.col("h") <= int(min(1.0, 1.2 * rows / total) * 1_000_000)).orderBy("h", "k").limit(rows).toArrow()
+    return got["t"].to_pylist(), [language_of(x) or "" for x in got["l"].to_pylist()]
+
+
+def held_out(texts: list[str]) -> np.ndarray:
+    """Whether each text is kept from training: a fifth of the different texts, equal ones (in their plain form) alike."""
+    return np.array([zlib.crc32(" ".join(plain(t).split()).encode("utf-8", "replace")) % 5 == 0 for t in texts], dtype=bool)
+
+
+def validate(texts: list[str], labels: list[str]) -> list[tuple[str, str, int, int]]:
+    """(measure, language, cases, right) on texts that were held out of training, by the language that most of their windows and labels agree on.
+
+    windows: single windows; texts: whole texts, which must be one segment of their label; mixed: two texts of
+    different languages in a row, which must be two segments of these languages.
+    """
+    out = held_out(texts)
+    net = train(*labelled_windows([t for t, o in zip(texts, out) if not o], [x for x, o in zip(labels, out) if not o]))
+    kept = [(t, x) for t, x, o in zip(texts, labels, out) if o and x in LANGUAGES and t and t.strip()]
+    rows = []
+    x, y = labelled_windows([t for t, _ in kept], [x for _, x in kept])
+    right = net.log_probabilities(x).argmax(axis=1) == y if len(y) else np.zeros(0, bool)
+    rows += [("windows", lang, int((y == i).sum()), int(right[y == i].sum())) for i, lang in enumerate(LANGUAGES)]
+    found = [[s[2] for s in own] for own in segments_of(net, [t for t, _ in kept])]
+    rows += [("texts", lang, sum(x == lang for _, x in kept), sum(x == lang and f == [lang] for (_, x), f in zip(kept, found))) for lang in LANGUAGES]
+    # texts whose label the network bears out, long enough for a segment, each joined to the next of another language
+    sure = [(t, x) for (t, x), f in zip(kept, found) if f == [x] and LEAST_WORDS <= len(words_of(plain(t))) <= 60]
+    pairs = [(a, b) for a, b in zip(sure, sure[1:]) if a[1] != b[1]]
+    mixed = [[s[2] for s in own] for own in segments_of(net, [f"{a[0]} {b[0]}" for a, b in pairs])]
+    rows += [("mixed", lang, sum(a[1] == lang for a, _ in pairs), sum(a[1] == lang and f == [a[1], b[1]] for (a, b), f in zip(pairs, mixed))) for lang in LANGUAGES]
+    return rows
 
 
 def text_segments(df: DataFrame, net: ByteNetwork, key: str, text: str, label: Column | None = None) -> DataFrame:
@@ -279,10 +370,12 @@ def text_segments(df: DataFrame, net: ByteNetwork, key: str, text: str, label: C
     named = (label if label is not None else F.lit(None)).cast("string")
 
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.tables()
         for part in parts:
             at, no, of, lang, sure, labelled = [], [], [], [], [], []
-            for i, (t, l) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                own = segments(net, t)
+            texts = part.column(1).to_pylist()
+            each = [own for i in range(0, len(texts), 1000) for own in segments_of(net, texts[i:i + 1000], tables)]
+            for i, (own, l) in enumerate(zip(each, part.column(2).to_pylist())):
                 for k, (_, _, code, c) in enumerate(own, 1):
                     at.append(i)
                     no.append(k)
