@@ -1,9 +1,10 @@
 """Sentence units of texts in any script, with their positions.
 
 The rules are those of the standard sentence-break property (terminators STerm and ATerm of all
-scripts, Close, Sp, Lower, Upper), with abbreviations suppressed by language, pairs of quotation
-marks and brackets kept whole, headings and list entries as units of their own, and, for Thai,
-which has no terminators, blanks between clauses.
+scripts, Close, Sp, Lower, Upper), with abbreviations suppressed in their own language, which the script and the
+function words of the sentence tell, pairs of quotation marks and brackets kept whole, headings and list entries as units of their
+own, and, for Thai, which has no terminators, blanks between clauses. A heading is a line that ended though the next
+word had room in it, and that no sentence ends in.
 """
 
 from __future__ import annotations
@@ -44,11 +45,27 @@ MAY_END = {
 MONTHS_AFTER_ORDINAL = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
 
 
+# Frequent words without a meaning of their own, by which the languages of one script are told apart.
+FUNCTION_WORDS = {
+    "en": "a the of and to in is that for with which while as on by at from are was be it this an or not whereas when its than has have can does if between under",
+    "de": "der die das und ist nicht mit den von zu ein eine einer eines im für auf dem des sich als auch an bei wird werden nach während durch oder wenn dass zwischen unter am zum zur kein",
+    "fr": "le la les des et est une du dans que pour qui sur au aux par avec pas ne se sont ou ce cette pendant lorsque entre sous à d l un sans alors selon si",
+    "es": "el la los las y en que del para con por una un es se al no su como más mientras cuando entre bajo según si o lo sin esta este",
+    "sk": "a v na je s sa z do že pri pre pod ako aj alebo nie od o za po podľa keď medzi ktorý ktorá ktoré bez kým ak zároveň počas so vo",
+}
+
+
 def _set(groups: dict[str, str]) -> frozenset[str]:
     return frozenset(w for words in groups.values() for w in words.split())
 
 
-ANY, NUMBER, ENDING = _set(BEFORE_ANY), _set(BEFORE_NUMBER), _set(MAY_END)
+def _by_word(groups: dict[str, str]) -> dict[str, frozenset[str]]:
+    """For each word the languages that have it."""
+    return {w: frozenset(lang for lang, words in groups.items() if w in words.split()) for w in _set(groups)}
+
+
+ANY, NUMBER, ENDING = _by_word(BEFORE_ANY), _by_word(BEFORE_NUMBER), _by_word(MAY_END)
+_TELLS = {w: [lang for lang, words in FUNCTION_WORDS.items() if w in words.split()] for w in _set(FUNCTION_WORDS)}
 MONTHS = frozenset(MONTHS_AFTER_ORDINAL.split())
 
 _TERM = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…]+")
@@ -74,11 +91,44 @@ _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _CLAUSE = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{N}][)\]\"”’»])\s+(?=([\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])|[(\[“\"«]|\p{Lu}(?:\p{Ll}|\s)|\p{Ll}{1,2}\p{Lu})")
 _MARK = regex.compile(r"[\"“”„«»‹›()\[\]（）「」『』【】]")
 _PAIRS = {"”": "“", "»": "«", "›": "‹", ")": "(", "]": "[", "）": "（", "」": "「", "』": "『", "】": "【"}
-_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_TERM_INSIDE = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…][\p{SB=Close}]*\s+[\p{Lu}\p{Lo}\p{N}]|[。！？｡．]")
+
+_NEXT = regex.compile(r"[.!?]\s+[\p{Lu}\p{N}]")
+_LETTERS = regex.compile(r"\p{L}+")
+_FIRST_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|\p{Thai}{1,8}|[^\s\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
+#: The language of a sentence is told by its words before a place, at least so many telling ones, else by so many characters behind it, too.
+TELLING, BEHIND = 2, 120
+
+
+def _votes(text: str, votes: dict[str, int]) -> dict[str, int]:
+    for w in _LETTERS.findall(text.lower()):
+        for lang in _TELLS.get(w, ()):
+            votes[lang] = votes.get(lang, 0) + 1
+    return votes
+
 
-#: A heading has at most so many characters, one in a script of wide characters so many; a line that was
-#: wrapped is longer.
-HEADING, WIDE_HEADING = 36, 16
+def language_at(text: str, start: int, at: int) -> str | None:
+    """The language of the sentence from start at a place in it, by its script and function words; None if these don't tell."""
+    if at and "\u0400" <= text[at - 1] <= "\u052f":
+        return "ru"
+    if at and "\u0900" <= text[at - 1] <= "\u097f":
+        return "hi"
+    votes = _votes(text[start:at], {})
+    if max(votes.values(), default=0) < TELLING:
+        behind = text[at + 1:at + BEHIND]
+        end = _NEXT.search(behind)
+        votes = _votes(behind[:end.start()] if end else behind, votes)
+    best = [*sorted(votes.items(), key=lambda x: -x[1])[:2], ("", 0)]
+    return best[0][0] if best[0][1] >= TELLING and best[0][1] > best[1][1] else None
+
+
+def _suppressed(words: dict[str, frozenset[str]], forms: tuple[str, ...], text: str, start: int, at: int) -> bool:
+    """Whether one of the forms is such an abbreviation in the language around it (in any, where that is unknown)."""
+    langs = frozenset().union(*(words.get(f, ()) for f in forms))
+    if not langs:
+        return False
+    own = language_at(text, start, at)
+    return own is None or own in langs
 
 
 def _pairs(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -146,11 +196,11 @@ def _ends_here(text: str, start: int, at: int, after: int, end: int) -> bool:
     if two:
         joined = two[1].lower() + low
     digit = text[nxt].isdigit()
-    if low in ENDING or joined in ENDING:
+    if _suppressed(ENDING, (low, joined), text, start, at):
         return True
-    if low in ANY or joined in ANY:
+    if _suppressed(ANY, (low, joined), text, start, at):
         return False
-    if digit and low in NUMBER:
+    if digit and _suppressed(NUMBER, (low,), text, start, at):
         return False
     if len(word) == 1 and word.isalpha() and (word.isupper() and text[nxt].isupper() or _INITIAL.match(text, nxt, end)):
         return False  # initials, and abbreviations written with blanks
@@ -216,6 +266,29 @@ def _add(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         out.append((start + left, start + left + len(part)))
 
 
+def _widths(lines: list[str]) -> list[int]:
+    """For each line how long a line is there: the longest one without a blank line between, or, where those are
+    but two or none ends a sentence, the longest one of the text."""
+    out = [max(map(len, lines), default=0)] * len(lines)
+    first = 0
+    for k, line in enumerate([*lines, ""]):
+        if not line:
+            own = lines[first:k]
+            if len(own) > 2 and any(_ENDS.search(x[-8:]) for x in own):
+                out[first:k] = [max(map(len, own))] * len(own)
+            first = k + 1
+    return out
+
+
+def _room(line: str, following: str, width: int) -> bool:
+    """Whether the first word of the next line would have fitted into this one: then it was not wrapped here, but ended."""
+    word = _FIRST_WORD.match(following)
+    last = line.rsplit(None, 1)[-1].lower()
+    if last in _TELLS and not line[-1].isdigit():
+        return False  # what a function word belongs to must follow
+    return len(line) + 1 + len(word[0] if word else "") <= width
+
+
 def units(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit, in code points; none of a null or blank text."""
     out: list[tuple[int, int]] = []
@@ -227,6 +300,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
         lines.append((at, m.start(), text[at:m.start()].strip()))
         at = m.end()
     lines.append((at, len(text), text[at:].strip()))
+    widths = _widths([line for *_, line in lines])
     region: int | None = None  # where the running prose began
     last = 0
     before = ""  # the line before, with what it was: blank, item, heading, prose
@@ -238,7 +312,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
             kind = "blank"
         elif fresh and (_BULLET.match(line) or _NUMBERED.match(line)):
             kind = "item"
-        elif fresh and len(line) <= (WIDE_HEADING if _WIDE.search(line) else HEADING) and not _ENDS.search(line[-8:]) and any(map(str.isalpha, line)) and (not following or _START.match(following) or _BULLET.match(following)):
+        elif fresh and not _ENDS.search(line[-8:]) and any(map(str.isalpha, line)) and (not following or (_START.match(following) or _BULLET.match(following)) and _room(line, following, widths[k])) and not _TERM_INSIDE.search(line) and not _CLAUSE.search(line):
             kind = "heading"
         elif was == "item" and len(before) >= 40 and not _ENDS.search(before[-8:]) and not _START.match(line):
             kind = "more"

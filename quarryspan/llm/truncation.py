@@ -43,7 +43,7 @@ _INNER = re.compile(r"[.!?]+[\"”“»)\]]*\s+(?=[^\W_]|[¿¡«„“\"(\[])|[
 _QUOTES = str.maketrans("", "", "\"”“„»«’()[]")
 _DIGIT = re.compile(r"\d")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
-_ABBREVIATIONS = ANY | NUMBER
+_ABBREVIATIONS = ANY.keys() | NUMBER.keys()
 
 
 def source_of(provider: Column) -> Column:

@@ -88,6 +88,11 @@ CASES = [
     ("अंतर लगभग 4.87 मि.मी. है। क्या यह है? हाँ।", ["अंतर लगभग 4.87 मि.मी. है।", "क्या यह है?", "हाँ।"]),
     ("А. В. Орветов сообщает, что это ок. 13,7 мм. Далее.", ["А. В. Орветов сообщает, что это ок. 13,7 мм.", "Далее."]),
     ("La notice précise : « Garder fermé. Ne pas plier. » Est-ce bon ? Oui.", ["La notice précise : « Garder fermé. Ne pas plier. »", "Est-ce bon ?", "Oui."]),
+    ("The valve is described in this doc. Novák measures it for the second time.", ["The valve is described in this doc.", "Novák measures it for the second time."]),
+    ("Ventil je podľa nás dobrý a doc. Novák ho meria pri práci.", ["Ventil je podľa nás dobrý a doc. Novák ho meria pri práci."]),
+    ("Background of the invention and a survey of the known devices\nThe valve is known for a long time and it is used in many places of the plant.", ["Background of the invention and a survey of the known devices", "The valve is known for a long time and it is used in many places of the plant."]),
+    ("Die Pumpe misst den\nVerschleiß. Sie hält.", ["Die Pumpe misst den\nVerschleiß.", "Sie hält."]),
+    ("Results\nPrior art\n\nIt works for a long time.", ["Results", "Prior art", "It works for a long time."]),
     ("คู่มือระบุว่า“ปิดฝาไว้ ห้ามงอสาย”เสมอ ช่องว่างมีขนาด2.5มม.และวาล์ว", ["คู่มือระบุว่า“ปิดฝาไว้ ห้ามงอสาย”เสมอ", "ช่องว่างมีขนาด2.5มม.และวาล์ว"]),
 ]
 
