@@ -74,9 +74,19 @@ def q09_consolidated_atoms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("session_id", F.explode(kept).alias("a")).select("session_id", "a.category", "a.label", F.array_join("a.terms", " ").alias("terms"))
 
 
+def _equivalents(spark: SparkSession) -> list:
+    """(phrase, ord, replacement): every pair of the fixed tables in both directions, the longest phrase first, then by its first mention."""
+    pairs = [*dims.SYNONYMS, *((short.upper(), long) for short, long in dims.ACRONYMS.items())]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "at int, a string, b string")
+    both = rows.select("at", F.lower("a").alias("phrase"), F.col("b").alias("replacement"), F.lit(0).alias("side")).unionByName(rows.select("at", F.lower("b").alias("phrase"), F.col("a").alias("replacement"), F.lit(1).alias("side")))
+    first = both.groupBy("phrase").agg(F.min(F.struct("at", "side")).alias("first"))
+    place = F.dense_rank().over(Window.orderBy(F.desc(F.length("phrase")), "first"))
+    return both.select("phrase", "replacement").distinct().join(first, "phrase").select("phrase", (place - 1).alias("ord"), "replacement").orderBy("ord", "replacement").collect()
+
+
 def _with_synonyms(rows: DataFrame) -> DataFrame:
     """A row for each fixed phrase that a query has, with an equivalent of it."""
-    fixed = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(o).alias("ord"), F.lit(r).alias("replacement")) for p, o, r in dims.synonym_rows()])
+    fixed = F.array(*[F.struct(F.lit(x["phrase"]).alias("phrase"), F.lit(x["ord"]).alias("ord"), F.lit(x["replacement"]).alias("replacement")) for x in _equivalents(rows.sparkSession)])
     low = F.lower(F.col("query"))
     found = F.filter(fixed, lambda x: F.regexp_like(low, F.concat(F.lit(r"\b"), x["phrase"], F.lit(r"\b"))))
     return rows.select("session_id", "query", F.explode(found).alias("x")).select("session_id", "query", "x.*")
@@ -209,7 +219,11 @@ ip AS (SELECT id, string_split(u, '#')[1] AS u FROM iu),
 iq AS (SELECT id, string_split(u, '?')[1] AS p, CASE WHEN contains(u, '?') THEN substr(u, instr(u, '?') + 1) ELSE '' END AS q FROM ip),
 ik AS (SELECT id, rtrim(lower(string_split(p, '/')[1]) || substr(p, length(string_split(p, '/')[1]) + 1), '/') AS p, list_filter(string_split(q, '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ({S.quoted(dims.IDENTITY_TRACKING)})) AS l FROM iq),
 ident AS (SELECT id, CASE WHEN len(l) > 0 THEN p || '?' || array_to_string(l, '&') ELSE p END AS identity_url FROM ik)"""
-_SYN = "syn AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {o}, '{r}')" for p, o, r in dims.synonym_rows()) + ") t(phrase, ord, replacement))"
+_PAIRS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate([*dims.SYNONYMS, *((a.upper(), b) for a, b in dims.ACRONYMS.items())]))
+_SYN = f"""pair AS (SELECT * FROM (VALUES {_PAIRS}) t(i, a, b)),
+sides AS (SELECT lower(a) AS phrase, b AS replacement, 2 * i AS pos FROM pair UNION ALL SELECT lower(b), a, 2 * i + 1 FROM pair),
+firsts AS (SELECT phrase, row_number() OVER (ORDER BY length(phrase) DESC, min(pos)) - 1 AS ord FROM sides GROUP BY phrase),
+syn AS (SELECT DISTINCT phrase, ord, replacement FROM sides JOIN firsts USING (phrase))"""
 _HOST_RANK = f"CASE WHEN h IN ({S.quoted(dims.PATENT_HOSTS)}) OR ends_with(h, '.patents.google.com') THEN 3 WHEN ends_with(h, '.gov') OR ends_with(h, '.edu') THEN 0 WHEN contains(h, 'docs.') OR contains(h, 'developer.') OR contains(h, 'support.') OR contains(h, 'github.io') THEN 1 ELSE 2 END"
 _UNDER = " OR ".join(f"h = '{d}' OR ends_with(h, '.{d}')" for d in dims.MARKET_HOSTS)
 _BLOCK = " OR ".join(f"ends_with(h, '{d}')" for d in dims.BLOCKED_HOSTS)

@@ -106,11 +106,10 @@ asked AS (SELECT session_id, source_type, n, nd, unnest(q) AS token FROM size),
 w0 AS (SELECT a.*, coalesce(f.df, 0) AS df, length(token) >= 3 AND token NOT IN ({S.quoted(dims.BROAD)}) AS telling,
   CASE WHEN n < 3 OR f.df IS NULL THEN 1.0::DOUBLE ELSE ln(1.0 + n / (1.0 + f.df)) END AS weight FROM asked a LEFT JOIN df f USING (session_id, source_type, token)),
 w AS (SELECT *, (telling OR nd = 0) AND n >= 3 AND row_number() OVER (PARTITION BY session_id, source_type, telling OR nd = 0 ORDER BY weight DESC, token) <= 6 AS salient FROM w0)"""
-_GENERIC = S.quoted(sorted({*dims.MECHANISM, *(T._stem_of(x) for x in dims.MECHANISM)}))
 _BONUS = " ".join(f"WHEN source_type = '{k}' AND list_has_any(t, [{S.quoted(v)}]) THEN {0.3 if k == 'web' else 0.5}" for k, v in dims.STRUCTURAL.items())
 _SC = f"""{_W},
 tot AS (SELECT session_id, source_type, sum(weight) AS total, count(*) FILTER (salient) AS n_salient FROM w GROUP BY ALL),
-b AS (SELECT session_id, source_type, id, evidence_level, len(q) AS nq, len(t) AS nt, len(d) AS nd, list_filter(d, lambda x: x NOT IN ({_GENERIC})) AS a, shared, d, CASE {_BONUS} ELSE 0 END AS bonus FROM base),
+b AS (SELECT session_id, source_type, id, evidence_level, len(q) AS nq, len(t) AS nt, len(d) AS nd, list_filter(d, lambda x: NOT {S.mechanism('x')}) AS a, shared, d, CASE {_BONUS} ELSE 0 END AS bonus FROM base),
 got AS (SELECT id, sum(weight) AS matched, count(*) FILTER (salient) AS salient FROM (SELECT id, session_id, source_type, unnest(shared) AS token FROM b) JOIN w USING (session_id, source_type, token) GROUP BY ALL),
 r AS (SELECT b.session_id, b.source_type, b.id, evidence_level, nq, nt, nd, len(a) AS na, len(shared) AS shared, len(list_filter(shared, lambda x: list_contains(d, x))) AS disc, len(list_filter(shared, lambda x: list_contains(a, x))) AS anchor,
   len(list_filter(shared, lambda x: length(x) >= 6)) AS long, coalesce(salient, 0) AS salient, coalesce(n_salient, 0) AS n_salient, coalesce(matched, 0) / total * 8.0 + bonus + least(len(list_filter(shared, lambda x: length(x) >= 6)) * 0.3, 1.0) AS raw

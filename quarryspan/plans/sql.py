@@ -23,7 +23,7 @@ def derived(x: str) -> str:
 
 
 def requirement_stem(x: str) -> str:
-    table = " ".join(f"WHEN {x} IN ({quoted(words.split())}) THEN '{to}'" for to, words in dims.REQUIREMENT_STEMS.items())
+    table = " ".join(f"WHEN {x} = '{word}' THEN '{to}'" for word, to in dims.REQUIREMENT_STEMS.items())
     return f"CASE {table} WHEN length({x}) <= 3 THEN {x} ELSE {suffixes(x, dims.REQUIREMENT_PLURALS)} END"
 
 
@@ -36,6 +36,12 @@ def tokens(x: str) -> str:
     return f"list_distinct(list_transform(list_transform({kept}, lambda t: {singular('t')}), lambda t: {derived('t')}))"
 
 
+def mechanism(t: str) -> str:
+    """Whether a token is a generic mechanism or the stem of one."""
+    words = f"[{quoted(dims.MECHANISM)}]"
+    return f"(list_contains({words}, {t}) OR list_contains(list_transform(list_transform({words}, lambda m: {singular('m')}), lambda m: {derived('m')}), {t}))"
+
+
 def discriminative(toks: str) -> str:
     return f"list_filter({toks}, lambda t: length(t) >= 3 AND t NOT IN ({quoted(dims.BROAD)}))"
 

@@ -54,7 +54,7 @@ def q20_envelope_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t10_unescaped(spark: SparkSession, folder: str) -> DataFrame:
-    return items(spark, folder, "summary").select("id", F.length(X.unescape_column("summary")).alias("length"))
+    return items(spark, folder, "summary").select("id", F.length(X.unescaped(F.col("summary"))).alias("length"))
 
 
 def t16_page_texts(spark: SparkSession, folder: str) -> DataFrame:

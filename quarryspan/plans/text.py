@@ -128,7 +128,6 @@ def t27_web_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TOK = S.tokens("text")
-_GENERIC = S.quoted(sorted({*dims.MECHANISM, *(T._stem_of(w) for w in dims.MECHANISM)}))
 _BLOB = f"list_distinct(list_concat({S.raw_tokens('text')}, list_transform({S.raw_tokens('text')}, lambda t: {S.requirement_stem('t')})))"
 
 
@@ -148,7 +147,7 @@ ORACLE = {
     "t01_stems": f"SELECT word, {S.derived('sing')} AS stem, n FROM (SELECT word, {S.singular('word')} AS sing, count(*) AS n FROM (SELECT unnest({S.raw_tokens('text')}) AS word FROM documents) GROUP BY ALL)",
     "t02_token_sets": f"SELECT doc_id, {S.sorted_text(_TOK)} AS tokens FROM documents",
     "t03_discriminative": f"SELECT doc_id, {S.sorted_text(S.discriminative(_TOK))} AS tokens FROM documents",
-    "t04_subject_anchors": f"SELECT doc_id, {S.sorted_text(f'list_filter({_TOK}, lambda t: t NOT IN ({_GENERIC}))')} AS anchors FROM documents",
+    "t04_subject_anchors": f"SELECT doc_id, {S.sorted_text(f'list_filter({_TOK}, lambda t: NOT {S.mechanism(chr(116))})')} AS anchors FROM documents",
     "t05_blob_tokens": f"SELECT doc_id, {S.sorted_text(_BLOB)} AS blob FROM documents",
     "t06_match_strength": f"WITH b AS (SELECT doc_id, {_BLOB} AS blob, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g') AS joined FROM documents), c AS (SELECT doc_id, {_N} AS n FROM b) SELECT doc_id, CASE WHEN n = {len(TERMS)} THEN 'full' WHEN n > 0 THEN 'partial' ELSE 'none' END AS strength FROM c",
     "t07_coverage_tokens": """
