@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarryspan.streaming import events as E
 
+#: How far apart repeated deliveries are at most; a row delivered again later than this would count again.
+REPEATED = "30 days"
+
 
 def st04_daily_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events counted by day and type by a stream."""
@@ -15,15 +18,15 @@ def st04_daily_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st10_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence items once each from a stream in which some come twice."""
+    """Evidence items once each from a stream in which some come twice, up to REPEATED apart in event time: state older than that is dropped."""
     rows = E.stream_of(spark, folder, "raw_evidence_items").select("id", "source_type", "created_at")
-    return E.run_to_table(E.without_repeats(rows, ["id"], "created_at", "400 days")).groupBy("source_type").agg(F.count("*").alias("n"))
+    return E.run_to_table(E.without_repeats(rows, ["id"], "created_at", REPEATED)).groupBy("source_type").agg(F.count("*").alias("n"))
 
 
 def st02_attempt_states(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts of each session and source, folded by a stateful stream."""
     rows = E.stream_of(spark, folder, "evidence_results").select("id", "session_id", "source_type", "attempt", "status")
-    out = E.run_to_table(E.attempt_states(rows), "update")
+    out = E.run_to_table(E.attempt_states(rows), "update", ["session_id", "source_type"])
     return out.select("session_id", "source_type", "attempts", "last_attempt", "outcome")
 
 
