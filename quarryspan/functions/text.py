@@ -136,6 +136,30 @@ def trim_words(text: Column, limit: int) -> Column:
     return F.when(F.size(w) <= limit, F.array_join(w, " ")).otherwise(F.concat(F.array_join(F.slice(w, 1, limit), " "), F.lit("...")))
 
 
+def trim_lines(text: Column, limit: int) -> Column:
+    """A text of so many words at most: whole lines as long as they fit, then the first words of the next one with three dots."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0)).alias("words")))
+    empty = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+
+    def add(a: Column, x: Column) -> Column:
+        n = F.size(x["words"])
+        whole = F.struct(F.concat(a["kept"], F.array(x["line"])).alias("kept"), (a["used"] + n).alias("used"), F.lit(False).alias("full"))
+        part = F.rtrim(F.array_join(F.slice(x["words"], 1, F.greatest(F.lit(limit) - a["used"], F.lit(0))), " "), F.lit(" .,;"))
+        last = F.struct(F.when(part != "", F.concat(a["kept"], F.array(F.concat(part, F.lit("..."))))).otherwise(a["kept"]).alias("kept"), a["used"].alias("used"), F.lit(True).alias("full"))
+        return F.when(a["full"], a).when(a["used"] + n <= limit, whole).otherwise(last)
+
+    out = F.aggregate(counted, empty, add)["kept"]
+    return F.rtrim(F.array_join(out, "\n"), F.lit(" \t\n\x0b\f\r"))
+
+
+def without_json_tail(text: Column) -> Column:
+    """A text up to the first marker of serialised JSON (in the order of the list) behind its beginning, without punctuation around it."""
+    whole = F.coalesce(text, F.lit(""))
+    parts = [F.when(F.instr(whole, m) > 1, F.substring(whole, F.lit(1), F.instr(whole, m) - 1)) for m in dims.JSON_TAIL]
+    return squeezed(F.btrim(F.coalesce(*parts, whole), F.lit(" ,{}[]'\"\\")))
+
+
 def collapse_repeats(text: Column) -> Column:
     """A phrase repeated across a bar, and a word repeated at once, only once."""
     bars = F.regexp_replace(F.coalesce(text, F.lit("")), dims.REPEATED_ACROSS_BAR, "$1")

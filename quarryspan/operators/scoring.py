@@ -72,16 +72,21 @@ def on_topic() -> Column:
     return (F.col("nd") == 0) | (F.col("disc") > 0)
 
 
+def with_totals(rows: DataFrame, group: list[str], **totals: Column) -> DataFrame:
+    """Rows with aggregates of their group, joined back: partial sums meet, never a group's rows."""
+    sums = rows.groupBy(*group).agg(*[c.alias(n) for n, c in totals.items()])
+    return rows.join(sums, group)
+
+
 def tiered(scores: DataFrame, group: list[str], floor: bool) -> DataFrame:
     """Rows at or above the threshold of their group, with it: the second tier where the first leaves fewer than three
-    and it keeps more; with floor, the third one where no row passes the others."""
+    and it keeps more; with floor, the third one where no row passes the others. Rows off the topic have to be out before."""
     first, second, third = dims.PATENT_TIERS
-    by = Window.partitionBy(*group)
-    rows = scores.withColumn("_n1", F.count_if(F.col("score") >= first).over(by)).withColumn("_n2", F.count_if(F.col("score") >= second).over(by))
+    rows = with_totals(scores, group, _n1=F.count_if(F.col("score") >= first), _n2=F.count_if(F.col("score") >= second))
     tier = F.when((F.col("_n1") < 3) & (F.col("_n2") > F.col("_n1")), second).otherwise(first)
     if floor:
         tier = F.when(F.col("_n2") == 0, third).otherwise(tier)
-    return rows.withColumn("threshold", tier.cast("double")).where(F.col("score") >= F.col("threshold")).drop("_n1", "_n2")
+    return rows.withColumn("threshold", tier.cast("double")).where(F.col("score") >= F.col("threshold")).select(*scores.columns, "threshold")
 
 
 def gates(scores: DataFrame) -> DataFrame:

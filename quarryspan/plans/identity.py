@@ -20,24 +20,20 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q02_normalized(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries of plain ASCII in one form: single blanks, lower case (others need a compatibility form, which SQL lacks)."""
-    return _queries(spark, folder).where(~F.col("query").rlike(r"[^\x00-\x7f]")).select("session_id", F.lower(T.squeezed(F.col("query"))).alias("normalized"))
-
-
-def q03_query_hash(spark: SparkSession, folder: str) -> DataFrame:
-    form = F.lower(T.squeezed(F.col("query")))
-    return _queries(spark, folder).where(~F.col("query").rlike(r"[^\x00-\x7f]")).select("session_id", U.sha_prefix(form, 24).alias("query_hash"), U.sha_prefix(form, 32).alias("fingerprint"), F.sha2(form, 256).alias("input_hash"))
-
-
-def q02_normalized_all(spark: SparkSession, folder: str) -> DataFrame:
     """Queries of all sessions in one form: compatibility form, single blanks, lower case; without SQL, which lacks that form."""
     return _queries(spark, folder).select("session_id", X.query_form(F.col("query")).alias("normalized"))
 
 
-def q03_query_hash_all(spark: SparkSession, folder: str) -> DataFrame:
+def q03_query_hash(spark: SparkSession, folder: str) -> DataFrame:
     """The hashes of the queries of all sessions, over the same form."""
     form = F.col("normalized")
-    return q02_normalized_all(spark, folder).select("session_id", U.sha_prefix(form, 24).alias("query_hash"), U.sha_prefix(form, 32).alias("fingerprint"), F.sha2(form, 256).alias("input_hash"))
+    return q02_normalized(spark, folder).select("session_id", U.sha_prefix(form, 24).alias("query_hash"), U.sha_prefix(form, 32).alias("fingerprint"), F.sha2(form, 256).alias("input_hash"))
+
+
+def q02_hash_of_plain_form(spark: SparkSession, folder: str) -> DataFrame:
+    """The hash of every query's plain form (single blanks, lower case), and whether the query is ASCII, where that is the whole form."""
+    form = F.lower(T.squeezed(F.col("query")))
+    return _queries(spark, folder).select("session_id", F.sha2(form, 256).alias("plain_hash"), (~F.coalesce("query", F.lit("")).rlike(r"[^\x00-\x7f]")).alias("is_ascii"))
 
 
 def q04_envelope_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,15 +223,13 @@ syn AS (SELECT DISTINCT phrase, ord, replacement FROM sides JOIN firsts USING (p
 _HOST_RANK = f"CASE WHEN h IN ({S.quoted(dims.PATENT_HOSTS)}) OR ends_with(h, '.patents.google.com') THEN 3 WHEN ends_with(h, '.gov') OR ends_with(h, '.edu') THEN 0 WHEN contains(h, 'docs.') OR contains(h, 'developer.') OR contains(h, 'support.') OR contains(h, 'github.io') THEN 1 ELSE 2 END"
 _UNDER = " OR ".join(f"h = '{d}' OR ends_with(h, '.{d}')" for d in dims.MARKET_HOSTS)
 _BLOCK = " OR ".join(f"ends_with(h, '{d}')" for d in dims.BLOCKED_HOSTS)
-_ASCII = r"NOT regexp_matches(original_query, '[^\x00-\x7f]')"
 _STRIP = "f0"
 for _ in range(3):
     _STRIP = f"trim(regexp_replace({_STRIP}, '{FRAMES.replace(chr(39), chr(39) * 2)}', '', 'i'))"
 
-QUERIES = {f.__name__: f for f in (q02_normalized, q02_normalized_all, q03_query_hash, q03_query_hash_all, q04_envelope_terms, q05_ascii_language, q06_strip_framing, q09_consolidated_atoms, q13_synonyms, q14_synonym_variants, q16_search_plan, q17_patent_variants, q18_publication_query, q19_planned_query, q21_low_confidence, u01_canonical_url, u02_identity_url, u03_url_policy, u04_domain_rank, u05_patent_numbers, u06_dedupe_keys, u07_publication_identity, u11_promoted_level, u12_canonical_id, u13_example_id, u16_document_ids, u18_level_weight)}
+QUERIES = {f.__name__: f for f in (q02_normalized, q02_hash_of_plain_form, q03_query_hash, q04_envelope_terms, q05_ascii_language, q06_strip_framing, q09_consolidated_atoms, q13_synonyms, q14_synonym_variants, q16_search_plan, q17_patent_variants, q18_publication_query, q19_planned_query, q21_low_confidence, u01_canonical_url, u02_identity_url, u03_url_policy, u04_domain_rank, u05_patent_numbers, u06_dedupe_keys, u07_publication_identity, u11_promoted_level, u12_canonical_id, u13_example_id, u16_document_ids, u18_level_weight)}
 ORACLE = {
-    "q02_normalized": f"SELECT session_id, lower({S.squeezed('original_query')}) AS normalized FROM research_sessions WHERE {_ASCII}",
-    "q03_query_hash": f"WITH n AS (SELECT session_id, sha256(lower({S.squeezed('original_query')})) AS h FROM research_sessions WHERE {_ASCII}) SELECT session_id, left(h, 24) AS query_hash, left(h, 32) AS fingerprint, h AS input_hash FROM n",
+    "q02_hash_of_plain_form": rf"SELECT session_id, sha256(lower({S.squeezed('original_query')})) AS plain_hash, NOT regexp_matches(coalesce(original_query, ''), '[^\x00-\x7f]') AS is_ascii FROM research_sessions",
     "q04_envelope_terms": rf"SELECT session_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(original_query), '[\p{{L}}\p{{N}}_-]{{3,}}'), lambda t: trim(t, '_-')), lambda t: length(t) >= 3 AND t NOT IN ({S.quoted(dims.ENVELOPE_STOPWORDS)})))), ' ') AS terms FROM research_sessions",
     "q05_ascii_language": r"SELECT session_id, CASE WHEN regexp_matches(original_query, '[^\x00-\x7f]') THEN 'non_english' ELSE 'en' END AS language FROM research_sessions",
     "q06_strip_framing": f"WITH f AS (SELECT session_id, {S.squeezed('original_query')} AS f0 FROM research_sessions), g AS (SELECT session_id, f0, rtrim({_STRIP}, ' ?') AS s FROM f) SELECT session_id, CASE WHEN s = '' THEN f0 ELSE s END AS subject FROM g",

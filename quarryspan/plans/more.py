@@ -11,6 +11,7 @@ from quarryspan.functions import text as T
 from quarryspan.operators import ranking as R
 from quarryspan.operators import scoring as O
 from quarryspan.plans import sql as S
+from quarryspan.plans.ranking import patent_keys
 from quarryspan.plans.scoring import _SC
 from quarryspan.plans.views import attempts, decisions, items, pool
 
@@ -101,21 +102,21 @@ def a17_relevance_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def d08_patent_search(spark: SparkSession, folder: str) -> DataFrame:
     """The whole search over patents: all providers' rows in order, duplicates out, scored, off topic out, tiers, ten best."""
-    rows = pool(spark, folder, "evidence_level", "canonical_id").where("source_type = 'patent'")
-    title = U.title_key(F.col("title"))
-    keys = rows.select("session_id", "id", U.family_number(F.regexp_replace("canonical_id", "^patent:", "")).alias("number_key"), F.when(F.length(title) >= 12, title).otherwise("").alias("title_key"))
-    kept = R.greedy_first(keys, ["session_id"], "id", ["number_key", "title_key"]).select("session_id", "id")
+    rows = pool(spark, folder, "evidence_level", "canonical_id", "url").where("source_type = 'patent'")
+    kept = R.greedy_first(patent_keys(rows), ["session_id"], "id", ["number_key", "title_key"]).select("session_id", "id")
     scores = O.tiered(O.scored(rows.join(kept, ["session_id", "id"], "left_semi")).where(O.on_topic()), ["session_id"], floor=True)
     return R.best_rows(scores, ["session_id"], [F.desc("score"), F.asc("id")], 10).select("session_id", "rank_no", "id", "score")
 
 
+#: A seed as an example; a real one is a secret.
+BLIND_SEED = "ffeeddccbbaa99887766554433221100ffeeddccbbaa99887766554433221100"
+
+
 def w09_blinded_representatives(spark: SparkSession, folder: str) -> DataFrame:
     """For each candidate of a session and source the first decision (attempt, then id), under a keyed hash in place of its identity."""
     rows = decisions(spark, folder, "session_id", "source_type", "candidate_identity", "attempt").where("candidate_identity <> ''")
-    # a keyed hash by its definition: an inner and an outer digest with the padded key
     first = rows.groupBy("session_id", "source_type", "candidate_identity").agg(F.min(F.struct("attempt", "id"))["id"].alias("id"))
-    inner = F.sha2(F.concat(F.lit("seal-1|"), "candidate_identity"), 256)
-    return first.select("id", F.substring(F.sha2(F.concat(F.lit("1-laes|"), inner), 256), 1, 24).alias("blind"))
+    return first.select("id", R.keyed_hash(bytes.fromhex(BLIND_SEED), F.to_json(F.array("session_id", "source_type", "candidate_identity"))).alias("blind"))
 
 
 def s08_xml_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +159,9 @@ WITH {S.POOL}, t AS (SELECT id, lower(text) AS text, {_WEB} AS l FROM pool WHERE
 SELECT id, len(l) = 0 OR (list_has_any(l, regexp_extract_all(text, '[a-z0-9][a-z0-9-]*')) AND len(list_filter(l, lambda x: contains(text, x))) >= CASE WHEN len(l) >= 6 THEN 3 WHEN len(l) >= 3 THEN 2 WHEN len(l) >= 1 THEN 1 ELSE 0 END) AS kept FROM t""",
     "f11_failed_attempts": rf"WITH {_A} SELECT regexp_matches(lower(concat_ws(' ', status, error_type)), '\b(?:failed|timeout|error)\b|_error\b') AS looks_failed, count(*) AS n FROM a GROUP BY ALL",
     "a17_relevance_labels": f"WITH {_SC} SELECT id, CASE WHEN na > 0 AND anchor = 0 THEN 'generic' WHEN shared / nq >= 0.55 OR (evidence_level IN ({S.quoted(dims.STRONG)}) AND shared / nq >= 0.30 AND shared >= 4) THEN 'focused' WHEN shared > 0 THEN 'adjacent' ELSE 'generic' END AS label FROM s WHERE source_type = 'patent' AND nq > 0",
-    "w09_blinded_representatives": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions), f AS (SELECT id, candidate_identity, row_number() OVER (PARTITION BY session_id, source_type, candidate_identity ORDER BY attempt, id) AS r FROM d WHERE candidate_identity <> '') SELECT id, left(sha256('1-laes|' || sha256('seal-1|' || candidate_identity)), 24) AS blind FROM f WHERE r = 1",
+    "w09_blinded_representatives": f"""
+WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions), f AS (SELECT *, row_number() OVER (PARTITION BY session_id, source_type, candidate_identity ORDER BY attempt, id) AS r FROM d WHERE candidate_identity <> '')
+SELECT id, {S.keyed_hash(BLIND_SEED, "to_json([session_id, source_type, candidate_identity])::VARCHAR")} AS blind FROM f WHERE r = 1""",
     "s08_xml_records": rf"WITH {S.ITEMS}, x AS (SELECT id, regexp_replace({S.squeezed('title')}, '[^\x20-\x7e]|[<>&]', '', 'g') AS t, regexp_replace({S.squeezed('summary')}, '[^\x20-\x7e]|[<>&]', '', 'g') AS a FROM items WHERE source_type = 'publication') SELECT id, length(t) AS title_length, length(a) AS abstract_length FROM x",
     "st08_answer_cache": f"WITH {_A}, h AS (SELECT source_type, row_number() OVER (PARTITION BY session_id, source_type, concat_ws('|', query_hash, evidence_json) ORDER BY id) > 1 AS from_cache FROM a) SELECT source_type, from_cache, count(*) AS n FROM h GROUP BY ALL",
 }

@@ -40,18 +40,7 @@ def w03_best_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w05_hit_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Items of each session and source by the class of their evidence and their score, ties in the order of arrival."""
-    ranks = {"strong": 3, "medium": 2, "weak": 1, "failed": 0, "other": 0}
-    rows = items(spark, folder, *KEY, "evidence_level", "relevance_score")
-    order = [R.case_rank(U.level_class(F.col("evidence_level")), ranks, 0).desc(), F.coalesce(_score(), F.lit(0.0)).desc(), F.asc("id")]
-    return R.best_rows(rows, KEY, order, 20).select(*KEY, "rank_no", "id")
-
-
-def w05_hit_order_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All items of each session and source by relevance label and score, ties in the order of arrival.
-
-    The tables have no label, so it comes from the score. Without SQL: that of w05_hit_order ends after twenty.
-    """
+    """All items of each session and source by relevance label and score, ties in the order of arrival. The tables have no label, so it comes from the score."""
     rows = items(spark, folder, *KEY, "relevance_score")
     return R.hit_order(rows, KEY, relevance_label(F.col("relevance_score")), F.col("relevance_score"), "id")
 
@@ -78,11 +67,16 @@ def w07_provider_weighted(spark: SparkSession, folder: str) -> DataFrame:
     return R.best_rows(rows, ["session_id"], [F.desc("weighted"), F.asc("id")], 20).select("session_id", "rank_no", "id", "weighted")
 
 
+#: The rule's name, which is part of every message, a seed as an example, and how many of a stratum are taken first.
+SAMPLING_RULE, SEED, QUOTA = "stratified_hmac_original_query.v1", "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f", 30
+
+
 def w08_stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Three items of each source and level of evidence in an order fixed by a seed; the next two in reserve."""
-    rows = items(spark, folder, "source_type", "evidence_level").withColumn("key", F.sha2(F.concat_ws("|", F.lit("seed-1"), F.col("id").cast("string")), 256))
-    picked = R.best_rows(rows, ["source_type", "evidence_level"], [F.asc("key"), F.asc("id")], 5)
-    return picked.select("source_type", "evidence_level", "rank_no", "id", (F.col("rank_no") > 3).alias("reserve"))
+    """The queries of each stratum (the source) in the order of a keyed hash of rule, stratum and fingerprint; the first QUOTA are taken, the others in reserve."""
+    rows = decisions(spark, folder, "source_type", "query_fingerprint").select("source_type", "query_fingerprint").distinct()
+    message = F.to_json(F.array(F.lit(SAMPLING_RULE), "source_type", "query_fingerprint"))
+    rows = rows.withColumn("key", R.keyed_hash(bytes.fromhex(SEED), message))
+    return R.numbered(rows, ["source_type"], [F.asc("key"), F.asc("query_fingerprint")]).select("source_type", "rank_no", "query_fingerprint", (F.col("rank_no") > QUOTA).alias("reserve"))
 
 
 def w10_snapshot_numbers(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,15 +90,23 @@ def a15_attempt_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.count("*").alias("attempts"), F.max("attempt").alias("last_attempt"), (F.max("attempt") + 1).alias("next_attempt"), F.sum("warning_count").alias("warnings"), F.sum("error_count").alias("errors"))
 
 
+def patent_keys(rows: DataFrame) -> DataFrame:
+    """Patents that have a number or an address, with the keys by which they are the same: the number without its kind code or
+    else the address, and a title of twelve characters or more."""
+    number = U.family_number(F.regexp_replace("canonical_id", "^patent:", ""))
+    number = F.when(number != "", number).otherwise(F.trim(F.coalesce("url", F.lit(""))))
+    title = U.title_key(F.col("title"))
+    keyed = rows.withColumn("number_key", F.when(number.rlike("[A-Za-z0-9]"), number).otherwise(""))
+    return keyed.withColumn("title_key", F.when(F.length(title) >= 12, title).otherwise("")).where("number_key <> ''")
+
+
 def d01_greedy_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    """Patents of each session, first wins on number or title; sequential, so without SQL.
+    """Patents of each session, first wins on number (or address) or title; sequential, so without SQL.
 
     The reference caps single calls of providers, and the union of these not at all. The tables hold what the calls gave,
     and not which call gave a row, so there is nothing left to cap.
     """
-    rows = items(spark, folder, *KEY, "canonical_id", "title").where("source_type = 'patent'")
-    title = U.title_key(F.col("title"))
-    rows = rows.select("session_id", "id", U.family_number(F.regexp_replace("canonical_id", "^patent:", "")).alias("number_key"), F.when(F.length(title) >= 12, title).otherwise("").alias("title_key"))
+    rows = patent_keys(items(spark, folder, *KEY, "canonical_id", "title", "url").where("source_type = 'patent'"))
     return R.greedy_first(rows, ["session_id"], "id", ["number_key", "title_key"]).select("session_id", "id")
 
 
@@ -177,11 +179,15 @@ def a25_provider_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st01_ttl_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries answered from a cache of 300 seconds: a query runs if none with its hash and source ran within that time before it."""
+    """Requests that a cache of 300 seconds for each source answers: an entry keeps the time at which it was stored."""
+    rows = attempts(spark, folder, "source_type", "query_hash", "created_at")
+    return R.cache_hits(rows, ["source_type"], "query_hash", "created_at", "id", 300).groupBy("source_type", "cached").agg(F.count("*").alias("n"))
+
+
+def st01_bounded_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with room for 64 entries; what is used longest ago goes first, which SQL can't express."""
     rows = attempts(spark, folder, "source_type", "query_hash", "created_at")
-    before = F.lag("created_at").over(Window.partitionBy("source_type", "query_hash").orderBy("created_at", "id"))
-    gap = F.unix_seconds("created_at") - F.unix_seconds(before)
-    return rows.withColumn("cached", F.coalesce(gap <= 300, F.lit(False))).groupBy("source_type", "cached").agg(F.count("*").alias("n"))
+    return R.cache_hits(rows, ["source_type"], "query_hash", "created_at", "id", 300, 64).groupBy("source_type", "cached").agg(F.count("*").alias("n"))
 
 
 def st03_sessions_upsert(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,15 +215,21 @@ def _rank(x: str, ranks: dict[str, int]) -> str:
 _BEST = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type ORDER BY {_rank('quality_grade', dims.GRADE_RANK)} DESC, {_rank('status', dims.STATUS_RANK)} DESC, hit_count DESC NULLS LAST, attempt DESC, id) AS r FROM a) WHERE r = 1)"
 _HOST_RANK = f"CASE WHEN h IN ({S.quoted(dims.PATENT_HOSTS)}) OR ends_with(h, '.patents.google.com') THEN 3 WHEN ends_with(h, '.gov') OR ends_with(h, '.edu') THEN 0 WHEN contains(h, 'docs.') OR contains(h, 'developer.') OR contains(h, 'support.') OR contains(h, 'github.io') THEN 1 ELSE 2 END"
 
-QUERIES = {f.__name__: f for f in (w01_latest_attempt, w02_best_attempt, w03_best_evidence, w05_hit_order, w05_hit_order_all, w06_web_order, w07_provider_weighted, w08_stratified_sample, w10_snapshot_numbers, a15_attempt_stats, d01_greedy_dedupe, d02_publication_dedupe, d03_first_per_url, d05_merged_pack, d06_insert_stats, d07_providers_in_order, a23_metrics, a24_threshold_sweep, a25_provider_shares, st01_ttl_cache, st03_sessions_upsert, st06_decision_counts)}
+QUERIES = {f.__name__: f for f in (w01_latest_attempt, w02_best_attempt, w03_best_evidence, w05_hit_order, w06_web_order, w07_provider_weighted, w08_stratified_sample, w10_snapshot_numbers, a15_attempt_stats, d01_greedy_dedupe, d02_publication_dedupe, d03_first_per_url, d05_merged_pack, d06_insert_stats, d07_providers_in_order, a23_metrics, a24_threshold_sweep, a25_provider_shares, st01_ttl_cache, st01_bounded_cache, st03_sessions_upsert, st06_decision_counts)}
 ORACLE = {
     "w01_latest_attempt": f"WITH {_A} SELECT session_id, source_type, id, attempt, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type ORDER BY attempt DESC, id DESC) AS r FROM a) WHERE r = 1",
     "w02_best_attempt": f"WITH {_A}, {_BEST} SELECT session_id, source_type, id, quality_grade, status FROM best",
     "w03_best_evidence": f"WITH {S.ITEMS}, d AS (SELECT *, coalesce(nullif(canonical_id, ''), coalesce(url, '')) AS doc FROM items) SELECT session_id, source_type, doc, id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type, doc ORDER BY verified_url DESC NULLS LAST, {_R} DESC NULLS LAST, id) AS r FROM d) WHERE r = 1",
-    "w05_hit_order": f"WITH {S.ITEMS} SELECT session_id, source_type, rank_no, id FROM (SELECT session_id, source_type, id, row_number() OVER (PARTITION BY session_id, source_type ORDER BY CASE {S.level_class('evidence_level')} WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END DESC, coalesce({_R}, 0) DESC, id) AS rank_no FROM items) WHERE rank_no <= 20",
+    "w05_hit_order": f"""
+WITH {S.ITEMS}, h AS (SELECT session_id, source_type, id, {_R} AS s FROM items)
+SELECT session_id, source_type, id, row_number() OVER (PARTITION BY session_id, source_type ORDER BY CASE WHEN s >= 7 THEN 3 WHEN s >= 3 THEN 2 ELSE 1 END DESC, coalesce(s, 0) DESC, id) AS rank_no FROM h""",
     "w06_web_order": f"WITH {S.ITEMS}, u AS (SELECT *, {S.host('url')} AS h FROM items WHERE source_type = 'web' AND url <> '') SELECT session_id, rank_no, id FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY coalesce({_R}, 0) DESC, {_HOST_RANK}, h, url, id) AS rank_no FROM u) WHERE rank_no <= 10",
     "w07_provider_weighted": f"WITH {S.ITEMS}, p AS (SELECT session_id, id, round_even(coalesce({_R}, 0.0) * CASE lower(trim(coalesce(provider, ''))) " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WEIGHTS.items()) + " ELSE 0.8::DOUBLE END, 4) AS weighted FROM items WHERE source_type = 'publication') SELECT session_id, rank_no, id, weighted FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY weighted DESC, id) AS rank_no FROM p) WHERE rank_no <= 20",
-    "w08_stratified_sample": f"WITH {S.ITEMS} SELECT source_type, evidence_level, rank_no, id, rank_no > 3 AS reserve FROM (SELECT source_type, evidence_level, id, row_number() OVER (PARTITION BY source_type, evidence_level ORDER BY sha256('seed-1|' || id), id) AS rank_no FROM items) WHERE rank_no <= 5",
+    "w08_stratified_sample": f"""
+WITH q AS (SELECT DISTINCT source_type, query_fingerprint FROM evaluation_candidate_decisions),
+k AS (SELECT *, {S.keyed_hash(SEED, f"to_json(['{SAMPLING_RULE}', source_type, query_fingerprint])::VARCHAR")} AS key FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY key, query_fingerprint) AS rank_no FROM k)
+SELECT source_type, rank_no, query_fingerprint, rank_no > {QUOTA} AS reserve FROM r""",
     "w10_snapshot_numbers": f"WITH {_A} SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS snapshot_no FROM a",
     "a15_attempt_stats": f"WITH {_A} SELECT session_id, source_type, count(*) AS attempts, max(attempt) AS last_attempt, max(attempt) + 1 AS next_attempt, sum(warning_count)::BIGINT AS warnings, sum(error_count)::BIGINT AS errors FROM a GROUP BY ALL",
     "d03_first_per_url": rf"""
@@ -245,7 +257,11 @@ g AS (SELECT threshold, session_id, source_type, sum(rel) AS rel, count(*) FILTE
 m AS (SELECT threshold, coalesce(hit / nullif(acc, 0), 0) AS p, coalesce(hit / nullif(rel, 0), 0) AS r FROM g)
 SELECT threshold, round_even(avg(p), 6) AS precision, round_even(avg(r), 6) AS recall, round_even(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 6) AS f1 FROM m GROUP BY ALL""",
     "a25_provider_shares": f"WITH {S.ITEMS}, g AS (SELECT source_type, coalesce(lower(trim(provider)), '') AS name, count(*) AS n FROM items GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY source_type) AS share FROM g) SELECT source_type, name, n, round_even(share, 6) AS share, share > 0.7 AS dominant FROM s",
-    "st01_ttl_cache": f"WITH {_A}, l AS (SELECT source_type, coalesce(epoch(created_at)::BIGINT - epoch(lag(created_at) OVER (PARTITION BY source_type, query_hash ORDER BY created_at, id))::BIGINT <= 300, false) AS cached FROM a) SELECT source_type, cached, count(*) AS n FROM l GROUP BY ALL",
+    "st01_ttl_cache": f"""
+WITH RECURSIVE {_A}, o AS (SELECT source_type, query_hash, id, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY source_type, query_hash ORDER BY created_at, id) AS i FROM a),
+r AS (SELECT source_type, query_hash, i, t AS stored, false AS cached FROM o WHERE i = 1
+  UNION ALL SELECT o.source_type, o.query_hash, o.i, CASE WHEN o.t - r.stored <= 300000000 THEN r.stored ELSE o.t END, o.t - r.stored <= 300000000 FROM r JOIN o ON o.source_type = r.source_type AND o.query_hash = r.query_hash AND o.i = r.i + 1)
+SELECT source_type, cached, count(*) AS n FROM r GROUP BY ALL""",
     "st03_sessions_upsert": f"WITH {_A}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN trim(query) <> '' THEN 0 ELSE 1 END, created_at, id) AS i FROM a) SELECT session_id, max(CASE WHEN i = 1 AND trim(query) <> '' THEN query END) AS first_query, count(*) AS n FROM r GROUP BY ALL",
     "st06_decision_counts": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions) SELECT decision_stage, decision_reason, count(*) AS n, coalesce(sum(retained), 0)::BIGINT AS kept, count(*) FILTER (score_at_decision IS NOT NULL AND NOT isnan(score_at_decision)) AS with_score FROM d GROUP BY ALL",
 }

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from quarryspan import dims
 from quarryspan.functions import text as T
 from quarryspan.operators import scoring as O
+from quarryspan.operators.ranking import best_rows
 from quarryspan.plans import sql as S
 from quarryspan.plans.views import pool
+from quarryspan.session import cut
 
 KEY = O.POOL_KEY
 
@@ -56,15 +58,7 @@ def f03_shares_discriminative(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f04_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    """Patents under a threshold by tiers: the second one where the first leaves fewer than three and it keeps more."""
-    by = Window.partitionBy("session_id")
-    kept = O.tiered(_scored(spark, folder).where("source_type = 'patent'").select("session_id", "id", "score"), ["session_id"], floor=False)
-    rank = F.row_number().over(by.orderBy(F.desc("score"), "id"))
-    return kept.withColumn("rank_no", rank).where("rank_no <= 10").select("session_id", "rank_no", "id", "score", "threshold")
-
-
-def f04_tiers_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All patents on the topic under the threshold of their session, by three tiers; without SQL: that of f04_tiers has two, and ten rows."""
+    """All patents on the topic under the threshold of their session, by three tiers, the last one where none passes the others."""
     rows = _scored(spark, folder).where("source_type = 'patent'").where(O.on_topic()).select("session_id", "id", "score")
     return O.tiered(rows, ["session_id"], floor=True).select("session_id", "id", "score", "threshold")
 
@@ -78,17 +72,17 @@ def f05_publication_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def d04_fill_back(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted publications; where fewer than three, the best rejected ones up to three."""
-    by = Window.partitionBy("session_id")
-    rows = O.gates(_scored(spark, folder)).where("source_type = 'publication'").withColumn("kept", F.col("reason") == "accepted")
-    rows = rows.withColumn("n", F.count_if("kept").over(by)).withColumn("r", F.row_number().over(Window.partitionBy("session_id", "kept").orderBy(F.desc("score"), "id")))
-    return rows.where("kept OR r <= 3 - n").select("session_id", "id", "score", "kept")
+    rows = O.gates(_scored(spark, folder)).where("source_type = 'publication'").withColumn("kept", F.col("reason") == "accepted").select("session_id", "id", "score", "kept")
+    rows = cut(O.with_totals(rows, ["session_id"], n=F.count_if("kept")))
+    # three rejected ones of a session at most are ranked, which a partial limit leaves of each task's rows
+    rejected = best_rows(rows.where("NOT kept AND n < 3"), ["session_id"], [F.desc("score"), F.asc("id")], 3).where("rank_no <= 3 - n")
+    return rows.where("kept").select("session_id", "id", "score", "kept").unionByName(rejected.select("session_id", "id", "score", "kept"))
 
 
 def d03_restore_all(spark: SparkSession, folder: str) -> DataFrame:
     """Web candidates accepted by the gates; all of a session where none is."""
-    by = Window.partitionBy("session_id")
     rows = O.gates(_scored(spark, folder)).where("source_type = 'web'").withColumn("kept", F.col("reason") == "accepted")
-    return rows.withColumn("n", F.count_if("kept").over(by)).where("kept OR n = 0").select("session_id", "id", "kept")
+    return O.with_totals(rows, ["session_id"], n=F.count_if("kept")).where("kept OR n = 0").select("session_id", "id", "kept")
 
 
 def st05_lineage(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +119,7 @@ g AS (SELECT *, CASE
 
 _GRAMS = " ".join(f"WHEN len(w) >= {k} AND len(list_filter(list_transform(range(1, greatest(len(w) - {k} + 1, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + {k} - 1), ' ')), lambda x: contains(low, x))) > 0 THEN {k} / len(w)" for k in (5, 4, 3, 2))
 
-QUERIES = {f.__name__: f for f in (a01_idf, a02_scores, a03_level_scores, a04_phrase_score, w04_salient, f01_relevant, f02_web_gate, f03_shares_discriminative, f04_tiers, f04_tiers_all, f05_publication_filter, d03_restore_all, d04_fill_back, st05_lineage)}
+QUERIES = {f.__name__: f for f in (a01_idf, a02_scores, a03_level_scores, a04_phrase_score, w04_salient, f01_relevant, f02_web_gate, f03_shares_discriminative, f04_tiers, f05_publication_filter, d03_restore_all, d04_fill_back, st05_lineage)}
 ORACLE = {
     "a01_idf": f"WITH {_W} SELECT session_id, source_type, token, n, df, round_even(weight, 6) AS weight FROM w",
     "a02_scores": f"WITH {_SC} SELECT id, nq, shared, long, score FROM s",
@@ -140,10 +134,10 @@ SELECT id, round_even(least(1.5, least(1.2, 0.4 * len(list_filter(list_distinct(
     "f02_web_gate": f"WITH {_SC} SELECT id, nq > 0 AND shared >= greatest(1, least(5, (nq + 1) // 2)) AND score >= 5.0 AS kept FROM s WHERE source_type = 'web'",
     "f03_shares_discriminative": f"WITH {_W} SELECT id, len(d) = 0 OR list_has_any(d, t) AS shares FROM base",
     "f04_tiers": f"""
-WITH {_SC}, p AS (SELECT session_id, id, score, count(*) FILTER (score >= 2.8) OVER k AS n1, count(*) FILTER (score >= 2.2) OVER k AS n2 FROM s WHERE source_type = 'patent' WINDOW k AS (PARTITION BY session_id)),
-h AS (SELECT *, CASE WHEN n1 < 3 AND n2 > n1 THEN 2.2 ELSE 2.8 END::DOUBLE AS threshold FROM p),
-o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, id) AS rank_no FROM h WHERE score >= threshold)
-SELECT session_id, rank_no, id, score, threshold FROM o WHERE rank_no <= 10""",
+WITH {_SC}, p AS (SELECT session_id, id, score FROM s WHERE source_type = 'patent' AND (nd = 0 OR disc > 0)),
+t AS (SELECT session_id, count(*) FILTER (score >= 2.8) AS a, count(*) FILTER (score >= 2.2) AS b FROM p GROUP BY ALL),
+k AS (SELECT session_id, CASE WHEN b = 0 THEN 1.5 WHEN a < 3 AND b > a THEN 2.2 ELSE 2.8 END::DOUBLE AS threshold FROM t)
+SELECT session_id, id, score, threshold FROM p JOIN k USING (session_id) WHERE score >= threshold""",
     "f05_publication_filter": f"""
 WITH {_SC}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, id) AS rank_no FROM g WHERE source_type = 'publication' AND reason = 'accepted' AND score >= 3.5)
 SELECT session_id, rank_no, id, score FROM o WHERE rank_no <= 20""",

@@ -94,3 +94,10 @@ POOL = ITEMS + """, pool AS (
   SELECT i.session_id, i.source_type, i.id, i.title, i.summary, i.url, i.evidence_level, i.provider, s.original_query AS query,
     coalesce(i.title, '') || chr(10) || coalesce(i.summary, '') AS text
   FROM items i JOIN research_sessions s USING (session_id))"""
+
+
+def keyed_hash(key: str, message: str) -> str:
+    """HMAC-SHA-256 under a key in hexadecimal digits (of 64 bytes at most)."""
+    padded = bytes.fromhex(key).ljust(64, b"\0")
+    inner, outer = ("".join(f"{b ^ x:02x}" for b in padded) for x in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"

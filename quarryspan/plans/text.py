@@ -58,7 +58,7 @@ def t11_collapse_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t12_without_title(spark: SparkSession, folder: str) -> DataFrame:
-    rows = pool(spark, folder)
+    rows = items(spark, folder, "title", "summary")
     return rows.select("id", T.strip_leading_title(F.concat_ws(" ", "title", "summary"), F.col("title")).alias("body"))
 
 
@@ -68,12 +68,12 @@ def t12_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
 
 def t14_abstract_excerpt(spark: SparkSession, folder: str) -> DataFrame:
     """The best sentences within a budget of words; the greedy budget has no counterpart in SQL."""
-    return pool(spark, folder).select("id", T.abstract_excerpt(F.col("summary"), T.tokens(F.col("query"))).alias("excerpt"))
+    return pool(spark, folder, every=True).select("id", T.abstract_excerpt(F.col("summary"), T.tokens(F.col("query"))).alias("excerpt"))
 
 
 def t15_compact_content(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences with most terms of the query; look-behind has no counterpart in the SQL engine."""
-    return pool(spark, folder).select("id", T.compact_content(F.col("summary"), T.web_terms(F.col("query")), 450, 8).alias("excerpt"))
+    return pool(spark, folder, every=True).select("id", T.compact_content(F.col("summary"), T.web_terms(F.col("query")), 450, 8).alias("excerpt"))
 
 
 def t17_content_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,28 +88,13 @@ def t18_substantive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t20_word_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of each item within its session's report, and whether they fit 2,500 words in order of relevance."""
-    from pyspark.sql.window import Window
-
-    rows = items(spark, folder, "session_id", "summary", "relevance_score").withColumn("words", F.size(T.word_list(F.col("summary"))))
-    score = F.when(~F.isnan("relevance_score"), F.col("relevance_score"))
-    before = Window.partitionBy("session_id").orderBy(score.desc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("total", F.sum("words").over(before)).select("id", "words", "total", (F.col("total") <= 2500).alias("fits"))
-
-
-MARKERS = ["which keeps", " according to", ", e.g.", "{"]
+    """Documents of 500 words at most: whole lines as long as they fit, then the beginning of the next one with three dots."""
+    return benchmark(spark, folder).select("doc_id", F.sha2(T.trim_lines(F.col("text"), 500), 256).alias("body_hash"))
 
 
 def t21_cut_at_marker(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts cut at the first marker of a list (in the order of the list) that lies within them."""
-    low = F.lower(F.coalesce("summary", F.lit("")))
-    out = F.coalesce("summary", F.lit(""))
-    cut = None
-    for m in MARKERS:
-        at = F.instr(low, m)
-        part = F.substring(out, F.lit(1), at - 1)
-        cut = F.when(at > 1, part) if cut is None else cut.when(at > 1, part)
-    return items(spark, folder, "summary").select("id", F.trim(cut.otherwise(out)).alias("body"))
+    """Texts without a tail of serialised JSON, from the first marker of the list (in its order) that lies within them, and without punctuation around."""
+    return items(spark, folder, "summary").select("id", T.without_json_tail(F.col("summary")).alias("body"))
 
 
 def t26_provider_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +125,8 @@ def _matches(term: str) -> str:
 
 
 QUERIES = {f.__name__: f for f in (t01_stems, t02_token_sets, t03_discriminative, t04_subject_anchors, t05_blob_tokens, t06_match_strength, t07_coverage_tokens, t08_trim_words, t11_collapse_repeats, t12_without_title, t12_boilerplate, t14_abstract_excerpt, t15_compact_content, t17_content_flags, t18_substantive, t20_word_budget, t21_cut_at_marker, t26_provider_errors, t27_web_coverage)}
-_CUT = " ".join(f"WHEN instr(lower(coalesce(summary, '')), '{m}') > 1 THEN left(coalesce(summary, ''), instr(lower(coalesce(summary, '')), '{m}') - 1)" for m in MARKERS)
+_MARK = [m.replace("'", "''") for m in dims.JSON_TAIL]
+_CUT = " ".join(f"WHEN instr(coalesce(summary, ''), '{m}') > 1 THEN left(coalesce(summary, ''), instr(coalesce(summary, ''), '{m}') - 1)" for m in _MARK)
 _N = " + ".join(f"CAST({_matches(t)} AS INT)" for t in TERMS)
 _WEB = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9][a-z0-9-]{{3,}}')), lambda t: t NOT IN ({S.quoted(dims.WEB_STOPWORDS)}))"
 ORACLE = {
@@ -158,7 +144,7 @@ g AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM r WHERE k <= 2
 SELECT d.doc_id, coalesce(g.tokens, '') AS tokens FROM documents d LEFT JOIN g USING (doc_id)""",
     "t08_trim_words": f"SELECT doc_id, {S.trim_words('text', 60)} AS snippet FROM documents",
     "t12_without_title": rf"""
-WITH {S.POOL}, b AS (SELECT id, {S.squeezed("concat_ws(' ', title, summary)")} AS body, {S.squeezed('title')} AS head FROM pool)
+WITH {S.ITEMS}, b AS (SELECT id, {S.squeezed("concat_ws(' ', title, summary)")} AS body, {S.squeezed('title')} AS head FROM items)
 SELECT id, CASE WHEN length(head) >= 8 AND starts_with(lower(body), lower(head)) THEN ltrim(substr(body, length(head) + 1), ' .,:;–—-|') ELSE body END AS body FROM b""",
     "t17_content_flags": rf"""
 WITH {S.ITEMS}, b AS (SELECT id, lower({S.squeezed('summary')}) AS s FROM items)
@@ -166,11 +152,13 @@ SELECT id, regexp_matches(s, '\b(?:403 forbidden|404 not found|target url return
   CASE WHEN s = '' THEN 0 ELSE len(string_split(s, ' ')) END >= 12 AS has_content,
   regexp_matches(s, 'captcha|access denied|forbidden|temporarily blocked|automated queries') AS is_limited FROM b""",
     "t18_substantive": rf"WITH {S.ITEMS}, w AS (SELECT id, regexp_extract_all(lower(coalesce(summary, '')), '\p{{L}}+') AS l FROM items) SELECT id, len(l) >= 12 AND len(list_distinct(l)) >= 8 AS substantive FROM w",
-    "t20_word_budget": f"""
-WITH {S.ITEMS}, w AS (SELECT id, session_id, CASE WHEN isnan(relevance_score) THEN NULL ELSE relevance_score END AS r, len({S.words('summary')}) AS words FROM items),
-t AS (SELECT *, CAST(sum(words) OVER (PARTITION BY session_id ORDER BY r DESC NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM w)
-SELECT id, words, total, total <= 2500 AS fits FROM t""",
-    "t21_cut_at_marker": f"WITH {S.ITEMS} SELECT id, trim(CASE {_CUT} ELSE coalesce(summary, '') END) AS body FROM items",
+    "t20_word_budget": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+w AS (SELECT *, regexp_extract_all(line, '[^ \t\n\x0b\f\r]+') AS t FROM l), r AS (SELECT *, sum(len(t)) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM w),
+f AS (SELECT doc_id, max(used) AS total, min(CASE WHEN used > 500 THEN i END) AS over FROM r GROUP BY ALL),
+p AS (SELECT r.doc_id, i, CASE WHEN used <= 500 THEN line ELSE rtrim(array_to_string(list_slice(t, 1, (500 - (used - len(t)))::BIGINT), ' '), ' .,;') || '...' END AS line, used, used - len(t) AS before, total FROM r JOIN f USING (doc_id) WHERE total <= 500 OR i < over OR (i = over AND rtrim(array_to_string(list_slice(t, 1, (500 - (used - len(t)))::BIGINT), ' '), ' .,;') <> ''))
+SELECT d.doc_id, sha256(rtrim(coalesce(b.body, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS body_hash FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body FROM p GROUP BY ALL) b USING (doc_id)""",
+    "t21_cut_at_marker": rf"""WITH {S.ITEMS}, c AS (SELECT id, trim(CASE {_CUT} ELSE coalesce(summary, '') END, ' ,{{}}[]''"\') AS t FROM items) SELECT id, {S.squeezed('t')} AS body FROM c""",
     "t26_provider_errors": "SELECT 'error: ' || lower(error_type) AS message, count(*) AS n FROM (SELECT DISTINCT * FROM evidence_results) WHERE error_type <> '' GROUP BY ALL",
     "t27_web_coverage": f"""
 WITH {S.POOL}, t AS (SELECT id, text, {_WEB} AS l FROM pool WHERE source_type = 'web')

@@ -31,16 +31,17 @@ def sessions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return load(spark, folder, "research_sessions", "session_id", *[c for c in columns if c != "session_id"])
 
 
-def pool(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def pool(spark: SparkSession, folder: str, *columns: str, every: bool = False) -> DataFrame:
     """Each item as a candidate for the query of its session: session_id, source_type, id, query, text and more columns.
 
-    The query has its tokens q, the telling ones d, and the anchors a.
+    The query has its tokens q, the telling ones d, and the anchors a. Items of sessions that have no row have no query and are
+    no candidates; with every, they stay, with a null query.
     """
     rows = items(spark, folder, "session_id", "source_type", "title", "summary", *columns)
     queries = sessions(spark, folder, "original_query").select("session_id", F.col("original_query").alias("query"), tokens(F.col("original_query")).alias("q"))
     queries = queries.withColumn("d", discriminative(F.col("q"))).withColumn("a", subject_anchors(F.col("d")))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
-    return rows.join(queries, "session_id").withColumn("text", text)
+    return rows.join(queries, "session_id", "left" if every else "inner").withColumn("text", text)
 
 
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,8 +29,8 @@ def test_query_form_of_odd_texts(spark):
 def test_every_session_has_a_form_and_hashes(spark, folder):
     queries = {r[0]: r[1] for r in load(spark, folder, "research_sessions", "session_id", "original_query").collect()}
     assert any(not q.isascii() for q in queries.values() if q)
-    assert {r["session_id"]: r["normalized"] for r in identity.q02_normalized_all(spark, folder).collect()} == {s: form(q) for s, q in queries.items()}
-    for r in identity.q03_query_hash_all(spark, folder).collect():
+    assert {r["session_id"]: r["normalized"] for r in identity.q02_normalized(spark, folder).collect()} == {s: form(q) for s, q in queries.items()}
+    for r in identity.q03_query_hash(spark, folder).collect():
         digest = hashlib.sha256(form(queries.pop(r["session_id"])).encode()).hexdigest()
         assert (r["query_hash"], r["fingerprint"], r["input_hash"]) == (digest[:24], digest[:32], digest)
     assert not queries
@@ -55,7 +55,7 @@ def test_hit_order_numbers_every_row(spark):
 def test_no_item_is_left_out_of_the_order(spark, tmp_path):
     rows = spark.range(60).selectExpr("id", "'s' AS session_id", "'web' AS source_type", "cast(id % 9 AS double) AS relevance_score")
     rows.unionByName(rows.limit(5)).write.parquet(str(tmp_path / "raw_evidence_items.parquet"))
-    got = {r["rank_no"]: r["id"] for r in ranking.w05_hit_order_all(spark, str(tmp_path)).collect()}
+    got = {r["rank_no"]: r["id"] for r in ranking.w05_hit_order(spark, str(tmp_path)).collect()}
     assert [got[k] for k in range(1, 61)] == sorted(range(60), key=lambda i: (-(i % 9), i))
 
 

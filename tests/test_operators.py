@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from quarryspan.operators.quality import hit_quality, relevance_label
@@ -55,3 +57,86 @@ def test_main_text():
 def test_inverted_index(spark):
     df = spark.createDataFrame([(1, {"b": [1], "a": [0, 2]}), (2, {})], "id int, inverted map<string,array<int>>")
     assert [r["text"] for r in snapshots.inverted_abstracts(df).orderBy("id").collect()] == ["a b a", ""]
+
+
+def test_greedy_against_brute_force_with_chains_and_ties(spark):
+    from quarryspan.operators.ranking import greedy_first
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice(["", None, *map(str, range(12))]), rng.choice(["", *map(str, range(12))])) for i in range(150)]
+    rows += [("chain", 1000 + i, f"x{i // 2}", f"y{(i + 1) // 2}") for i in range(12)] + rows[:20]
+    want = set()
+    for g in {r[0] for r in rows}:
+        seen: set = set()
+        for r in sorted({r for r in rows if r[0] == g}, key=lambda r: r[1]):
+            own = {(k, v) for k, v in enumerate(r[2:]) if v}
+            if not own & seen:
+                seen |= own
+                want.add((g, r[1]))
+    df = spark.createDataFrame(rows, "g string, n int, k string, l string")
+    got = [(r["g"], r["n"]) for r in greedy_first(df, ["g"], "n", ["k", "l"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cache_against_the_definition(spark):
+    from collections import OrderedDict
+
+    from quarryspan.operators.ranking import cache_hits
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.choice("klmnopq"), i, rng.randint(0, 4000)) for i in range(600)]
+    df = spark.createDataFrame(rows, "c string, k string, i int, s int").withColumn("at", F.timestamp_seconds("s")).withColumnRenamed("s", "cached_at").repartition(5)
+    for entries in (None, 3):
+        want, held = {}, {}
+        for c, k, i, s in sorted(rows, key=lambda r: (r[3], r[2])):
+            own = held.setdefault(c, OrderedDict())
+            hit = k in own and s - own[k] <= 300
+            if not hit:
+                own[k] = s
+            own.move_to_end(k)
+            while entries and len(own) > entries:
+                own.popitem(last=False)
+            want[i] = hit
+        got = {r["i"]: r["cached"] for r in cache_hits(df, ["c"], "k", "at", "i", 300, entries).collect()}
+        assert got == want
+    # used again and again, an entry still ends 300 seconds after it was stored
+    often = spark.createDataFrame([("a", "k", i, 100 * i) for i in range(8)], "c string, k string, i int, s int").withColumn("at", F.timestamp_seconds("s"))
+    assert [r["cached"] for r in cache_hits(often, ["c"], "k", "at", "i", 300).orderBy("i").collect()] == [False, True, True, True, False, True, True, True]
+
+
+def test_keyed_hash_against_published_vectors(spark):
+    """Test cases 1, 2 and 6 of RFC 4231."""
+    from quarryspan.operators.ranking import keyed_hash
+
+    cases = [(b"\x0b" * 20, "Hi There", "b0344c61d8db38535ca8afceaf0bf12b881dc200c9833da726e9376c2e32cff7"), (b"Jefe", "what do ya want for nothing?", "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"), (b"\xaa" * 131, "Test Using Larger Than Block-Size Key - Hash Key First", "60e431591ee0b67f0d8a26aacbf5b77f8e0bc6213728c5140546040f0ee37f54")]
+    for key, message, want in cases:
+        assert spark.range(1).select(keyed_hash(key, F.lit(message))).first()[0] == want
+
+
+def test_running_sums_and_metrics_of_one_large_group(spark):
+    from quarryspan.operators.ranking import average_precision
+
+    rng = random.Random(2)
+    rows = [("g" if i % 9 else None, i, rng.choice([0.5, 1.0, 2.0, rng.random()]), int(rng.random() < 0.3)) for i in range(2000)] + [("none", 9999, 1.0, 0)]
+    df = spark.createDataFrame(rows, "g string, i int, s double, r int").repartition(6)
+    got = {r["g"]: r for r in average_precision(df, ["g"], F.col("s"), F.col("r") == 1, F.col("s") >= 1, "i").collect()}
+    for g in ("g", None, "none"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        k = sum(r[3] for r in own)
+        hits = [i for i, r in enumerate(own, 1) if r[3]]
+        ap = sum((j + 1) / i for j, i in enumerate(hits)) / k if k else 0.0
+        assert (got[g]["n"], got[g]["relevant"]) == (len(own), k) and abs(got[g]["ap"] - ap) < 1e-9
+        assert abs(got[g]["p_at_k"] - (sum(r[3] for r in own[:k]) / k if k else 0)) < 1e-12 and abs(got[g]["rr"] - (1 / hits[0] if hits else 0)) < 1e-12
+
+
+def test_text_cut_by_lines_and_tails(spark):
+    from quarryspan.functions import text as T
+
+    def one(c):
+        return spark.range(1).select(c).first()[0]
+
+    assert one(T.trim_lines(F.lit("a b\n\nc d, e\nf"), 4)) == "a b\n\nc d..."
+    assert one(T.trim_lines(F.lit("a b\nc  \n"), 9)) == "a b\nc" and one(T.trim_lines(F.lit(None).cast("string"), 3)) == ""
+    assert one(T.trim_lines(F.lit("a b\nc"), 2)) == "a b"
+    assert one(T.without_json_tail(F.lit('The  valve ",\n      "verified_url": true, "title": "x"'))) == 'The valve ",'
+    assert one(T.without_json_tail(F.lit('"title": stays {here}'))) == 'title": stays {here'
