@@ -7,34 +7,54 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryspan import dims
+from quarryspan.functions import decompose as D
 from quarryspan.functions import ids as U
+from quarryspan.functions import structured as X
 from quarryspan.functions import text as T
 from quarryspan.operators import ranking as R
+from quarryspan.plans import identity as Q
 from quarryspan.plans import sql as S
 from quarryspan.plans.views import items, pool, sessions
 from quarryspan.session import checkpoint_dir
 from quarryspan.sources import snapshots
 
-SPLIT = r" *(?:[,;]| (?:and|that|which|where|whose|while|but only|in which|so that)\b) *"
-BOUNDS = r"^(?:without|under|at|in|on|by|only|before|after|during|for|between|inside|with|using|over|near|along)\b"
-
-
-def _phrases(spark: SparkSession, folder: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split(F.concat(F.lower(T.squeezed(F.col("original_query"))), F.lit(" ")), SPLIT), lambda p: F.btrim(p, F.lit(" ?.!\"'"))), lambda p: p != "")
-    return sessions(spark, folder, "original_query").select("session_id", F.posexplode(parts).alias("pos", "phrase"))
-
-
 def q07_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    """The phrases of each query, split at commas and connectives."""
-    return _phrases(spark, folder)
+    """The phrases of each query in order, and whether each has a verb of its own; depends on the parts before, so without SQL."""
+    rows = sessions(spark, folder, "original_query")
+    return rows.select("session_id", F.posexplode(D.phrases_column(F.col("original_query"))).alias("pos", "p")).select("session_id", "pos", "p.phrase", "p.clause")
 
 
 def q08_requirements(spark: SparkSession, folder: str) -> DataFrame:
-    """A requirement for each phrase with a telling term: its terms, and whether it is the object, a constraint or a function; too broad with more than four."""
-    terms = T.discriminative(T.tokens(F.col("phrase")))
-    rows = _phrases(spark, folder).withColumn("terms", terms).where(F.size("terms") > 0)
-    kind = F.when(F.col("phrase").rlike(BOUNDS), "constraint").when(F.col("pos") == 0, "object_or_form_factor").otherwise("function")
-    return rows.select("session_id", "pos", kind.alias("category"), F.array_join(F.array_sort("terms"), " ").alias("terms"), (F.size("terms") > 4).alias("too_broad"))
+    """The requirements of each query in order: kind, label, terms, and whether they are too many for a search of their own."""
+    rows = sessions(spark, folder, "original_query")
+    return rows.select("session_id", F.posexplode(D.requirements_column(F.col("original_query"))).alias("pos", "a")).select("session_id", "pos", "a.category", "a.label", F.array_join("a.terms", " ").alias("terms"), "a.too_broad")
+
+
+def q12_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole description of each query: its form and language, terms, facets, requirements, synonyms, variants by source, and whether it is too generic."""
+    clean = F.regexp_replace(T.squeezed(F.col("original_query")), r"(?i)^(?:query|question|input)\s*:\s*", "")
+    rows = sessions(spark, folder, "original_query").select("session_id", clean.alias("original_query")).withColumn("query", Q.without_framing(F.col("original_query")))
+    telling = F.array_sort(T.discriminative(T.tokens(F.col("query"))))
+    rows = rows.withColumn("u", D.understood_column(F.col("query"))).withColumn("telling", telling)
+    # two small lists a session
+    named = Q.synonyms(rows).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank_no", "replacement")))["replacement"].alias("synonyms"))
+    more = Q.synonym_variants(rows).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank_no", "variant")))["variant"].alias("more"))
+    none = F.array().cast("array<string>")
+    rows = rows.join(named, "session_id", "left").join(more, "session_id", "left").withColumn("more", F.coalesce("more", none))
+    several = lambda *lists, n: F.slice(F.array_distinct(F.filter(F.concat(*lists), lambda v: v != "")), 1, n)
+    searched = several(F.slice("u.base_variants", 1, 3), F.col("more"), n=5)
+    generic = (F.size("u.critical_requirements_atomic") == 0) & (F.size(F.array_except("telling", F.array(*map(F.lit, [*dims.GENERIC_NOUNS, *dims.PHRASE_FILLER])))) == 0)
+    language = F.when(F.col("original_query").rlike(r"[^\x00-\x7f]"), "non_english").otherwise("en")
+    facets = ("key_terms", "core_subject", "function", "mechanism_or_principle", "critical_requirements", "critical_requirements_atomic", "negative_requirements")
+    return rows.select("session_id", "original_query", X.query_form(F.col("original_query")).alias("normalized_query"), language.alias("language"), F.col("query").alias("understanding_query"), F.slice("telling", 1, 20).alias("discriminative_terms"), *[F.col(f"u.{f}").alias(f) for f in facets], F.coalesce("synonyms", none).alias("synonyms"), searched.alias("patent_variants"), searched.alias("publication_variants"), several(F.col("u.web_variants"), F.col("more"), n=7).alias("web_variants"), generic.alias("query_too_generic"))
+
+
+def f10_generic_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source of a session whose envelope says that its query is too generic: the result without a search, ok and reliably none."""
+    flag = F.get_json_object("query_envelope_json", "$.query_too_generic") == "true"
+    rows = sessions(spark, folder, "query_envelope_json").where(flag).select("session_id", F.explode(F.array(F.lit("patent"), F.lit("publication"), F.lit("web"))).alias("source_type"))
+    return rows.select("session_id", "source_type", F.lit("ok").alias("status"), F.lit(True).alias("completed"), F.lit(True).alias("reliable_no_results"))
 
 
 PROVIDERS = ["scholarnet", "bibliofeed", "openpaperix", "preprintly"]
@@ -95,14 +115,9 @@ def s21_event_sink(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).where("source_type = 'patent'").groupBy("attempt").agg(F.count("*").alias("n"))
 
 
-_P = f"""p0 AS (SELECT session_id, list_filter(list_transform(regexp_split_to_array(lower({S.squeezed('original_query')}) || ' ', '{SPLIT}'), lambda x: trim(x, ' ?.!"' || chr(39))), lambda x: x <> '') AS l FROM research_sessions),
-phrases AS (SELECT session_id, unnest(l) AS phrase, generate_subscripts(l, 1) - 1 AS pos FROM p0)"""
-QUERIES = {f.__name__: f for f in (q07_phrases, q08_requirements, d09_publication_search, s05_web_rows, s19_gold_set, s20_sealed_snapshot, s21_event_sink)}
+QUERIES = {f.__name__: f for f in (q07_phrases, q08_requirements, q12_envelopes, f10_generic_queries, d09_publication_search, s05_web_rows, s19_gold_set, s20_sealed_snapshot, s21_event_sink)}
 ORACLE = {
-    "q07_phrases": f"WITH {_P} SELECT session_id, pos, phrase FROM phrases",
-    "q08_requirements": f"""
-WITH {_P}, t AS (SELECT *, {S.discriminative(S.tokens('phrase'))} AS terms FROM phrases)
-SELECT session_id, pos, CASE WHEN regexp_matches(phrase, '{BOUNDS}') THEN 'constraint' WHEN pos = 0 THEN 'object_or_form_factor' ELSE 'function' END AS category, array_to_string(list_sort(terms), ' ') AS terms, len(terms) > 4 AS too_broad FROM t WHERE len(terms) > 0""",
+    "f10_generic_queries": "SELECT session_id, source_type, 'ok' AS status, true AS completed, true AS reliable_no_results FROM research_sessions, (SELECT unnest(['patent', 'publication', 'web']) AS source_type) WHERE (try_cast(nullif(trim(query_envelope_json), '') AS JSON) ->> '$.query_too_generic') = 'true'",
     "s19_gold_set": f"WITH {S.POOL} SELECT p.session_id AS query_id, count(*) AS n, sum(coalesce(i.verified_url, 0))::BIGINT AS relevant FROM pool p JOIN items i USING (id) WHERE p.source_type = 'publication' AND p.title IS NOT NULL GROUP BY ALL",
     "s20_sealed_snapshot": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions) SELECT decision_stage, count(*) AS n, count(retained) AS judged FROM d GROUP BY ALL",
     "s21_event_sink": f"WITH {S.ITEMS} SELECT attempt, count(*) AS n FROM items WHERE source_type = 'patent' GROUP BY ALL",

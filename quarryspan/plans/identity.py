@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,16 +48,22 @@ def q05_ascii_language(spark: SparkSession, folder: str) -> DataFrame:
     return _queries(spark, folder).select("session_id", F.when(F.col("query").rlike(r"[^\x00-\x7f]"), "non_english").otherwise("en").alias("language"))
 
 
-FRAMES = r"^(?:find prior art for|is there a solution where|we look for a system where|overte, či už existuje prípad, že|please check whether|does this exist:?)\s+"
+def without_framing(query: Column) -> Column:
+    """A query without the phrases around it that only ask for a check, three times over; an empty rest gives the query."""
+    whole = T.squeezed(query)
+    out = whole
+    for _ in range(3):
+        for pattern, group in dims.FRAMING_BEFORE:
+            out = F.ltrim(F.regexp_replace(out, "(?i)" + pattern, f"${group}" if group else ""))
+        for pattern in dims.FRAMING_AFTER:
+            out = F.rtrim(F.regexp_replace(out, "(?i)" + pattern, ""))
+    out = F.trim(F.btrim(F.trim(out), F.lit(",;:")))
+    return F.when(out == "", whole).otherwise(out)
 
 
 def q06_strip_framing(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries without the phrases that only ask for a search, three times over; an empty rest gives the query."""
-    out = T.squeezed(F.col("query"))
-    for _ in range(3):
-        out = F.trim(F.regexp_replace(out, "(?i)" + FRAMES, ""))
-    out = F.rtrim(out, F.lit(" ?"))
-    return _queries(spark, folder).select("session_id", F.when(out == "", T.squeezed(F.col("query"))).otherwise(out).alias("subject"))
+    """Queries without the phrases that only ask for a check."""
+    return _queries(spark, folder).select("session_id", without_framing(F.col("query")).alias("subject"))
 
 
 def q09_consolidated_atoms(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,24 +94,32 @@ def _with_synonyms(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", "query", F.explode(found).alias("x")).select("session_id", "query", "x.*")
 
 
-def q13_synonyms(spark: SparkSession, folder: str) -> DataFrame:
-    """Equivalents of the phrases in a query, longest phrase first, at most eight, none that it has already."""
+def synonyms(rows: DataFrame) -> DataFrame:
+    """(session_id, rank_no, replacement): equivalents of the phrases in a query, longest phrase first, at most eight, none that it has already."""
     low = F.lower(F.coalesce("query", F.lit("")))
-    rows = _with_synonyms(_queries(spark, folder))
+    rows = _with_synonyms(rows)
     rows = rows.where(~F.contains(low, F.lower("replacement"))).groupBy("session_id", F.lower("replacement").alias("key")).agg(F.min(F.struct("ord", "replacement")).alias("m"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy("m"))
     return rows.withColumn("rank_no", rank).where("rank_no <= 8").select("session_id", "rank_no", F.col("m.replacement").alias("replacement"))
 
 
-def q14_synonym_variants(spark: SparkSession, folder: str) -> DataFrame:
-    """At most two variants of a query, each with one phrase replaced by its first equivalent."""
-    rows = _with_synonyms(_queries(spark, folder))
+def synonym_variants(rows: DataFrame) -> DataFrame:
+    """(session_id, rank_no, variant): at most two variants of a query, each with one phrase replaced by its first equivalent."""
+    rows = _with_synonyms(rows)
     rows = rows.withColumn("variant", F.expr("trim(regexp_replace(regexp_replace(query, concat('(?i)\\\\b', phrase, '\\\\b'), replacement), '\\\\s+', ' '))")).where(F.lower("variant") != F.lower(T.squeezed(F.col("query"))))
     first = rows.groupBy("session_id", "ord").agg(F.min(F.struct("replacement", "variant"))["variant"].alias("variant"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))
     return first.withColumn("rank_no", rank).where("rank_no <= 2").select("session_id", "rank_no", "variant")
 
 
+def q13_synonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return synonyms(_queries(spark, folder))
+
+
+def q14_synonym_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return synonym_variants(_queries(spark, folder))
+
+
 def q16_search_plan(spark: SparkSession, folder: str) -> DataFrame:
     """For each session, its distinct queries (two at most) times five hosts, in order, ten at most."""
     rows = attempts(spark, folder, "session_id", "query").groupBy("session_id", F.lower(T.squeezed(F.col("query"))).alias("variant")).agg(F.min("id").alias("first")).where("variant <> ''")
@@ -225,14 +239,18 @@ _UNDER = " OR ".join(f"h = '{d}' OR ends_with(h, '.{d}')" for d in dims.MARKET_H
 _BLOCK = " OR ".join(f"ends_with(h, '{d}')" for d in dims.BLOCKED_HOSTS)
 _STRIP = "f0"
 for _ in range(3):
-    _STRIP = f"trim(regexp_replace({_STRIP}, '{FRAMES.replace(chr(39), chr(39) * 2)}', '', 'i'))"
+    for _p, _g in dims.FRAMING_BEFORE:
+        _STRIP = f"ltrim(regexp_replace({_STRIP}, '{_p}', '{chr(92) + _g if _g else ''}', 'i'))"
+    for _p in dims.FRAMING_AFTER:
+        _STRIP = f"rtrim(regexp_replace({_STRIP}, '{_p}', '', 'i'))"
+_STRIP = f"trim(trim(trim({_STRIP}), ',;:'))"
 
 QUERIES = {f.__name__: f for f in (q02_normalized, q02_hash_of_plain_form, q03_query_hash, q04_envelope_terms, q05_ascii_language, q06_strip_framing, q09_consolidated_atoms, q13_synonyms, q14_synonym_variants, q16_search_plan, q17_patent_variants, q18_publication_query, q19_planned_query, q21_low_confidence, u01_canonical_url, u02_identity_url, u03_url_policy, u04_domain_rank, u05_patent_numbers, u06_dedupe_keys, u07_publication_identity, u11_promoted_level, u12_canonical_id, u13_example_id, u16_document_ids, u18_level_weight)}
 ORACLE = {
     "q02_hash_of_plain_form": rf"SELECT session_id, sha256(lower({S.squeezed('original_query')})) AS plain_hash, NOT regexp_matches(coalesce(original_query, ''), '[^\x00-\x7f]') AS is_ascii FROM research_sessions",
     "q04_envelope_terms": rf"SELECT session_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(original_query), '[\p{{L}}\p{{N}}_-]{{3,}}'), lambda t: trim(t, '_-')), lambda t: length(t) >= 3 AND t NOT IN ({S.quoted(dims.ENVELOPE_STOPWORDS)})))), ' ') AS terms FROM research_sessions",
     "q05_ascii_language": r"SELECT session_id, CASE WHEN regexp_matches(original_query, '[^\x00-\x7f]') THEN 'non_english' ELSE 'en' END AS language FROM research_sessions",
-    "q06_strip_framing": f"WITH f AS (SELECT session_id, {S.squeezed('original_query')} AS f0 FROM research_sessions), g AS (SELECT session_id, f0, rtrim({_STRIP}, ' ?') AS s FROM f) SELECT session_id, CASE WHEN s = '' THEN f0 ELSE s END AS subject FROM g",
+    "q06_strip_framing": f"WITH f AS (SELECT session_id, {S.squeezed('original_query')} AS f0 FROM research_sessions), g AS (SELECT session_id, f0, {_STRIP} AS s FROM f) SELECT session_id, CASE WHEN s = '' THEN f0 ELSE s END AS subject FROM g",
     "q09_consolidated_atoms": """
 WITH j AS (SELECT session_id, try_cast(query_envelope_json AS JSON) AS e FROM research_sessions WHERE trim(query_envelope_json) <> ''),
 a AS (SELECT session_id, unnest(from_json(e -> '$.critical_requirements_atomic', '[{"category":"VARCHAR","label":"VARCHAR","terms":["VARCHAR"]}]')) AS x FROM j),

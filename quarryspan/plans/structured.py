@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryspan import dims
 from quarryspan.functions import ids as U
 from quarryspan.functions import structured as X
 from quarryspan.functions import text as T
@@ -23,7 +24,7 @@ def q01_coerced(spark: SparkSession, folder: str) -> DataFrame:
 def q10_negations(spark: SparkSession, folder: str) -> DataFrame:
     """What a query excludes: up to four words after a negation."""
     low = F.lower(F.coalesce("original_query", F.lit("")))
-    found = F.regexp_extract_all(low, F.lit(r"\b(?:without|not|no|except|excluding) ((?:[a-z0-9-]+ ){0,3}[a-z0-9-]+)"), F.lit(1))
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(rf"\b{n}\s+(\w+(?:\s+\w+){{0,3}})"), F.lit(1)) for n in dims.NEGATIONS]))
     return sessions(spark, folder, "original_query").select("session_id", F.array_join(found, "|").alias("negative"))
 
 
@@ -164,7 +165,7 @@ _D = "d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions)"
 _NUM = "upper(regexp_replace(coalesce({}, ''), '[^A-Za-z0-9]', '', 'g'))"
 QUERIES = {f.__name__: f for f in (q01_coerced, q10_negations, q11_atom_variants, q15_plan_sections, q20_envelope_hash, t10_unescaped, t16_page_texts, t25_redacted, u08_header_publication, u09_identity_basis, u14_public_urls, k02_embedded_objects, k06_candidate_blocks, k07_canonical_json, e02_bundle, e04_projected_text, e06_locators, r06_session_report)}
 ORACLE = {
-    "q10_negations": r"SELECT session_id, array_to_string(regexp_extract_all(lower(coalesce(original_query, '')), '\b(?:without|not|no|except|excluding) ((?:[a-z0-9-]+ ){0,3}[a-z0-9-]+)', 1), '|') AS negative FROM research_sessions",
+    "q10_negations": f"SELECT session_id, array_to_string(list_transform(list_filter(l, lambda x, i: NOT list_contains(l[1:i - 1], x)), lambda x: x), '|') AS negative FROM (SELECT session_id, {' || '.join(f"regexp_extract_all(lower(coalesce(original_query, '')), '" + chr(92) + f"b{n}" + chr(92) + "s+(" + chr(92) + "w+(?:" + chr(92) + "s+" + chr(92) + "w+){0,3})', 1)" for n in dims.NEGATIONS)} AS l FROM research_sessions)",
     "q11_atom_variants": f"""
 WITH j AS (SELECT session_id, original_query, from_json(try_cast(nullif(trim(query_envelope_json), '') AS JSON) -> '$.critical_requirements_atomic', '[{{"label":"VARCHAR"}}]') AS l FROM research_sessions),
 l AS (SELECT session_id, {S.squeezed('original_query')} AS a, coalesce(array_to_string(list_transform(l, lambda x: x.label), ' '), '') AS labels FROM j),
