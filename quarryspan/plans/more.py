@@ -91,13 +91,17 @@ def f11_failed_attempts(spark: SparkSession, folder: str) -> DataFrame:
     return attempts(spark, folder, "status", "error_type").groupBy(said.rlike(r"\b(?:failed|timeout|error)\b|_error\b").alias("looks_failed")).agg(F.count("*").alias("n"))
 
 
-def a17_relevance_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """focused, adjacent or generic for patents, by the share of the query that they cover."""
-    rows = O.scored(pool(spark, folder, "evidence_level")).where("source_type = 'patent' AND nq > 0")
-    share = F.col("shared") / F.col("nq")
+def patent_labels(scores: DataFrame) -> DataFrame:
+    """(id, label) of scored patents: focused, adjacent or generic, by the share of the query that they cover."""
+    share = F.expr("try_divide(shared, nq)")
     verified = F.col("evidence_level").isin(*dims.STRONG)
     label = F.when((F.col("na") > 0) & (F.col("anchor") == 0), "generic").when((share >= 0.55) | (verified & (share >= 0.30) & (F.col("shared") >= 4)), "focused").when(F.col("shared") > 0, "adjacent").otherwise("generic")
-    return rows.select("id", label.alias("label"))
+    return scores.select("id", label.alias("label"))
+
+
+def a17_relevance_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """focused, adjacent or generic for patents, by the share of the query that they cover."""
+    return patent_labels(O.scored(pool(spark, folder, "evidence_level")).where("source_type = 'patent' AND nq > 0"))
 
 
 def d08_patent_search(spark: SparkSession, folder: str) -> DataFrame:

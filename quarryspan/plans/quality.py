@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryspan import dims
 from quarryspan.functions import ids as U
+from quarryspan.functions import structured as X
 from quarryspan.functions import text as T
 from quarryspan.operators import quality as O
 from quarryspan.operators.ranking import best_rows
@@ -168,12 +169,17 @@ def k05_attempt_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k01_parsed_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each session's envelope parses as an object, and its core subject."""
+    """Whether each session's envelope parses as it is, and its core subject."""
     rows = sessions(spark, folder, "query_envelope_json")
     parsed = F.try_parse_json("query_envelope_json")
     return rows.select("session_id", parsed.isNotNull().alias("parsed"), F.get_json_object("query_envelope_json", "$.core_subject").alias("core_subject"))
 
 
+def k01_repaired_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Every envelope's value, repaired where it nearly is JSON, under the key raw where it is none; null for a blank one. Repairs look ahead, which SQL can't."""
+    return sessions(spark, folder, "query_envelope_json").select("session_id", X.parsed_column("query_envelope_json").alias("value"))
+
+
 def k08_result_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Results by the status inside their normalised payload."""
     rows = attempts(spark, folder, "normalized_json")
@@ -235,7 +241,7 @@ tp AS (SELECT session_id, atom_no, nt, term, regexp_extract_all(term, '[a-z0-9]+
 mt AS (SELECT b.session_id, b.source_type, b.v, b.id, atom_no, nt, len(parts) > 0 AND ((len(parts) > 1 AND contains(joined, array_to_string(parts, ''))) OR len(list_filter(parts, lambda p: NOT (list_contains(blob, p) OR list_contains(blob, {_STEM})))) = 0) AS ok FROM b JOIN tp USING (session_id)),
 m AS (SELECT session_id, source_type, v, id, atom_no, bool_and(ok) AS whole FROM mt GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (a05_atom_coverage, a06_hit_quality, a07_grades, a08_retrieval_state, a10_source_counts, a11_requirement_coverage, a12_single_hit, a13_requirement_status, a16_overall_status, a18_collective, a19_corroboration, a20_uncovered_atoms, a21_unchanged_evidence, f07_verification_queue, f08_visible_hits, f09_valid_hits, k01_parsed_payloads, k04_status_headers, k05_attempt_log, k08_result_summaries, e01_manifest_checks, e03_split_leaks, e05_quota_checks, r08_status_notes)}
+QUERIES = {f.__name__: f for f in (a05_atom_coverage, a06_hit_quality, a07_grades, a08_retrieval_state, a10_source_counts, a11_requirement_coverage, a12_single_hit, a13_requirement_status, a16_overall_status, a18_collective, a19_corroboration, a20_uncovered_atoms, a21_unchanged_evidence, f07_verification_queue, f08_visible_hits, f09_valid_hits, k01_parsed_payloads, k01_repaired_payloads, k04_status_headers, k05_attempt_log, k08_result_summaries, e01_manifest_checks, e03_split_leaks, e05_quota_checks, r08_status_notes)}
 ORACLE = {
     "a05_atom_coverage": f"WITH {_M} SELECT id, count(*) FILTER (whole) AS matched, round_even(avg(whole::INT), 4) AS coverage FROM m GROUP BY ALL",
     "a06_hit_quality": f"WITH {_H} SELECT id, label, quality FROM h",
