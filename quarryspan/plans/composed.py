@@ -87,11 +87,12 @@ def _place(spark: SparkSession) -> str:
 
 
 def s19_gold_set(spark: SparkSession, folder: str) -> DataFrame:
-    """Items written as a gold set in JSON (verified ones relevant) and read back."""
-    rows = pool(spark, folder, "verified_url")
-    rows = rows.where("source_type = 'publication' AND title IS NOT NULL")
-    candidates = F.collect_list(F.struct(F.coalesce("verified_url", F.lit(0)).alias("label"), "title", F.coalesce("summary", F.lit("")).alias("text")))
-    gold = rows.groupBy("session_id", "query").agg(candidates.alias("candidates")).select(F.array(F.struct(F.col("session_id").alias("id"), "query", F.lit("publication").alias("source_type"), "candidates")).alias("queries"))
+    """Items written as a gold set in JSON (verified ones relevant) and read back; a query with many candidates is several objects."""
+    rows = pool(spark, folder, "verified_url").where("source_type = 'publication'")
+    parts = rows.groupBy("session_id").agg(F.count("*").alias("n")).select("session_id", F.ceil(F.col("n") / 200).alias("parts"))
+    candidate = F.struct(F.coalesce("verified_url", F.lit(0)).alias("label"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("text"))
+    sets = rows.join(parts, "session_id").groupBy("session_id", "query", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list(candidate).alias("candidates"))
+    gold = sets.select(F.array(F.struct(F.col("session_id").alias("id"), "query", F.lit("publication").alias("source_type"), "candidates")).alias("queries"))
     path = _place(spark)
     snapshots.write_once(gold, path, "json")
     return snapshots.read_gold(spark, path, lines=True).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("label").alias("relevant"))
@@ -118,7 +119,7 @@ def s21_event_sink(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (q07_phrases, q08_requirements, q12_envelopes, f10_generic_queries, d09_publication_search, s05_web_rows, s19_gold_set, s20_sealed_snapshot, s21_event_sink)}
 ORACLE = {
     "f10_generic_queries": "SELECT session_id, source_type, 'ok' AS status, true AS completed, true AS reliable_no_results FROM research_sessions, (SELECT unnest(['patent', 'publication', 'web']) AS source_type) WHERE (try_cast(nullif(trim(query_envelope_json), '') AS JSON) ->> '$.query_too_generic') = 'true'",
-    "s19_gold_set": f"WITH {S.POOL} SELECT p.session_id AS query_id, count(*) AS n, sum(coalesce(i.verified_url, 0))::BIGINT AS relevant FROM pool p JOIN items i USING (id) WHERE p.source_type = 'publication' AND p.title IS NOT NULL GROUP BY ALL",
+    "s19_gold_set": f"WITH {S.POOL} SELECT p.session_id AS query_id, count(*) AS n, sum(coalesce(i.verified_url, 0))::BIGINT AS relevant FROM pool p JOIN items i USING (id) WHERE p.source_type = 'publication' GROUP BY ALL",
     "s20_sealed_snapshot": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions) SELECT decision_stage, count(*) AS n, count(retained) AS judged FROM d GROUP BY ALL",
     "s21_event_sink": f"WITH {S.ITEMS} SELECT attempt, count(*) AS n FROM items WHERE source_type = 'patent' GROUP BY ALL",
 }

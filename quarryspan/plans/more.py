@@ -1,4 +1,4 @@
-"""Queries d08_, f06_, f11_, a17_, w09_, s08_, t09_, t13_, t19_, t24_, u10_, u15_, u17_, st08_: further operators over items."""
+"""Queries d08_, f06_, f11_, a17_, w09_, t09_, t13_, t19_, u10_, u15_, u17_, st08_: further operators over items."""
 
 from __future__ import annotations
 
@@ -46,14 +46,6 @@ def t19_sanitized(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder, "summary").select("id", out.alias("summary"))
 
 
-def t24_first_claim(spark: SparkSession, folder: str) -> DataFrame:
-    """The first numbered claim of claims made of a session's patents, up to the second number."""
-    rows = items(spark, folder, "session_id", "source_type", "summary").where("source_type = 'patent' AND trim(summary) <> ''")
-    text = rows.groupBy("session_id").agg(F.min_by("summary", "id").alias("one"), F.max_by("summary", "id").alias("two")).withColumn("claims", F.concat(F.lit("What is claimed is: 1. "), T.squeezed(F.col("one")), F.lit(" 2. "), T.squeezed(F.col("two"))))
-    claim = F.trim(F.regexp_extract("claims", r"(?s)claimed is:\s*1\.\s+(.{1,6000}?)(?:\s2\.\s|$)", 1))
-    return text.select("session_id", F.when(F.size(T.word_list(claim)) >= 8, claim).otherwise("").alias("claim"))
-
-
 def u10_sections(spark: SparkSession, folder: str) -> DataFrame:
     """The section of each document under its heading of background, up to the next blank line."""
     from quarryspan.plans.views import benchmark
@@ -123,14 +115,6 @@ def w09_blinded_representatives(spark: SparkSession, folder: str) -> DataFrame:
     return first.select("id", R.keyed_hash(bytes.fromhex(BLIND_SEED), F.to_json(F.array("session_id", "source_type", "candidate_identity"))).alias("blind"))
 
 
-def s08_xml_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Publications as XML records, read by path."""
-    clean = lambda c: F.regexp_replace(T.squeezed(F.col(c)), r"[^\x20-\x7e]|[<>&]", "")
-    rows = items(spark, folder, "source_type", "title", "summary").where("source_type = 'publication'")
-    xml = F.concat(F.lit("<A><ArticleTitle>"), clean("title"), F.lit("</ArticleTitle><Abstract><AbstractText>"), clean("summary"), F.lit("</AbstractText></Abstract></A>"))
-    return rows.select("id", F.length(F.xpath_string(xml, F.lit("A/ArticleTitle"))).alias("title_length"), F.length(F.xpath_string(xml, F.lit("A/Abstract/AbstractText"))).alias("abstract_length"))
-
-
 def st08_answer_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Answers that need not be made again: results whose input has the hash of an earlier one of the session and source."""
     rows = attempts(spark, folder, "session_id", "source_type", "query_hash", "evidence_json")
@@ -144,7 +128,7 @@ def st08_answer_cache(spark: SparkSession, folder: str) -> DataFrame:
 _A = "a AS (SELECT DISTINCT * FROM evidence_results)"
 _BAD = " OR ".join(f"contains(lower(x), '{b}')" for b in BANNED)
 _WEB = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9][a-z0-9-]{{3,}}')), lambda t: t NOT IN ({S.quoted(dims.WEB_STOPWORDS)}))"
-QUERIES = {f.__name__: f for f in (t09_clean_lines, t13_first_match, t19_sanitized, t24_first_claim, u10_sections, u15_doi_from_url, u17_reconciled, f06_keep_hits, f11_failed_attempts, a17_relevance_labels, d08_patent_search, w09_blinded_representatives, s08_xml_records, st08_answer_cache)}
+QUERIES = {f.__name__: f for f in (t09_clean_lines, t13_first_match, t19_sanitized, u10_sections, u15_doi_from_url, u17_reconciled, f06_keep_hits, f11_failed_attempts, a17_relevance_labels, d08_patent_search, w09_blinded_representatives, st08_answer_cache)}
 ORACLE = {
     "t09_clean_lines": rf"""
 WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {S.squeezed('x')}) AS l FROM documents)
@@ -166,6 +150,5 @@ SELECT id, len(l) = 0 OR (list_has_any(l, regexp_extract_all(text, '[a-z0-9][a-z
     "w09_blinded_representatives": f"""
 WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions), f AS (SELECT *, row_number() OVER (PARTITION BY session_id, source_type, candidate_identity ORDER BY attempt, id) AS r FROM d WHERE candidate_identity <> '')
 SELECT id, {S.keyed_hash(BLIND_SEED, "to_json([session_id, source_type, candidate_identity])::VARCHAR")} AS blind FROM f WHERE r = 1""",
-    "s08_xml_records": rf"WITH {S.ITEMS}, x AS (SELECT id, regexp_replace({S.squeezed('title')}, '[^\x20-\x7e]|[<>&]', '', 'g') AS t, regexp_replace({S.squeezed('summary')}, '[^\x20-\x7e]|[<>&]', '', 'g') AS a FROM items WHERE source_type = 'publication') SELECT id, length(t) AS title_length, length(a) AS abstract_length FROM x",
     "st08_answer_cache": f"WITH {_A}, h AS (SELECT source_type, row_number() OVER (PARTITION BY session_id, source_type, concat_ws('|', query_hash, evidence_json) ORDER BY id) > 1 AS from_cache FROM a) SELECT source_type, from_cache, count(*) AS n FROM h GROUP BY ALL",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryspan.plans import composed, identity, more, packs, quality, ranking, references, scoring, sources, streams, structured, text
+from quarryspan.plans import composed, identity, more, packs, providers, quality, ranking, references, scoring, sources, streams, structured, text
 
-MODULES = [references, text, scoring, ranking, identity, quality, sources, streams, structured, more, composed, packs]
+MODULES = [references, text, scoring, ranking, identity, quality, sources, streams, structured, more, composed, packs, providers]
 FLAGSHIP = references.p6_found
 
 

@@ -13,10 +13,10 @@ from quarryspan.sources import snapshots
 
 
 def s01_patent_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Patents wrapped as search payloads, one a session, and flattened again."""
+    """Patents wrapped as search payloads, one each, and flattened again."""
     rows = items(spark, folder, "session_id", "source_type", "canonical_id", "title", "summary").where("source_type = 'patent'")
     patent = F.struct(F.struct(F.col("canonical_id").alias("publication_number"), F.col("title"), F.col("summary").alias("snippet")).alias("patent"))
-    raw = rows.groupBy("session_id", F.pmod("id", F.lit(8)).alias("page")).agg(F.to_json(F.struct(F.struct(F.array(F.struct(F.collect_list(patent).alias("result"))).alias("cluster")).alias("results"))).alias("payload"))
+    raw = rows.select(F.to_json(F.struct(F.struct(F.array(F.struct(F.array(patent).alias("result"))).alias("cluster")).alias("results"))).alias("payload"))
     out = snapshots.patent_payloads(raw)
     return out.groupBy("publication_number").agg(F.count("*").alias("n"), F.max(F.length("snippet")).alias("longest"))
 
@@ -31,7 +31,7 @@ def s04_enrichment(spark: SparkSession, folder: str) -> DataFrame:
 
 def s07_scholarly(spark: SparkSession, folder: str) -> DataFrame:
     """Publications wrapped as scholarly payloads and read again."""
-    rows = items(spark, folder, "source_type", "canonical_id", "title", "summary").where("source_type = 'publication' AND title IS NOT NULL AND summary IS NOT NULL")
+    rows = items(spark, folder, "source_type", "canonical_id", "title", "summary").where("source_type = 'publication'")
     raw = rows.select(F.to_json(F.struct(F.array("title").alias("title"), F.concat(F.lit("<jats:p>"), F.regexp_replace("summary", "[<>]", ""), F.lit("</jats:p>")).alias("abstract"), F.col("canonical_id").alias("DOI"))).alias("payload"))
     return snapshots.scholarly_payloads(raw).groupBy("doi").agg(F.count("*").alias("n"), F.min(F.length("abstract")).alias("shortest"))
 
@@ -74,7 +74,7 @@ ORACLE = {
     "s04_enrichment": f"""
 WITH {S.ITEMS}, n AS (SELECT id, url, upper(regexp_replace(coalesce(regexp_replace(trim(canonical_id), '^patent:', ''), ''), '[^A-Za-z0-9]', '', 'g')) AS number FROM items WHERE source_type = 'patent'),
 k AS (SELECT number, arg_min(url, id) AS found FROM n WHERE number NOT IN ('', 'UNKNOWN') AND trim(url) <> '' GROUP BY ALL) SELECT n.id, n.number, coalesce(found, '') AS url FROM n LEFT JOIN k USING (number) WHERE number NOT IN ('', 'UNKNOWN') AND coalesce(trim(url), '') = ''""",
-    "s07_scholarly": f"WITH {S.ITEMS}, p AS (SELECT lower(canonical_id) AS doi, trim(regexp_replace(summary, '[<>]', '', 'g')) AS a FROM items WHERE source_type = 'publication' AND title IS NOT NULL AND summary IS NOT NULL) SELECT doi, count(*) AS n, min(length(a)) AS shortest FROM p WHERE a <> '' GROUP BY ALL",
+    "s07_scholarly": f"WITH {S.ITEMS}, p AS (SELECT lower(canonical_id) AS doi, trim(regexp_replace(summary, '[<>]', '', 'g')) AS a FROM items WHERE source_type = 'publication') SELECT doi, count(*) AS n, min(length(a)) AS shortest FROM p WHERE a <> '' GROUP BY ALL",
     "s09_inverted_index": f"SELECT doc_id, sha256({S.squeezed('text')}) AS text_hash FROM documents",
     "s16_page_metadata": rf"WITH {S.ITEMS}, p AS (SELECT id, regexp_replace(coalesce(title, ''), '[\x22\x27<>]', '', 'g') AS t, regexp_replace(coalesce(summary, ''), '[\x22\x27<>]', '', 'g') AS a FROM items) SELECT id, CASE WHEN a <> '' AND len(regexp_split_to_array(trim(a), '\s+')) >= 12 THEN 'abstract_verified' WHEN t <> '' THEN 'verified_metadata' ELSE 'fetch_failed' END AS level FROM p",
     "s17_upgrade_chain": f"WITH {S.ITEMS}, d AS (SELECT id, session_id, lower(trim(canonical_id)) AS doc, evidence_level, row_number() OVER (PARTITION BY session_id, lower(trim(canonical_id)) ORDER BY {S.level_weight('evidence_level')} DESC, attempt, id) AS r FROM items WHERE trim(canonical_id) <> '') SELECT session_id, doc, id, evidence_level FROM d WHERE r = 1",

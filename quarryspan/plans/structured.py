@@ -75,9 +75,9 @@ def t25_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def u08_header_publication(spark: SparkSession, folder: str) -> DataFrame:
-    """The first publication number in the first 1,600 characters of a document, before its citations."""
-    head = F.substring(F.concat_ws(" ", "canonical_id", "text"), 1, 1600)
-    head = F.regexp_extract(head, r"(?is)^(.*?)(?:references cited|patent citations|similar documents|$)", 1)
+    """The first publication number in the first 1,600 characters of what lies before a document's citations."""
+    front = F.regexp_extract(F.concat_ws(" ", "canonical_id", "text"), r"(?is)^(.*?)(?:references cited|patent citations|similar documents|$)", 1)
+    head = F.substring(front, 1, 1600)
     found = F.regexp_extract(head, r"(?i)(?:^|[^A-Za-z0-9])((?:US|EP|WO|DE|SK)[ -]*[0-9][0-9,./]*[ -]*(?:[A-Z][0-9]{0,2})?)(?:[^A-Za-z0-9]|$)", 1)
     from quarryspan.tables import load
 
@@ -111,10 +111,12 @@ def k02_embedded_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k06_candidate_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates written as labelled blocks of text, one text a session and source, and parsed again."""
+    """Candidates written as labelled blocks of text, texts of some hundred blocks at most, and parsed again."""
     rows = items(spark, folder, "session_id", "source_type", "title", "url").where("source_type = 'web' AND trim(url) <> ''")
     block = F.concat(F.lit("Title: "), T.squeezed(F.col("title")), F.lit("\nSource page URL: "), F.col("url"), F.lit("\nRank: "), F.col("id").cast("string"))
-    texts = rows.groupBy("session_id", F.pmod("id", F.lit(16)).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
+    # a hot session is as many texts as its rows need
+    pages = rows.groupBy("session_id").agg(F.count("*").alias("n")).select("session_id", F.ceil(F.col("n") / 200).alias("pages"))
+    texts = rows.join(pages, "session_id").groupBy("session_id", F.pmod(F.xxhash64("id"), F.col("pages")).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
     blocks = texts.select("session_id", F.explode(F.split("body", r"\n\s*\n")).alias("b"))
     return blocks.select(F.regexp_extract("b", r"(?m)^Rank: (\d+)$", 1).cast("long").alias("id"), F.regexp_extract("b", r"(?m)^Source page URL: (.*)$", 1).alias("url"))
 
