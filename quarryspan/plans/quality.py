@@ -10,8 +10,10 @@ from quarryspan import dims
 from quarryspan.functions import ids as U
 from quarryspan.functions import structured as X
 from quarryspan.functions import text as T
+from quarryspan.operators import contracts as C
 from quarryspan.operators import quality as O
 from quarryspan.operators.ranking import best_rows
+from quarryspan.plans import identity as Q
 from quarryspan.plans import sql as S
 from quarryspan.plans.ranking import _BEST, _A, w01_latest_attempt, w02_best_attempt
 from quarryspan.plans.views import attempts, decisions, items, sessions
@@ -113,10 +115,17 @@ def a18_collective(spark: SparkSession, folder: str) -> DataFrame:
     return best_rows(by.where("n >= 2 AND fetched"), ["session_id"], [F.asc("first")]).select("session_id", "domain", F.col("best").alias("id"))
 
 
+def corroborated(rows: DataFrame) -> DataFrame:
+    """(session_id, doc_id, sources, n) of documents (session_id, source_type, id, doc_ids: all that a hit is known by) that several kinds of source of a session have."""
+    ids = rows.select("session_id", "source_type", "id", F.explode(F.array_distinct("doc_ids")).alias("doc_id"))
+    return ids.groupBy("session_id", "doc_id").agg(F.array_join(F.array_sort(F.collect_set("source_type")), ", ").alias("sources"), F.count("*").alias("n"), F.countDistinct("source_type").alias("k")).where("k >= 2").drop("k")
+
+
 def a19_corroboration(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles that two or more kinds of source of a session have."""
-    rows = items(spark, folder, "session_id", "source_type", "title").withColumn("doc", U.title_key(F.col("title"))).where("doc <> ''")
-    return rows.groupBy("session_id", "doc").agg(F.countDistinct("source_type").alias("sources"), F.count("*").alias("n")).where("sources >= 2")
+    """Documents, by identifier, address or title, that two or more kinds of source have, over all sessions: within one session the tables have none."""
+    rows = items(spark, folder, "source_type", "title", "url", "canonical_id")
+    ids = F.filter(F.array(F.concat(F.lit("id:"), F.lower(F.trim("canonical_id"))), F.concat(F.lit("url:"), U.identity_url(F.col("url"))), F.concat(F.lit("title:"), U.title_key(F.col("title")))), lambda x: x.isNotNull() & ~x.rlike("^(?:id|url|title):$"))
+    return corroborated(rows.select(F.lit("all").alias("session_id"), "source_type", "id", ids.alias("doc_ids"))).drop("session_id")
 
 
 def a20_uncovered_atoms(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,11 +206,23 @@ def e01_manifest_checks(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*rules)))).select(F.col("key").alias("rule"), F.col("value").alias("broken"))
 
 
+def e01_decision_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """For each rule of a decision the number of decisions that break it: known meanings by source, identities, numbers, and outcomes that agree with their reason."""
+    d = decisions(spark, folder, "source_type", "attempt", "decision_stage", "decision_reason", "candidate_identity", "candidate_identity_kind", "retained", "dataset_eligible", "score_at_decision", "threshold_at_decision")
+    return C.broken(d, C.decision_rules())
+
+
+def e01_decision_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions by source and kind."""
+    d = decisions(spark, folder, "source_type", "decision_stage", "dataset_eligible")
+    return d.groupBy("source_type", C.decision_kind(F.col("decision_stage"), F.col("dataset_eligible")).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def e03_split_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Examples whose decisions fall into more than one split, when queries are split by their hash."""
-    d = decisions(spark, folder, "example_id", "query_fingerprint")
+    """Candidates (as families) whose decisions fall into more than one split, when queries are split by their hash."""
+    d = decisions(spark, folder, "candidate_identity", "query_fingerprint").where("candidate_identity <> ''")
     split = F.when(F.substring("query_fingerprint", 1, 1) < "8", "train").otherwise("test")
-    return d.groupBy("example_id").agg(F.countDistinct(split).alias("splits"), F.count("*").alias("n")).where("splits > 1")
+    return C.split_families(d.select(F.col("candidate_identity").alias("intent_family_id"), split.alias("split")))
 
 
 def e05_quota_checks(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,7 +262,7 @@ tp AS (SELECT session_id, atom_no, nt, term, regexp_extract_all(term, '[a-z0-9]+
 mt AS (SELECT b.session_id, b.source_type, b.v, b.id, atom_no, nt, len(parts) > 0 AND ((len(parts) > 1 AND contains(joined, array_to_string(parts, ''))) OR len(list_filter(parts, lambda p: NOT (list_contains(blob, p) OR list_contains(blob, {_STEM})))) = 0) AS ok FROM b JOIN tp USING (session_id)),
 m AS (SELECT session_id, source_type, v, id, atom_no, bool_and(ok) AS whole FROM mt GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (a05_atom_coverage, a06_hit_quality, a07_grades, a08_retrieval_state, a10_source_counts, a11_requirement_coverage, a12_single_hit, a13_requirement_status, a16_overall_status, a18_collective, a19_corroboration, a20_uncovered_atoms, a21_unchanged_evidence, f07_verification_queue, f08_visible_hits, f09_valid_hits, k01_parsed_payloads, k01_repaired_payloads, k04_status_headers, k05_attempt_log, k08_result_summaries, e01_manifest_checks, e03_split_leaks, e05_quota_checks, r08_status_notes)}
+QUERIES = {f.__name__: f for f in (a05_atom_coverage, a06_hit_quality, a07_grades, a08_retrieval_state, a10_source_counts, a11_requirement_coverage, a12_single_hit, a13_requirement_status, a16_overall_status, a18_collective, a19_corroboration, a20_uncovered_atoms, a21_unchanged_evidence, f07_verification_queue, f08_visible_hits, f09_valid_hits, k01_parsed_payloads, k01_repaired_payloads, k04_status_headers, k05_attempt_log, k08_result_summaries, e01_manifest_checks, e01_decision_rules, e01_decision_kinds, e03_split_leaks, e05_quota_checks, r08_status_notes)}
 ORACLE = {
     "a05_atom_coverage": f"WITH {_M} SELECT id, count(*) FILTER (whole) AS matched, round_even(avg(whole::INT), 4) AS coverage FROM m GROUP BY ALL",
     "a06_hit_quality": f"WITH {_H} SELECT id, label, quality FROM h",
@@ -262,7 +283,9 @@ SELECT a.session_id, a.atom_no, CASE WHEN f.id IS NULL THEN 'not_verified' WHEN
 WITH {_H}, w AS (SELECT *, regexp_replace({S.host('url')}, '^www\.', '') AS domain FROM h WHERE source_type = 'web'), d AS (SELECT *, bool_or(label = 'direct') OVER (PARTITION BY session_id) AS any_direct FROM w WHERE domain <> ''),
 g AS (SELECT session_id, domain, count(*) AS n, bool_or(evidence_level IN ('fetched_excerpt', 'verified_page')) AS fetched, min(id) AS first, arg_min(id, (-quality, id)) AS best FROM d WHERE NOT any_direct GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first) AS k FROM g WHERE n >= 2 AND fetched) SELECT session_id, domain, best AS id FROM r WHERE k = 1""",
-    "a19_corroboration": f"WITH {S.ITEMS}, t AS (SELECT session_id, source_type, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) AS doc FROM items) SELECT session_id, doc, count(DISTINCT source_type) AS sources, count(*) AS n FROM t WHERE doc <> '' GROUP BY ALL HAVING count(DISTINCT source_type) >= 2",
+    "a19_corroboration": f"""
+WITH {S.ITEMS}, {Q._IU}, k AS (SELECT id, source_type, 'id:' || lower(trim(canonical_id)) AS doc_id FROM items UNION SELECT id, source_type, 'title:' || trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) FROM items UNION SELECT id, source_type, 'url:' || identity_url FROM ident JOIN items USING (id))
+SELECT doc_id, string_agg(DISTINCT source_type, ', ' ORDER BY source_type) AS sources, count(*) AS n FROM k WHERE doc_id NOT IN ('id:', 'url:', 'title:') GROUP BY doc_id HAVING count(DISTINCT source_type) >= 2""",
     "a20_uncovered_atoms": f"WITH {_M} SELECT session_id, atom_no, array_to_string(terms, ' ') AS terms FROM atoms a WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.session_id = a.session_id AND len(list_filter(a.terms, lambda t: NOT contains(lower(x.text), t))) = 0)",
     "a21_unchanged_evidence": f"WITH {S.ITEMS}, s AS (SELECT session_id, source_type, attempt, list_sort(list_distinct(list(lower(trim(canonical_id))))) AS g FROM items WHERE trim(canonical_id) <> '' GROUP BY ALL) SELECT session_id, source_type, attempt, coalesce(g = lag(g) OVER (PARTITION BY session_id, source_type ORDER BY attempt), false) AS unchanged FROM s",
     "f07_verification_queue": f"WITH {S.ITEMS} SELECT session_id, source_type, attempt, rank_no, id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type, attempt ORDER BY id) AS rank_no FROM items WHERE trim(url) <> '') WHERE rank_no <= 6",
@@ -276,7 +299,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first) AS k
 WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions), c AS (SELECT count(*) FILTER (source_type NOT IN ('patent', 'publication', 'web')) AS source, count(*) FILTER ((candidate_identity = '') <> (candidate_identity_kind = '')) AS identity_kind,
   count(*) FILTER (NOT regexp_matches(example_id, '^[0-9a-f]{32}$')) AS example, count(*) FILTER (retained NOT IN (0, 1)) AS retained, count(*) FILTER (run_id = '') AS run FROM d)
 UNPIVOT c ON source, identity_kind, example, retained, run INTO NAME rule VALUE broken""",
-    "e03_split_leaks": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions) SELECT example_id, count(DISTINCT CASE WHEN left(query_fingerprint, 1) < '8' THEN 'train' ELSE 'test' END) AS splits, count(*) AS n FROM d GROUP BY ALL HAVING count(DISTINCT CASE WHEN left(query_fingerprint, 1) < '8' THEN 'train' ELSE 'test' END) > 1",
+    "e03_split_leaks": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions), f AS (SELECT candidate_identity AS intent_family_id, CASE WHEN left(query_fingerprint, 1) < '8' THEN 'train' ELSE 'test' END AS split FROM d WHERE candidate_identity <> '') SELECT intent_family_id, count(DISTINCT split) AS splits, count(*) AS queries FROM f GROUP BY ALL HAVING count(DISTINCT split) > 1",
+    "e01_decision_kinds": f"WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions) SELECT source_type, CASE WHEN dataset_eligible <> 1 THEN 'trace_only' WHEN decision_stage = 'fill_back' THEN 'restoration' WHEN decision_stage IN ({S.quoted(dims.TEXT_GATES)}) THEN 'text_gate' WHEN decision_stage IN ({S.quoted(dims.RELEVANCE_GATES)}) THEN 'relevance_gate' ELSE 'structural' END AS kind, count(*) AS n FROM d GROUP BY ALL",
+    "e01_decision_rules": f"""
+WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions), m AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, st in dims.SEMANTICS.items() for b, r in st.items() for c in r.split())}) t(s, g, r)),
+j AS (SELECT d.*, m.s IS NOT NULL AS known, decision_stage IN ({S.quoted(dims.JUDGING_STAGES)}) AS judging, (decision_reason IN ({S.quoted(dims.ACCEPTING_REASONS)}))::INT AS yes FROM d LEFT JOIN m ON s = source_type AND g = decision_stage AND r = decision_reason),
+c AS (SELECT count(*) FILTER (id <= 0 OR attempt <= 0) AS identity, count(*) FILTER (source_type IS NULL OR source_type NOT IN ({S.quoted(dims.SOURCES)})) AS source, count(*) FILTER (NOT known) AS semantics,
+  count(*) FILTER (candidate_identity_kind IS NULL OR candidate_identity_kind NOT IN ('canonical_id', 'url', 'text_hash') OR trim(candidate_identity) = '') AS identity_kind, count(*) FILTER (candidate_identity_kind = 'text_hash' AND NOT regexp_full_match(candidate_identity, '[0-9a-f]{{32}}')) AS fallback_identity,
+  count(*) FILTER (dataset_eligible NOT IN (0, 1)) AS eligible, count(*) FILTER (retained NOT IN (0, 1)) AS retained, count(*) FILTER (NOT isfinite(score_at_decision) OR NOT isfinite(threshold_at_decision)) AS number,
+  count(*) FILTER (decision_stage = 'cache_lookup' AND dataset_eligible <> 0) AS cache_eligible, count(*) FILTER (NOT judging AND retained IS NOT NULL) AS structural_judged, count(*) FILTER (judging AND retained IS DISTINCT FROM yes) AS outcome FROM j)
+UNPIVOT c ON COLUMNS(*) INTO NAME rule VALUE broken""",
     "e05_quota_checks": f"WITH {S.ITEMS}, g AS (SELECT source_type, evidence_level, least(count(*), 3) AS n FROM items GROUP BY ALL) SELECT source_type, sum(n)::BIGINT AS total, max(n) - min(n) <= 1 AS balanced FROM g GROUP BY ALL",
     "r08_status_notes": f"WITH {_A}, {_BEST}, lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type ORDER BY attempt DESC, id DESC) AS k FROM a) WHERE k = 1) SELECT l.session_id, l.source_type, l.source_type || ': attempt ' || l.attempt || ' was ' || l.status || '; the best earlier result is used' AS note FROM lat l JOIN best b ON b.session_id = l.session_id AND b.source_type = l.source_type WHERE l.id <> b.id AND l.status IN ('failed', 'partial_failure')",
 }
