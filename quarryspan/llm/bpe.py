@@ -85,6 +85,8 @@ class PrefixEncoder:
                         last.append(token)
                         size.append(i - k)
                         break
+                else:  # a vocabulary lacks a byte, or its merges don't build its tokens
+                    raise ValueError(f"no token of the vocabulary ends at byte {i} of {raw!r}")
             ids = []
             i = len(raw)
             while i:

@@ -2,7 +2,7 @@
 
 Only the number of items of each length matters for the plan, and there are at most `capacity`
 lengths, so the plan is made from that histogram: exact complements first (one, two or three
-lengths that fill the gap of a longer one exactly, as often as the counts allow), then best fit for the rest.
+lengths that fill the gap of a longer one exactly, from an index of sums, as often as the counts allow), then best fit for the rest.
 The plan has patterns (which lengths share a container, and how many such containers); items then find
 their container by their rank among the items of their length.
 """
@@ -41,32 +41,48 @@ class Plan:
         return self.base[at] + (ranks - self.first[at]) // self.times[at]
 
 
-def _complement(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is the gap; the longest first."""
-    if left[gap] > 0:
-        return (gap,)
-    have = left[: gap + 1] > 0
-    low = np.flatnonzero(have[: gap // 2 + 1])
-    pair = low[have[gap - low] & ((gap - low != low) | (left[low] > 1))]
-    if len(pair):
-        return (gap - int(pair[0]), int(pair[0]))
-    longest = np.flatnonzero(have)[::-1]
-    for a in longest:
-        rest = gap - int(a)
-        if rest < 2:
-            continue
-        if rest > 2 * a:  # a is no more the longest of the three
-            break
-        b = np.flatnonzero(have[: rest // 2 + 1])
-        b = b[b > 0]
-        c = rest - b
-        ok = have[c] & (c <= a)
-        need = 1 + (b == a).astype(int) + (c == a)
-        ok &= (left[a] >= need) & ((b != c) | (left[b] >= 2 + (b == a)))
-        if ok.any():
-            k = int(np.flatnonzero(ok)[0])
-            return (int(a), int(c[k]), int(b[k]))
-    return None
+class Sums:
+    """An index of the lengths whose sum fills a gap: single lengths, pairs by their sum, and triples by a length and the pairs' sums.
+
+    left counts the items of each length that are not placed yet and only falls, so an entry that can't be served any more
+    never comes back: it is dropped when it is met.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left
+        self.lengths = (np.flatnonzero(left)[::-1]).tolist()  # the longest first
+        self.by_sum: dict[int, list[int]] = {}  # the shorter length of each pair, the longest ones first
+
+    def _pairs(self, total: int) -> list[int]:
+        """The pairs with this sum as stack, the one with the shortest length on top."""
+        found = self.by_sum.get(total)
+        if found is None:
+            low = np.flatnonzero(self.left[: total // 2 + 1])
+            low = low[self.left[total - low] > 0]
+            found = self.by_sum[total] = low[::-1].tolist()
+        while found and (self.left[found[-1]] < 1 + (2 * found[-1] == total) or self.left[total - found[-1]] < 1):
+            found.pop()
+        return found
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that are there and fill the gap exactly; the longest first."""
+        left = self.left
+        if left[gap] > 0:
+            return (gap,)
+        pairs = self._pairs(gap)
+        if pairs:
+            return (gap - pairs[-1], pairs[-1])
+        for a in self.lengths:
+            rest = gap - a
+            if rest < 2 or left[a] == 0:
+                continue
+            if rest > 2 * a:  # a is no more the longest of the three
+                break
+            for b in reversed(self._pairs(rest)):
+                c = rest - b
+                if c <= a and all(left[x] >= (a, b, c).count(x) for x in (a, b, c)):
+                    return (a, c, b)
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> Plan:
@@ -77,12 +93,13 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
             raise ValueError(f"length {size} is not from 1 to {capacity}")
         left[size] = n
     patterns: list[tuple[tuple[int, ...], int]] = []
+    sums = Sums(left)
     for size in range(capacity, 0, -1):
         while left[size] > 0:
-            left[size] -= 1  # the item itself isn't its own complement
             gap = capacity - size
-            fill = () if gap == 0 else _complement(gap, left)
-            left[size] += 1
+            fill = () if gap == 0 else sums.complement(gap)
+            if fill and left[size] < 1 + fill.count(size):
+                fill = None  # the item itself isn't its own complement
             if fill is None:
                 break
             pattern = (size, *fill)
