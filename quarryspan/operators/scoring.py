@@ -55,11 +55,12 @@ def scored(pool: DataFrame) -> DataFrame:
     salient (shared salient tokens), n_salient, score, level_score. Candidates of empty texts, or for empty queries, score 0.
     """
     rows = tokenised(pool)
-    weights = pool_weights(rows)
-    totals = weights.groupBy(*POOL_KEY).agg(F.sum("weight").alias("total"), F.count_if("salient").alias("n_salient"))
-    base = rows.select(*POOL_KEY, "id", "evidence_level", F.size("q").alias("nq"), "nt", F.size("d").alias("nd"), F.size("a").alias("na"), F.size("shared").alias("shared"), F.size(F.array_intersect("shared", "d")).alias("disc"), F.size(F.array_intersect("shared", "a")).alias("anchor"), F.size(F.filter("shared", lambda t: F.length(t) >= 6)).alias("long"), "bonus")
-    got = rows.select(*POOL_KEY, "id", F.explode("shared").alias("token")).join(weights.select(*POOL_KEY, "token", "weight", "salient"), [*POOL_KEY, "token"]).groupBy(*POOL_KEY, "id").agg(F.sum("weight").alias("matched"), F.count_if("salient").alias("salient"))
-    out = base.join(got, [*POOL_KEY, "id"], "left").join(totals, POOL_KEY, "left")
+    # the weights of a pool are as many as its query has tokens: one map, which meets its candidates in one join
+    entry = F.struct("token", F.struct("weight", "salient"))
+    pools = pool_weights(rows).groupBy(*POOL_KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("w"), F.sum("weight").alias("total"), F.count_if("salient").alias("n_salient"))
+    found = F.filter(F.transform("shared", lambda t: F.try_element_at("w", t)), lambda x: x.isNotNull())
+    rows = rows.join(pools, POOL_KEY, "left").withColumn("found", F.coalesce(found, F.array().cast("array<struct<weight:double,salient:boolean>>")))
+    out = rows.select(*POOL_KEY, "id", "evidence_level", F.size("q").alias("nq"), "nt", F.size("d").alias("nd"), F.size("a").alias("na"), F.size("shared").alias("shared"), F.size(F.array_intersect("shared", "d")).alias("disc"), F.size(F.array_intersect("shared", "a")).alias("anchor"), F.size(F.filter("shared", lambda t: F.length(t) >= 6)).alias("long"), "bonus", "total", "n_salient", F.aggregate("found", F.lit(0.0), lambda total, x: total + x["weight"]).alias("matched"), F.size(F.filter("found", lambda x: x["salient"])).alias("salient"))
     ratio = F.coalesce(F.expr("try_divide(coalesce(matched, 0), total)"), F.lit(0.0))
     raw = ratio * 8.0 + F.col("bonus") + F.least(F.col("long") * 0.3, F.lit(1.0))
     empty = (F.col("nq") == 0) | (F.col("nt") == 0)
