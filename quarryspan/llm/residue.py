@@ -109,21 +109,25 @@ class Model:
 
 
 def _fit(hashes: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, dense: list[np.ndarray], classes: list[int], y: np.ndarray, rounds: int, decay: float = 2e-5) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Logistic regression with L2 decay by Adam on all examples; hashes: by order (hash, example)."""
+    """Logistic regression with L2 decay by Adam on all examples; hashes: by order (hash, number of each example's), in the order of the examples."""
     dim = 1 << BITS
     w = np.zeros((len(ORDERS), dim))
     d = [np.zeros(c) for c in classes]
     m, v = [np.zeros_like(x) for x in (*w, *d)], [np.zeros_like(x) for x in (*w, *d)]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y) / 2
+    # examples without any n-gram of an order have no sum of it
+    some = [np.flatnonzero(count) for _, count in hashes]
+    first = [(np.cumsum(count) - count)[at] for (_, count), at in zip(hashes, some)]
     for t in range(1, rounds + 1):
         z = np.zeros(len(y))
-        for k, (h, e) in enumerate(hashes):
-            z += np.bincount(e, weights=w[k][h], minlength=len(y))
+        for k, (h, _) in enumerate(hashes):
+            if len(h):
+                z[some[k]] += np.add.reduceat(w[k][h], first[k])
         z *= scale
         for x, c in zip(d, dense):
             z += x[c]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grads = [np.bincount(h, weights=(g * scale)[e], minlength=dim) + decay * w[k] for k, (h, e) in enumerate(hashes)]
+        grads = [np.bincount(h, weights=np.repeat(g * scale, count), minlength=dim) + decay * w[k] for k, (h, count) in enumerate(hashes)]
         grads += [np.bincount(c, weights=g, minlength=len(x)) + decay * x for x, c in zip(d, dense)]
         for x, q, a, b in zip((*w, *d), grads, m, v):
             a += 0.1 * (q - a)
@@ -133,13 +137,12 @@ def _fit(hashes: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, dense:
 
 
 def _grams(b: Batch, first: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hash, example) of the n-grams in each span, by order."""
+    """(hash, number of each span's) of the n-grams in the spans, by order."""
     out = []
     for n, h in zip(ORDERS, b.hashes):
         count = np.maximum(0, np.minimum(size - n + 1, len(h) - first))
-        example = np.repeat(np.arange(len(first)), count)
         start = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        out.append((h[start + np.arange(count.sum())].astype(np.int64), example))
+        out.append((h[start + np.arange(count.sum())].astype(np.int32), count))
     return out
 
 
@@ -173,11 +176,11 @@ def train(texts: list[str], titles: np.ndarray, labels: np.ndarray, rounds: int
     case, none = labels == 1, labels == 0
     content = none & (titles == 2) if (none & (titles == 2)).any() else none
     kinds = np.zeros_like(titles)  # the title is no feature of the first fit, as it chose the texts
-    for _ in range(REFITS + 1):
+    for again in range(REFITS + 1):
         use = np.flatnonzero(case | content)
         if not case.any() or not content.any():
             break
-        model.whole, (model.lengths, model.titles) = _fit(_grams(b, b.first[use], b.size[use]), 1 / np.sqrt(b.size[use]), [_length_class(b.size[use]), kinds[use].astype(int)], [len(LENGTHS) + 1, TITLES], case[use].astype(float), rounds)
+        model.whole, (model.lengths, model.titles) = _fit(_grams(b, b.first[use], b.size[use]), 1 / np.sqrt(b.size[use]), [_length_class(b.size[use]), kinds[use].astype(int)], [len(LENGTHS) + 1, TITLES], case[use].astype(float), rounds if again == REFITS else rounds // 2)
         z = model.whole_scores(b, kinds)
         case, content = (labels == 1) | (none & (z > JOIN)), none & (z < CONTENT)
         kinds = titles
