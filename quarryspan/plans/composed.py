@@ -118,6 +118,10 @@ def s21_event_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (q07_phrases, q08_requirements, q12_envelopes, f10_generic_queries, d09_publication_search, s05_web_rows, s19_gold_set, s20_sealed_snapshot, s21_event_sink)}
 ORACLE = {
+    "s05_web_rows": f"""
+WITH k AS ({Q.ORACLE['u03_url_policy']}), c AS ({Q.ORACLE['u01_canonical_url']}), {S.ITEMS}
+SELECT i.id, c.canonical_url AS address, CASE WHEN {S.squeezed('summary')} = '' THEN 'No snippet was returned.' ELSE {S.squeezed('summary')} END AS snippet
+FROM items i JOIN k ON k.id = i.id JOIN c ON c.id = i.id WHERE source_type = 'web' AND k.kept""",
     "f10_generic_queries": "SELECT session_id, source_type, 'ok' AS status, true AS completed, true AS reliable_no_results FROM research_sessions, (SELECT unnest(['patent', 'publication', 'web']) AS source_type) WHERE (try_cast(nullif(trim(query_envelope_json), '') AS JSON) ->> '$.query_too_generic') = 'true'",
     "s19_gold_set": f"WITH {S.POOL} SELECT p.session_id AS query_id, count(*) AS n, sum(coalesce(i.verified_url, 0))::BIGINT AS relevant FROM pool p JOIN items i USING (id) WHERE p.source_type = 'publication' GROUP BY ALL",
     "s20_sealed_snapshot": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions) SELECT decision_stage, count(*) AS n, count(retained) AS judged FROM d GROUP BY ALL",

@@ -10,6 +10,7 @@ from quarryspan import dims
 from quarryspan.functions import ids as U
 from quarryspan.functions import structured as X
 from quarryspan.functions import text as T
+from quarryspan.plans import identity as Q
 from quarryspan.plans import sql as S
 from quarryspan.plans.views import attempts, decisions, items, sessions
 from quarryspan.sources import snapshots
@@ -167,6 +168,12 @@ _D = "d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions)"
 _NUM = "upper(regexp_replace(coalesce({}, ''), '[^A-Za-z0-9]', '', 'g'))"
 QUERIES = {f.__name__: f for f in (q01_coerced, q10_negations, q11_atom_variants, q15_plan_sections, q20_envelope_hash, t10_unescaped, t16_page_texts, t25_redacted, u08_header_publication, u09_identity_basis, u14_public_urls, k02_embedded_objects, k06_candidate_blocks, k07_canonical_json, e02_bundle, e04_projected_text, e06_locators, r06_session_report)}
 ORACLE = {
+    "u08_header_publication": rf"""
+WITH f AS (SELECT doc_id, left(regexp_extract(concat_ws(' ', canonical_id, text), '(?is)^(.*?)(?:references cited|patent citations|similar documents|$)', 1), 1600) AS head FROM documents),
+n AS (SELECT doc_id, upper(regexp_replace(regexp_extract(head, '(?i)(?:^|[^A-Za-z0-9])((?:US|EP|WO|DE|SK)[ -]*[0-9][0-9,./]*[ -]*(?:[A-Z][0-9]{{0,2}})?)(?:[^A-Za-z0-9]|$)', 1), '[^A-Za-z0-9]', '', 'g')) AS n FROM f)
+SELECT doc_id, CASE WHEN n = 'UNKNOWN' THEN '' ELSE n END AS publication FROM n""",
+    "e06_locators": f"""
+WITH {S.ITEMS}, {Q._IU} SELECT session_id, lower(trim(canonical_id)) AS doc, count(DISTINCT identity_url) AS locators FROM items JOIN ident USING (id) WHERE trim(canonical_id) <> '' AND trim(url) <> '' GROUP BY ALL HAVING count(DISTINCT identity_url) > 1""",
     "q10_negations": f"SELECT session_id, array_to_string(list_transform(list_filter(l, lambda x, i: NOT list_contains(l[1:i - 1], x)), lambda x: x), '|') AS negative FROM (SELECT session_id, {' || '.join(f"regexp_extract_all(lower(coalesce(original_query, '')), '" + chr(92) + f"b{n}" + chr(92) + "s+(" + chr(92) + "w+(?:" + chr(92) + "s+" + chr(92) + "w+){0,3})', 1)" for n in dims.NEGATIONS)} AS l FROM research_sessions)",
     "q11_atom_variants": f"""
 WITH j AS (SELECT session_id, original_query, from_json(try_cast(nullif(trim(query_envelope_json), '') AS JSON) -> '$.critical_requirements_atomic', '[{{"label":"VARCHAR"}}]') AS l FROM research_sessions),

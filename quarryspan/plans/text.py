@@ -129,7 +129,11 @@ _MARK = [m.replace("'", "''") for m in dims.JSON_TAIL]
 _CUT = " ".join(f"WHEN instr(coalesce(summary, ''), '{m}') > 1 THEN left(coalesce(summary, ''), instr(coalesce(summary, ''), '{m}') - 1)" for m in _MARK)
 _N = " + ".join(f"CAST({_matches(t)} AS INT)" for t in TERMS)
 _WEB = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9][a-z0-9-]{{3,}}')), lambda t: t NOT IN ({S.quoted(dims.WEB_STOPWORDS)}))"
+_PLAIN = "coalesce(summary, '')"
+for _pattern in dims.BOILERPLATE:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', ' ', 'g')"
 ORACLE = {
+    "t12_boilerplate": rf"WITH {S.ITEMS} SELECT id, trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g'), ' .,;:|-–—') AS body FROM items",
     "t01_stems": f"SELECT word, {S.derived('sing')} AS stem, n FROM (SELECT word, {S.singular('word')} AS sing, count(*) AS n FROM (SELECT unnest({S.raw_tokens('text')}) AS word FROM documents) GROUP BY ALL)",
     "t02_token_sets": f"SELECT doc_id, {S.sorted_text(_TOK)} AS tokens FROM documents",
     "t03_discriminative": f"SELECT doc_id, {S.sorted_text(S.discriminative(_TOK))} AS tokens FROM documents",
