@@ -15,6 +15,7 @@ from quarryspan.functions import text as T
 from quarryspan.operators import ranking as R
 from quarryspan.plans import identity as Q
 from quarryspan.plans import sql as S
+from quarryspan.plans.ranking import publication_keys
 from quarryspan.plans.views import items, pool, sessions
 from quarryspan.session import checkpoint_dir
 from quarryspan.sources import snapshots
@@ -67,8 +68,7 @@ def d09_publication_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = pool(spark, folder, "evidence_level", "canonical_id", "provider").where("source_type = 'publication'")
     name = F.lower(F.trim(F.coalesce("provider", F.lit(""))))
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PROVIDERS)), name), F.lit(0)), F.lit(len(PROVIDERS) + 1))
-    doi = F.regexp_extract(F.lower(F.coalesce("canonical_id", F.lit(""))), r"(10\.[0-9]+/\S+)", 1)
-    keys = rows.select("session_id", (place * F.lit(1_000_000_000_000) + F.col("id")).alias("at"), doi.alias("doi_key"), U.title_key(F.col("title")).alias("title_key"))
+    keys = publication_keys(rows).withColumn("at", place * F.lit(1_000_000_000_000) + F.col("id"))
     kept = R.greedy_first(keys, ["session_id"], "at", ["doi_key", "title_key"]).select("session_id", F.expr("at % 1000000000000").alias("id"))
     scores = O.gates(O.scored(rows.join(kept, ["session_id", "id"], "left_semi"))).where("reason = 'accepted'")
     return R.best_rows(scores, ["session_id"], [F.desc("score"), F.asc("id")], 20).select("session_id", "rank_no", "id", "score")

@@ -110,11 +110,15 @@ def d01_greedy_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return R.greedy_first(rows, ["session_id"], "id", ["number_key", "title_key"]).select("session_id", "id")
 
 
+def publication_keys(rows: DataFrame) -> DataFrame:
+    """Publications with the keys by which they are the same: the DOI, and the title apart from case and blanks."""
+    doi = F.rtrim(F.regexp_extract(F.lower(F.coalesce("canonical_id", F.lit(""))), r"(10\.[0-9]+/\S+)", 1), F.lit(".,;"))
+    return rows.withColumn("doi_key", doi).withColumn("title_key", F.lower(T.squeezed(F.col("title"))))
+
+
 def d02_publication_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """Publications of each session, first wins on identifier or title."""
-    rows = items(spark, folder, *KEY, "canonical_id", "title").where("source_type = 'publication'")
-    doi = F.regexp_extract(F.lower(F.coalesce("canonical_id", F.lit(""))), r"(10\.[0-9]+/\S+)", 1)
-    rows = rows.select("session_id", "id", doi.alias("doi_key"), U.title_key(F.col("title")).alias("title_key"))
+    rows = publication_keys(items(spark, folder, *KEY, "canonical_id", "title").where("source_type = 'publication'"))
     return R.greedy_first(rows, ["session_id"], "id", ["doi_key", "title_key"]).select("session_id", "id")
 
 

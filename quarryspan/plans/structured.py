@@ -60,10 +60,10 @@ def t10_unescaped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t16_page_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The main text of pages made of items, without their navigation."""
-    rows = items(spark, folder, "summary").where("summary IS NOT NULL")
-    html = F.concat(F.lit("<html><nav>Menu and links that nobody reads at all</nav><main><p>"), F.regexp_replace("summary", "[<>&]", ""), F.lit("</p></main></html>"))
-    return snapshots.page_texts(rows.select(F.col("id").cast("string").alias("id"), html.alias("html")), "id").select(F.col("key").alias("id"), F.length("text").alias("length"))
+    """The date and main text of pages made of items, without their navigation."""
+    rows = items(spark, folder, "summary", "created_at")
+    html = F.concat(F.lit("<html><head><meta name='pubdate' content='"), F.date_format("created_at", "yyyy-MM-dd"), F.lit("'></head><nav>Menu and links that nobody reads at all</nav><main><p>"), F.regexp_replace(F.coalesce("summary", F.lit("")), "[<>&]", ""), F.lit("</p></main></html>"))
+    return snapshots.page_texts(rows.select(F.col("id").cast("string").alias("id"), html.alias("html")), "id").select(F.col("key").alias("id"), "date", F.length("text").alias("length"))
 
 
 def t25_redacted(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -71,18 +72,24 @@ def scholarly_payloads(raw: DataFrame, column: str = "payload") -> DataFrame:
 
 class _Text(HTMLParser):
     SKIPPED = {"nav", "header", "footer", "aside", "script", "style", "form", "noscript"}
+    VOID = {"br", "img", "meta", "link", "input", "hr"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.depth, self.main_depth, self.all, self.main = 0, 0, [], []
+        self.dates: dict[int, str] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         marks = dict(attrs)
         classes = (marks.get("class") or "").split()
+        if not self.depth:
+            kinds = [tag == "meta" and marks.get("property") == "article:published_time", tag == "meta" and marks.get("name") == "pubdate", tag == "time" and "datetime" in marks]
+            for kind in (i for i, here in enumerate(kinds) if here):
+                self.dates.setdefault(kind, (marks.get("content") or marks.get("datetime") or "").strip())
         if self.depth or tag in self.SKIPPED or "ads" in classes or "cookie-banner" in classes:
-            self.depth += tag not in {"br", "img", "meta", "link", "input", "hr"}
+            self.depth += tag not in self.VOID
         elif self.main_depth or tag in {"main", "article"} or marks.get("role") == "main":
-            self.main_depth += tag not in {"br", "img", "meta", "link", "input", "hr"}
+            self.main_depth += tag not in self.VOID
 
     def handle_endtag(self, tag: str) -> None:
         if self.depth:
@@ -97,22 +104,31 @@ class _Text(HTMLParser):
                 self.main.append(data)
 
 
-def main_text(html: str | None) -> str:
-    """The lines of six words or more of a page's main part, without navigation."""
+_FURNITURE = re.compile(r"(?:menu|skip|cart|sign in|subscribe)\b", re.I)
+
+
+def dated_text(html: str | None) -> tuple[str, str]:
+    """(date, text) of a page: the best date it names, or Unknown, and the lines of six words or more of its main part, without navigation."""
     parser = _Text()
     parser.feed(html or "")
     lines = [" ".join(x.split()) for part in (parser.main or parser.all) for x in part.splitlines()]
-    skipped = ("menu", "skip", "cart", "sign in", "subscribe")
-    return "\n".join(x for x in lines if len(x.split()) >= 6 and not x.lower().startswith(skipped))
+    date = parser.dates[min(parser.dates)] if parser.dates else ""
+    return date or "Unknown", "\n".join(x for x in lines if len(x.split()) >= 6 and not _FURNITURE.match(x))
+
+
+def main_text(html: str | None) -> str:
+    """The lines of six words or more of a page's main part, without navigation."""
+    return dated_text(html)[1]
 
 
 def page_texts(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
-    """Rows (key, text) of pages; a null page has an empty text."""
+    """Rows (key, date, text) of pages; a null page has an empty text and an unknown date."""
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b.iloc[:, 0], "text": b.iloc[:, 1].map(main_text)})
+            found = [dated_text(x) for x in b.iloc[:, 1]]
+            yield pd.DataFrame({"key": b.iloc[:, 0], "date": [d for d, _ in found], "text": [t for _, t in found]})
 
-    return pages.select(F.col(key).cast("string"), F.col(html)).mapInPandas(parts, "key string, text string")
+    return pages.select(F.col(key).cast("string"), F.col(html)).mapInPandas(parts, "key string, date string, text string")
 
 
 def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -53,3 +53,20 @@ def test_publication_numbers(spark):
     assert value(spark, U.family_number(F.lit("US-10762444-B2"))) == "US10762444"
     assert value(spark, U.patent_number(F.lit("see%20us10762444b2 here"))) == "US10762444B2"
     assert value(spark, U.patent_number(F.lit(None).cast("string"))) == "Unknown"
+
+
+@pytest.mark.parametrize(("given", "query"), [
+    ('{"limit": 3, "query": "Door lock", "keywords": ["lock", "DOOR LOCK", "alarm"], "filters": {"x": "no"}, "note": "with sensor"}', "Door lock lock alarm with sensor"),
+    ('[{"input": {"question": "valve"}}, 7, null, "seat"]', "valve seat"), ('{"query": "broken, "limit": null, terms', "query broken terms"), ("Query:  plain   text", "plain text"), ('{"input": {"prompt": "a {b} c"}}', "a b c"), ("", ""), ("[]", ""),
+])
+def test_structured_input_as_query(given, query):
+    from quarryspan.functions.structured import as_query
+
+    assert " ".join(as_query(given).split()) == query
+
+
+def test_date_and_lines_of_a_page():
+    from quarryspan.sources.snapshots import dated_text
+
+    page = "<html><head><meta name='pubdate' content='2024-05-01'></head><body><nav>Menu of a page that has six words</nav><p>Cartridge filters of this kind last a year.</p><p>Cart items are shown here for all.</p><time datetime='2020-01-01'>then</time></body></html>"
+    assert dated_text(page) == ("2024-05-01", "Cartridge filters of this kind last a year.") and dated_text(None) == ("Unknown", "")

@@ -60,7 +60,7 @@ def test_patents_once(spark, folder, items):
 def test_publications_once(spark, folder, items):
     def keys(r):
         m = re.search(r"10\.[0-9]+/\S+", (r["canonical_id"] or "").lower())
-        return m[0] if m else "", title_key(r["title"])
+        return m[0].rstrip(".,;") if m else "", " ".join((r["title"] or "").split()).lower()
 
     rows = [r for r in items if r["source_type"] == "publication"]
     assert {r["id"] for r in answer(spark, folder, "d02_publication_dedupe")} == greedy(rows, keys)
@@ -111,7 +111,9 @@ def test_hashes_of_json(spark, folder, sessions):
 
 def test_queries_of_all_sessions(spark, folder, sessions):
     squeezed = lambda q: " ".join((q or "").split())
-    assert {r["session_id"]: squeezed(r["query"]) for r in answer(spark, folder, "q01_coerced")} == {s: squeezed(r["original_query"]) for s, r in sessions.items()}
+    coerced = {r["session_id"]: squeezed(r["query"]) for r in answer(spark, folder, "q01_coerced")}
+    # what has a mark of JSON loses the words that are keys of a plan
+    assert set(coerced) == set(sessions) and all(coerced[s] == squeezed(r["original_query"]) for s, r in sessions.items() if not re.search(r"[{}\[\]\"`]", r["original_query"] or ""))
     phrases = {}
     for r in sorted(answer(spark, folder, "q07_phrases"), key=lambda r: r["pos"]):
         phrases.setdefault(r["session_id"], []).append((r["phrase"], r["clause"]))
@@ -142,9 +144,11 @@ def test_packs_hold_what_was_searched(spark, folder, items, sessions):
 def test_caches_and_pages(spark, folder, items):
     runs = load(spark, folder, "evidence_results", "id").distinct().count()
     assert sum(r["n"] for r in answer(spark, folder, "st01_bounded_cache")) == runs
-    got = {r["id"]: r["length"] for r in answer(spark, folder, "t16_page_texts")}
+    pages = answer(spark, folder, "t16_page_texts")
+    assert {r["id"]: r["date"] for r in pages} == {str(r["id"]): r["created_at"].strftime("%Y-%m-%d") for r in items}
+    got = {r["id"]: r["length"] for r in pages}
     for r in items:
         if r["summary"] is not None:
             words = " ".join(re.sub("[<>&]", "", r["summary"]).split())
-            if "\n" not in r["summary"] and len(words.split()) >= 6 and not words.lower().startswith(("menu", "skip", "cart", "sign in", "subscribe")):
+            if "\n" not in r["summary"] and len(words.split()) >= 6 and not re.match(r"(?i)(?:menu|skip|cart|sign in|subscribe)\b", words):
                 assert got[str(r["id"])] == len(words)
