@@ -8,6 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryspan.functions import ids as U
+from quarryspan.functions import text as T
+from quarryspan.plans import identity as Q
 from quarryspan.plans import sql as S
 from quarryspan.plans.views import items
 from quarryspan.session import with_package
@@ -54,12 +57,27 @@ def s12_pdf_addresses(spark: SparkSession, folder: str) -> DataFrame:
     return P.pdf_addresses(rows.select("id", "url", doi.alias("doi")), payloads(spark, "open"))
 
 
+#: The order in which the providers' texts of an address are taken.
+BACKENDS = ["patgrid", "scholarnet", "pagelens", "webscout", "crawlio", "netquery"]
+
+
+def s13_fetch_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """For each address of the items the text of the first provider in a fixed order that has twelve words or more."""
+    rows = items(spark, folder, "url", "provider", "summary").where("trim(url) <> ''")
+    fetches = rows.select(U.canonical_url(F.col("url")).alias("key"), F.lower(F.trim("provider")).alias("backend"), T.squeezed(F.col("summary")).alias("text"))
+    return P.first_texts(fetches, BACKENDS).select(F.col("key").alias("address"), "backend", F.sha2("text", 256).alias("text_hash"))
+
+
 def t24_first_claim(spark: SparkSession, folder: str) -> DataFrame:
     return P.first_claims(payloads(spark, "page"))
 
 
-QUERIES = {f.__name__: f for f in (s02_keyed_patents, s03_table_patents, s06_graph_papers, s08_xml_records, s10_archive_blocks, s11_discovered_papers, s12_pdf_addresses, t24_first_claim)}
+QUERIES = {f.__name__: f for f in (s02_keyed_patents, s03_table_patents, s06_graph_papers, s08_xml_records, s10_archive_blocks, s11_discovered_papers, s12_pdf_addresses, s13_fetch_chain, t24_first_claim)}
 ORACLE = {
+    "s13_fetch_chain": f"""
+WITH c AS ({Q.ORACLE['u01_canonical_url']}), {S.ITEMS}, f AS (SELECT canonical_url AS address, lower(trim(provider)) AS backend, {S.squeezed('summary')} AS text FROM items JOIN c USING (id) WHERE trim(url) <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY list_position([{S.quoted(BACKENDS)}], backend), text) AS r FROM f WHERE backend IN ({S.quoted(BACKENDS)}) AND len(string_split(text, ' ')) >= 12)
+SELECT address, backend, sha256(text) AS text_hash FROM r WHERE r = 1""",
     "s12_pdf_addresses": rf"""
 WITH {S.ITEMS}, p AS (SELECT id, coalesce(url, '') AS u, trim(regexp_extract(lower(coalesce(canonical_id, '')), '(10\.[0-9]+/\S+)', 1), '/') AS doi FROM items WHERE source_type = 'publication'),
 a AS (SELECT *, regexp_extract(u, 'arxiv\.org/abs/([0-9]{{4}}\.[0-9]{{4,5}}(?:v\d+)?)', 1, 'i') AS n FROM p), o AS (SELECT * FROM (VALUES ('10.1000/abc', 'https://oa.example/abc.pdf')) t(doi, pdf))

@@ -164,6 +164,14 @@ def a23_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*KEY, "n", "relevant", "accepted", *[T.rounded(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1", "p_at_k", "ap", "rr")])
 
 
+def e07_metric_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of each pool as a line of a report."""
+    two = lambda c: F.format_string("%.2f", T.rounded(F.col(c)))
+    parts = [F.concat(F.lit(f"{name}="), two(c)) for name, c in (("precision", "precision"), ("recall", "recall"), ("F1", "f1"), ("P@k", "p_at_k"), ("AP", "ap"), ("RR", "rr"))]
+    head = F.concat(F.lit("["), F.col("session_id"), F.lit(" "), F.col("source_type"), F.lit("] accepted "), F.col("accepted").cast("string"), F.lit(" of "), F.col("n").cast("string"))
+    return a23_metrics(spark, folder).select(*KEY, F.concat_ws("  ", head, *parts).alias("line"))
+
+
 def a24_threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Macro means of precision, recall and F1 at each of seven thresholds, from one count a pool."""
     rows = _judged(spark, folder).withColumn("rel", F.coalesce(F.col("verified_url"), F.lit(0)))
@@ -219,7 +227,7 @@ def _rank(x: str, ranks: dict[str, int]) -> str:
 _BEST = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type ORDER BY {_rank('quality_grade', dims.GRADE_RANK)} DESC, {_rank('status', dims.STATUS_RANK)} DESC, hit_count DESC NULLS LAST, attempt DESC, id) AS r FROM a) WHERE r = 1)"
 _HOST_RANK = f"CASE WHEN h IN ({S.quoted(dims.PATENT_HOSTS)}) OR ends_with(h, '.patents.google.com') THEN 3 WHEN ends_with(h, '.gov') OR ends_with(h, '.edu') THEN 0 WHEN contains(h, 'docs.') OR contains(h, 'developer.') OR contains(h, 'support.') OR contains(h, 'github.io') THEN 1 ELSE 2 END"
 
-QUERIES = {f.__name__: f for f in (w01_latest_attempt, w02_best_attempt, w03_best_evidence, w05_hit_order, w06_web_order, w07_provider_weighted, w08_stratified_sample, w10_snapshot_numbers, a15_attempt_stats, d01_greedy_dedupe, d02_publication_dedupe, d03_first_per_url, d05_merged_pack, d06_insert_stats, d07_providers_in_order, a23_metrics, a24_threshold_sweep, a25_provider_shares, st01_ttl_cache, st01_bounded_cache, st03_sessions_upsert, st06_decision_counts)}
+QUERIES = {f.__name__: f for f in (w01_latest_attempt, w02_best_attempt, w03_best_evidence, w05_hit_order, w06_web_order, w07_provider_weighted, w08_stratified_sample, w10_snapshot_numbers, a15_attempt_stats, d01_greedy_dedupe, d02_publication_dedupe, d03_first_per_url, d05_merged_pack, d06_insert_stats, d07_providers_in_order, a23_metrics, e07_metric_lines, a24_threshold_sweep, a25_provider_shares, st01_ttl_cache, st01_bounded_cache, st03_sessions_upsert, st06_decision_counts)}
 ORACLE = {
     "w01_latest_attempt": f"WITH {_A} SELECT session_id, source_type, id, attempt, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_type ORDER BY attempt DESC, id DESC) AS r FROM a) WHERE r = 1",
     "w02_best_attempt": f"WITH {_A}, {_BEST} SELECT session_id, source_type, id, quality_grade, status FROM best",
@@ -269,3 +277,6 @@ SELECT source_type, cached, count(*) AS n FROM r GROUP BY ALL""",
     "st03_sessions_upsert": f"WITH {_A}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN trim(query) <> '' THEN 0 ELSE 1 END, created_at, id) AS i FROM a) SELECT session_id, max(CASE WHEN i = 1 AND trim(query) <> '' THEN query END) AS first_query, count(*) AS n FROM r GROUP BY ALL",
     "st06_decision_counts": "WITH d AS (SELECT DISTINCT * FROM evaluation_candidate_decisions) SELECT decision_stage, decision_reason, count(*) AS n, coalesce(sum(retained), 0)::BIGINT AS kept, count(*) FILTER (score_at_decision IS NOT NULL AND NOT isnan(score_at_decision)) AS with_score FROM d GROUP BY ALL",
 }
+
+_TWO = lambda c: f"printf('%.2f', round_even({c}, 2))"
+ORACLE["e07_metric_lines"] = f"SELECT session_id, source_type, concat_ws('  ', '[' || session_id || ' ' || source_type || '] accepted ' || accepted || ' of ' || n, 'precision=' || {_TWO('precision')}, 'recall=' || {_TWO('recall')}, 'F1=' || {_TWO('f1')}, 'P@k=' || {_TWO('p_at_k')}, 'AP=' || {_TWO('ap')}, 'RR=' || {_TWO('rr')}) AS line FROM ({ORACLE['a23_metrics']})"

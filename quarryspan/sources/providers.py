@@ -236,6 +236,14 @@ def pdf_addresses(papers: DataFrame, lookups: DataFrame, key: str = "id") -> Dat
     return own.join(found, "_doi", "left").select(key, F.when(F.col("_own") != "", F.col("_own")).otherwise(F.coalesce("_found", F.lit(""))).alias("pdf_url"))
 
 
+def first_texts(fetches: DataFrame, backends: list[str], least: int = 12) -> DataFrame:
+    """(key, backend, text): of the texts that several backends fetched for a key (key, backend, text), that of the first in their order with so many words; keys without any have none."""
+    place = F.array_position(F.array(*map(F.lit, backends)), F.col("backend"))
+    enough = fetches.where((place > 0) & (F.size(T.word_list(F.col("text"))) >= least))
+    best = enough.groupBy("key").agg(F.min(F.struct(place.alias("at"), "text", "backend")).alias("b"))
+    return best.select("key", "b.backend", "b.text")
+
+
 class _Claims(HTMLParser):
     """The texts of a page's elements within its claims, in order: (kind, text)."""
 
