@@ -190,23 +190,29 @@ class ByteNetwork:
         return [self.embedding, *self.filters, *self.biases, self.weights, self.bias]
 
 
-def train(x: np.ndarray, y: np.ndarray, classes: int = len(LANGUAGES), epochs: int = 5, batch: int = 128, seed: int = 7) -> ByteNetwork:
-    """A network trained by Adam on labelled windows; after most epochs, windows whose label looks wrong are left out."""
+def train(x: np.ndarray, y: np.ndarray, texts: np.ndarray | None = None, classes: int = len(LANGUAGES), epochs: int = 6, batch: int = 128, seed: int = 7) -> ByteNetwork:
+    """A network trained by Adam on labelled windows of texts (a number for each window; without, each is a text of its own).
+
+    Labels are noisy, and the wrong ones of a frequent language can be many among the windows of a rare one. So twice, after a third and two thirds of
+    the epochs, the windows of a text are judged together, and texts that the network takes for another language than
+    their label says are left out of the following epochs.
+    """
     rng = np.random.default_rng(seed)
     net = ByteNetwork.fresh(classes, seed)
     if not len(y):
         return net
+    texts = np.arange(len(y)) if texts is None else texts
     params = net.parameters()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     use, t = np.arange(len(y)), 0
     for epoch in range(epochs):
-        if epoch == max(1, epochs - 2):
-            said = net.log_probabilities(x)[np.arange(len(y)), y]
-            use = np.flatnonzero(said > np.log(0.05))
-            use = use if len(use) else np.arange(len(y))
+        if epoch and epoch in (epochs // 3, 2 * epochs // 3):
+            sums = np.zeros((int(texts.max()) + 1, classes))
+            np.add.at(sums, texts, net.log_probabilities(x))
+            right = np.flatnonzero(sums.argmax(axis=1)[texts] == y)
+            use = right if len(right) else np.arange(len(y))
+        rng.shuffle(use)
         for i in range(0, len(use), batch):
-            if i == 0:
-                rng.shuffle(use)
             at = use[i:i + batch]
             t += 1
             for p, g, a, b in zip(params, net.step(x[at], y[at]), m, v):
@@ -295,32 +301,31 @@ def _runs(path: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def labelled_windows(texts: list[str], labels: list[str], per_language: int = WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of labelled texts, as many of each language as there are up to a number."""
+def labelled_windows(texts: list[str], labels: list[str], per_language: int = WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of labelled texts, as many of each language as there are up to a number; their labels, and the text of each."""
     rng = np.random.default_rng(seed)
-    by: dict[str, list[str]] = {}
-    for text, label in zip(texts, labels):
+    by: dict[str, list[int]] = {}
+    for i, (text, label) in enumerate(zip(texts, labels)):
         if label in LANGUAGES and text and text.strip():
-            by.setdefault(label, []).append(text)
-    xs, ys = [], []
+            by.setdefault(label, []).append(i)
+    xs, ys, of = [np.zeros((0, LENGTH), dtype=np.int16)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for label in sorted(by):
         some = by[label]
         each = max(2, -(-per_language // len(some)))
-        got = []
-        for text in some:
-            low = plain(text)
+        got, own = [], []
+        for i in some:
+            low = plain(texts[i])
             words = words_of(low)
             if words:
                 pick = sorted(rng.choice(len(words), size=min(each, len(words)), replace=False).tolist())
-                got.append(windows(low, [words[i] for i in pick]))
+                got.append(windows(low, [words[k] for k in pick]))
+                own += [i] * len(pick)
         if got:
-            one = np.concatenate(got)
-            one = one[rng.permutation(len(one))[:per_language]]
-            xs.append(one)
-            ys.append(np.full(len(one), LANGUAGES.index(label)))
-    if not xs:
-        return np.zeros((0, LENGTH), dtype=np.int16), np.zeros(0, dtype=np.int64)
-    return np.concatenate(xs), np.concatenate(ys)
+            some_of = rng.permutation(len(own))[:per_language]
+            xs.append(np.concatenate(got)[some_of])
+            ys.append(np.full(len(some_of), LANGUAGES.index(label)))
+            of.append(np.array(own)[some_of])
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(of)
 
 
 def labelled_sample(df: DataFrame, key: str, text: str, label: Column, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
@@ -347,7 +352,7 @@ def validate(texts: list[str], labels: list[str]) -> list[tuple[str, str, int, i
     net = train(*labelled_windows([t for t, o in zip(texts, out) if not o], [x for x, o in zip(labels, out) if not o]))
     kept = [(t, x) for t, x, o in zip(texts, labels, out) if o and x in LANGUAGES and t and t.strip()]
     rows = []
-    x, y = labelled_windows([t for t, _ in kept], [x for _, x in kept])
+    x, y, _ = labelled_windows([t for t, _ in kept], [x for _, x in kept])
     right = net.log_probabilities(x).argmax(axis=1) == y if len(y) else np.zeros(0, bool)
     rows += [("windows", lang, int((y == i).sum()), int(right[y == i].sum())) for i, lang in enumerate(LANGUAGES)]
     found = [[s[2] for s in own] for own in segments_of(net, [t for t, _ in kept])]

@@ -204,8 +204,7 @@ def test_network_learns_and_segments():
         for _ in range(60):
             texts.append((" " if lang != "ja" else "").join(rng.choice(words) for _ in range(12)))
             labels.append(lang if rng.random() > 0.05 else "en")
-    x, y = langid.labelled_windows(texts, labels, 400)
-    net = langid.train(x, y, epochs=6)
+    net = langid.train(*langid.labelled_windows(texts, labels, 400))
     for lang, text in SAMPLES.items():
         assert [s[2] for s in langid.segments(net, text)] == [lang]
     mixed = langid.segments(net, SAMPLES["en"] + " / " + SAMPLES["sk"] + " – " + SAMPLES["ru"])
