@@ -30,7 +30,7 @@ PAD = 256
 #: A segment has so many words at least; a change of language costs so much log probability.
 LEAST_WORDS, CHANGE = 4, 7.0
 #: A segment beside another has at least so much confidence.
-LEAST_CONFIDENCE = 0.8
+LEAST_CONFIDENCE = 0.92
 
 # Names and codes by which labels call the languages.
 NAMES = {
@@ -193,9 +193,9 @@ class ByteNetwork:
 def train(x: np.ndarray, y: np.ndarray, texts: np.ndarray | None = None, classes: int = len(LANGUAGES), epochs: int = 6, batch: int = 128, seed: int = 7) -> ByteNetwork:
     """A network trained by Adam on labelled windows of texts (a number for each window; without, each is a text of its own).
 
-    Labels are noisy, and the wrong ones of a frequent language can be many among the windows of a rare one. So twice, after a third and two thirds of
-    the epochs, the windows of a text are judged together, and texts that the network takes for another language than
-    their label says are left out of the following epochs.
+    Labels are noisy, and the wrong ones of a frequent language can be many among the windows of a rare one; texts in two languages have one label. So
+    twice, after a third and two thirds of the epochs, the windows of a text are judged together, and texts that the network takes for another language than
+    their label says are left out of the following epochs, and so are single windows of the others.
     """
     rng = np.random.default_rng(seed)
     net = ByteNetwork.fresh(classes, seed)
@@ -207,9 +207,10 @@ def train(x: np.ndarray, y: np.ndarray, texts: np.ndarray | None = None, classes
     use, t = np.arange(len(y)), 0
     for epoch in range(epochs):
         if epoch and epoch in (epochs // 3, 2 * epochs // 3):
+            logs = net.log_probabilities(x)
             sums = np.zeros((int(texts.max()) + 1, classes))
-            np.add.at(sums, texts, net.log_probabilities(x))
-            right = np.flatnonzero(sums.argmax(axis=1)[texts] == y)
+            np.add.at(sums, texts, logs)
+            right = np.flatnonzero((sums.argmax(axis=1)[texts] == y) & (logs.argmax(axis=1) == y))
             use = right if len(right) else np.arange(len(y))
         rng.shuffle(use)
         for i in range(0, len(use), batch):
