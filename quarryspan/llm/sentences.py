@@ -91,10 +91,11 @@ _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _CLAUSE = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{N}][)\]\"”’»])\s+(?=([\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])|[(\[“\"«]|\p{Lu}(?:\p{Ll}|\s)|\p{Ll}{1,2}\p{Lu})")
 _MARK = regex.compile(r"[\"“”„«»‹›()\[\]（）「」『』【】]")
 _PAIRS = {"”": "“", "»": "«", "›": "‹", ")": "(", "]": "[", "）": "（", "」": "「", "』": "『", "】": "【"}
-_TERM_INSIDE = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…][\p{SB=Close}]*\s+[\p{Lu}\p{Lo}\p{N}]|[。！？｡．]")
+_TERM_INSIDE = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…][\p{SB=Close}]*\s+[\p{Lu}\p{Lo}\p{N}\p{Ps}]|[。！？｡．]|[:;]\s+\p{Ll}")
 
-_NEXT = regex.compile(r"[.!?]\s+[\p{Lu}\p{N}]")
-_LETTERS = regex.compile(r"\p{L}+")
+_NEXT = regex.compile(r"[.!?](?=\s|\p{Lu}|$)")
+_ASIDE = regex.compile(r"[(\[（［]\s?\p{Ll}")
+_LETTERS = regex.compile(r"(?<![\p{L}\p{N}])\p{L}+(?![\p{L}\p{N}])")
 _FIRST_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|\p{Thai}{1,8}|[^\s\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
 #: The language of a sentence is told by its words before a place, at least so many telling ones, else by so many characters behind it, too.
 TELLING, BEHIND = 2, 120
@@ -113,7 +114,8 @@ def language_at(text: str, start: int, at: int) -> str | None:
         return "ru"
     if at and "\u0900" <= text[at - 1] <= "\u097f":
         return "hi"
-    votes = _votes(text[start:at], {})
+    before = text[start:at]
+    votes = _votes(before[:len(before) - len(before.rsplit(None, 1)[-1])] if before.strip() else "", {})  # without the word itself
     if max(votes.values(), default=0) < TELLING:
         behind = text[at + 1:at + BEHIND]
         end = _NEXT.search(behind)
@@ -266,15 +268,19 @@ def _add(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         out.append((start + left, start + left + len(part)))
 
 
+#: No text is wrapped at fewer columns.
+LEAST_WRAP = 40
+
+
 def _widths(lines: list[str]) -> list[int]:
     """For each line how long a line is there: the longest one without a blank line between, or, where those are
-    but two or none ends a sentence, the longest one of the text."""
+    but two, are short, or none ends a sentence, the longest one of the text."""
     out = [max(map(len, lines), default=0)] * len(lines)
     first = 0
     for k, line in enumerate([*lines, ""]):
         if not line:
             own = lines[first:k]
-            if len(own) > 2 and any(_ENDS.search(x[-8:]) for x in own):
+            if len(own) > 2 and max(map(len, own)) >= LEAST_WRAP and any(_ENDS.search(x[-8:]) for x in own):
                 out[first:k] = [max(map(len, own))] * len(own)
             first = k + 1
     return out
@@ -286,6 +292,8 @@ def _room(line: str, following: str, width: int) -> bool:
     last = line.rsplit(None, 1)[-1].lower()
     if last in _TELLS and not line[-1].isdigit():
         return False  # what a function word belongs to must follow
+    if _ASIDE.match(following) or line.count("(") > line.count(")"):
+        return False  # a remark within a sentence goes on, or is opened here
     return len(line) + 1 + len(word[0] if word else "") <= width
 
 
