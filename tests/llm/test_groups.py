@@ -61,6 +61,18 @@ def test_representative_with_nulls_ties_and_repeats(spark):
     assert best_representative(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_representative_with_null_times_and_null_keys(spark):
+    """A null time comes last, as in the SQL; groups with a null session or source type get values by the model, too."""
+    at = datetime.datetime(2025, 1, 1)
+    schema = "id long, session_id string, source_type string, canonical_id string, title string, url string, provider string, evidence_level string, verified_url int, evidence_quality_score double, created_at timestamp"
+    row = lambda i, s, k, c, p, t: (i, s, k, c, "T", None, p, "unverified", 1, 2.0, t)
+    rows = [row(1, "s", "web", "a/1", "p", None), row(2, "s", "web", "A/1", None, at), row(3, "s", "web", "b/1", "p", None), row(4, "s", "web", "B/1", "q", None)]
+    rows += [row(5, None, "web", "a/1", "p", at), row(6, None, "web", "A/1", "p", at), row(7, "s", None, "a/1", "p", at), row(8, "s", None, "A/1", "p", at)]
+    out = best_representative(spark.createDataFrame(rows, schema)).collect()
+    assert {(r["id"], r["provider_from_id"]) for r in out} == {(2, 1), (3, 3), (5, 5), (7, 7)}
+    assert all(r["fused"] and r["fused"]["title"] == ["T"] and r["fused"]["provider"] for r in out)
+
+
 def test_forms_are_final_and_idempotent():
     table = rules()
     assert all(c not in table for to in table.values() for c in to)
